@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions.geo import EARTH_RADIUS_KM, METRICS
-from galeframe.operators.ordering import first_rows
+from galeframe.operators.ordering import first_rows, latest_before, positions
 
 # Cell edges: the finest one, doubled per level until one cell spans the whole domain
 # (kilometres on the sphere, degrees on the plane).
@@ -165,3 +165,97 @@ def quadrant_labels(
     return out.withColumn(
         "label", F.concat("_label", F.when(seen > 1, seen.cast("string")).otherwise(""))
     ).drop("_tlat", "_tlon", "_nlat", "_nlon", "_label")
+
+
+# Lattice offsets (latitude, longitude) of the labels around the first grid
+# line north and east of a station, in the order in which points are handed out.
+INNER_LABELS = {"NW": (0, -1), "NE": (0, 0), "SW": (-1, -1), "SE": (-1, 0)}
+OUTER_LABELS = {
+    "NNW": (1, -1), "NNE": (1, 0), "SSW": (-2, -1), "SSE": (-2, 0),
+    "WNW": (0, -2), "WSW": (-1, -2), "ENE": (0, 1), "ESE": (-1, 1),
+}
+
+
+def enclosing_labels(
+    targets: DataFrame, candidates: DataFrame, n: int = 4, target_key: str = "station_id",
+    candidate_key: str = "grid_id",
+) -> DataFrame:
+    """``target_id, label, near_id, rel_lat, rel_lon``: grid points by compass position.
+
+    Each label names a lattice point around the target; it gets the nearest grid point
+    that no earlier label of the target holds, which is the point itself where it
+    exists. At most ``n`` points are ever taken, so the ``n`` nearest per lattice point
+    are enough. ``rel_*`` place the target inside its quad (0 south/west, 1 north/east).
+    """
+    if n not in (4, 12):
+        raise ValueError("labels exist for 4 or 12 points")
+    offsets = INNER_LABELS if n == 4 else INNER_LABELS | OUTER_LABELS
+    margin = 1 if n == 4 else 2
+    goal = targets.select(F.col(target_key).alias("target_id"), "latitude", "longitude")
+    lattice = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("order"), F.lit(name).alias("label"), F.lit(a).alias("latitude"), F.lit(b).alias("longitude"))
+        for i, (name, (a, b)) in enumerate(offsets.items())
+    ])).alias("_label")
+    points = goal.select("target_id", lattice)
+    for axis in ("latitude", "longitude"):
+        lines = positions(candidates.select(axis).distinct(), [], [axis], F.floor(axis), "_line", "_lines")
+        lines = lines.withColumnRenamed(axis, "_value")
+        below = latest_before(goal, lines, [], axis, "_value", ["_line"], F.floor, strict=True)
+        total = lines.agg(F.max("_lines").alias("n")).scalar()
+        first = F.least(F.greatest(F.coalesce("_line", F.lit(0)), F.lit(margin)), total - margin)
+        spot = below.select("target_id", first.alias("_first"))
+        index = F.greatest(F.least(F.col("_first") + F.col(f"_label.{axis}"), total - 1), F.lit(0)) + 1
+        points = points.join(spot, "target_id").withColumn("_line", index).drop("_first")
+        points = points.join(lines.select("_line", F.col("_value").alias(axis)), "_line").drop("_line")
+    points = points.withColumn("_key", F.concat_ws("|", "target_id", "_label.label"))
+    near = k_nearest(points, candidates, n, "_key", candidate_key)
+    ranked = near.groupBy("target_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "near_id"))), lambda x: x["near_id"]).alias("_near")
+    ).withColumnRenamed("target_id", "_key")
+    kind = dict(candidates.dtypes)[candidate_key]
+    rows = points.join(ranked, "_key")
+    edge = {
+        f"_{side}_{axis}": F.max(F.when(F.col("_label.label") == side, F.col(axis)))
+        for side in ("SW", "NE") for axis in ("latitude", "longitude")
+    }
+    grouped = rows.groupBy("target_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_label.order"), F.col("_label.label"), "_near"))).alias("_all"),
+        *[c.alias(k) for k, c in edge.items()],
+    )
+    start = F.array().cast(f"array<struct<label:string,near_id:{kind}>>")
+
+    def take(taken, item):
+        free = F.filter(item["_near"], lambda x: ~F.exists(taken, lambda u: u["near_id"] == x))
+        return F.when(
+            F.size(free) > 0,
+            F.concat(taken, F.array(F.struct(item["label"].alias("label"), F.get(free, F.lit(0)).alias("near_id")))),
+        ).otherwise(taken)
+
+    chosen = grouped.withColumn("_p", F.explode(F.aggregate("_all", start, take))).join(goal, "target_id")
+
+    def share(axis: str) -> Column:
+        return (F.col(axis) - F.col(f"_SW_{axis}")) / (F.col(f"_NE_{axis}") - F.col(f"_SW_{axis}"))
+
+    return chosen.select(
+        "target_id", F.col("_p.label").alias("label"), F.col("_p.near_id").alias("near_id"),
+        share("latitude").alias("rel_lat"), share("longitude").alias("rel_lon"),
+    )
+
+
+def nearest_to_group(targets: DataFrame, candidates: DataFrame, radius: float, k: int, key: str = "station_id") -> DataFrame:
+    """The k candidates closest to any target, among those within ``radius`` km of one."""
+    hits = within(targets, candidates, radius, key, key)
+    closest = hits.groupBy("near_id").agg(F.min("distance").alias("distance"))
+    return closest.orderBy(F.round("distance", 9), "near_id").limit(k)
+
+
+def neighbour_series(
+    series: DataFrame, neighbours: DataFrame, cols: Sequence[str], k: int, time: str = "timestamp"
+) -> DataFrame:
+    """Series of each target's k neighbours as ``{col}_next_{rank}`` columns."""
+    near = neighbours.select(F.col("near_id").alias("station_id"), "target_id", "rank")
+    rows = series.select("station_id", time, *cols).join(near, "station_id")
+    picks = [
+        F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}_next_{r}") for c in cols for r in range(1, k + 1)
+    ]
+    return rows.groupBy(F.col("target_id").alias("station_id"), time).agg(*picks)

@@ -158,18 +158,19 @@ def latest_before(
     right_time: str,
     cols: Sequence[str],
     chunk=day_chunk,
+    strict: bool = False,
 ) -> DataFrame:
-    """As-of join: the newest right row at or before each left row.
+    """As-of join: the newest right row at or before (``strict``: before) each left row.
 
     Right rows must be unique per key and time. Left rows without one get nulls.
     """
     state = F.struct(F.col(right_time), *[F.col(c) for c in cols])
     marks = right.select(*by, F.col(right_time).alias("_t"), state.alias("_state"))
-    rows = left.withColumns({"_t": F.col(left_time), "_left": F.lit(1)})
-    both = rows.unionByName(marks.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    both = fill(both, by, ["_t", "_left"], ["_state"], chunk(F.col("_t")), ("forward",))
+    rows = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0 if strict else 2)})
+    both = rows.unionByName(marks.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    both = fill(both, by, ["_t", "_side"], ["_state"], chunk(F.col("_t")), ("forward",))
     picked = [F.col("_state")[c].alias(c) for c in [right_time, *cols]]
-    return both.filter("_left = 1").select(*[F.col(c) for c in left.columns], *picked)
+    return both.filter("_side <> 1").select(*[F.col(c) for c in left.columns], *picked)
 
 
 def first_rows(

@@ -142,7 +142,9 @@ def d06(t):
 @query(
     "d07_idw_of_nodes",
     f"""SELECT station_id, starttime, forecasttime,
-        CASE WHEN count(wind_speed) = 4 THEN sum(wind_speed / nullif(distance, 0)) / sum(1 / nullif(distance, 0)) END AS wind_speed
+        CASE WHEN count(wind_speed) < 4 THEN NULL
+            WHEN min(distance) = 0 THEN avg(wind_speed) FILTER (distance = 0)
+            ELSE sum(wind_speed / nullif(distance, 0)) / sum(1 / nullif(distance, 0)) END AS wind_speed
     FROM ({nearest_sql(4)}) n JOIN nwp USING (grid_id) WHERE height = 10 GROUP BY ALL""",
     num="wind_speed",
     ts="starttime",
