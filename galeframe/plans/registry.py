@@ -15,6 +15,9 @@ from galeframe.plans.tables import SQL_TABLES, Tables
 from galeframe.session import configure
 
 DIGITS = 6
+# Means of short decimals often end in an exact half of the last digit, which the last
+# bit of a sum would decide; a shift far below that digit takes them off the edge.
+SHIFT = 1.7e-8
 
 
 @dataclass(frozen=True)
@@ -28,14 +31,14 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The result with doubles rounded and timestamps as text, so both engines agree."""
         df = self.plan(Tables(configure(spark), sf_dir))
-        tidy = {c: F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0) for c in self.num}
+        tidy = {c: F.round(F.col(c).cast("double") + SHIFT, DIGITS) + F.lit(0.0) for c in self.num}
         tidy |= {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in self.ts}
         return df.withColumns(tidy) if tidy else df
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        tidy = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in self.num]
+        tidy = [f"round(CAST({c} AS DOUBLE) + {SHIFT}, {DIGITS}) + 0e0 AS {c}" for c in self.num]
         tidy += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in self.ts]
         replace = f" REPLACE ({', '.join(tidy)})" if tidy else ""
         ctes = ",\n".join(f"{n} AS ({SQL_TABLES[n].strip()})" for n in _needed(self.sql))
