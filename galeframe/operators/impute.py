@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,32 +57,38 @@ def drop_sparse_times(df: DataFrame, col: str, share: float, ts: str = "timestam
 # -- nearest rows --------------------------------------------------------------
 
 
-def _nearest_donors(receivers: pd.DataFrame, donors: pd.DataFrame, k: int) -> Iterator[tuple]:
-    """(receiver key, column, [(distance, donor key, value)]) within one pair of blocks."""
-    goal, have = np.stack(receivers["x"].to_numpy()), np.stack(donors["x"].to_numpy())
+def _nearest_donors(receivers: pd.DataFrame, donors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Up to k donors per gap within one pair of blocks: key, column, distance, donor, value."""
+    donors = donors.sort_values("key")
+    goal, have = _matrix(receivers["x"]), _matrix(donors["x"])
     width = goal.shape[1]
     rows = max(1, CELLS // max(1, have.size))
-    order = donors["key"].to_numpy()
+    found = []
     for start in range(0, len(goal), rows):
         part = goal[start : start + rows]
         gap = part[:, None, :] - have[None, :, :]
         both = ~np.isnan(gap)
-        count = both.sum(axis=2)
         with np.errstate(divide="ignore", invalid="ignore"):
             squared = np.where(both, gap, 0.0) ** 2
-            distance = np.sqrt(squared.sum(axis=2) * width / count)
-        distance[count == 0] = np.nan
-        distance = np.round(distance, 9)
-        for i, row in enumerate(part):
-            for c in np.flatnonzero(np.isnan(row)):
-                usable = np.flatnonzero(~np.isnan(have[:, c]) & ~np.isnan(distance[i]))
-                if not len(usable):
-                    continue
-                best = usable[np.lexsort((order[usable], distance[i, usable]))[:k]]
-                yield (
-                    receivers["key"].iat[start + i], int(c),
-                    [{"distance": float(distance[i, b]), "key": order[b], "value": float(have[b, c])} for b in best],
-                )
+            distance = np.round(np.sqrt(squared.sum(axis=2) * width / both.sum(axis=2)), 9)
+        distance = np.where(np.isnan(distance), np.inf, distance)
+        for c in np.flatnonzero(np.isnan(part).any(axis=0)):
+            want, give = np.flatnonzero(np.isnan(part[:, c])), np.flatnonzero(~np.isnan(have[:, c]))
+            near = distance[np.ix_(want, give)]
+            # stable: equal distances stay in the order of the donor keys
+            best = np.argsort(near, axis=1, kind="stable")[:, :k]
+            reach = np.take_along_axis(near, best, axis=1).ravel()
+            who, donor = np.repeat(want + start, best.shape[1]), give[best].ravel()
+            keep = np.isfinite(reach)
+            found.append(pd.DataFrame({
+                "key": receivers["key"].to_numpy()[who[keep]], "column": np.int32(c), "distance": reach[keep],
+                "donor": donors["key"].to_numpy()[donor[keep]], "value": have[donor[keep], c],
+            }))
+    return pd.concat(found) if found else pd.DataFrame(columns=["key", "column", "distance", "donor", "value"])
+
+
+def _matrix(arrays: pd.Series) -> np.ndarray:
+    return np.array([np.asarray(x, dtype=float) for x in arrays])
 
 
 def nearest_rows_mean(
@@ -107,27 +113,20 @@ def nearest_rows_mean(
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     keys = ", ".join(f"{b} {kinds[b]}" for b in by) + (", " if by else "")
-    schema = (
-        f"{keys}key {kinds['key']}, column int, "
-        f"donors array<struct<distance:double,key:{kinds['key']},value:double>>"
-    )
+    schema = f"{keys}key {kinds['key']}, column int, distance double, donor {kinds['key']}, value double"
 
     def search(receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "key", "column", "donors"]
         if not len(receivers) or not len(donors):
-            return pd.DataFrame(columns=names)
-        for side in (receivers, donors):
-            side["x"] = [np.array([np.nan if v is None else v for v in x], dtype=float) for x in side["x"]]
-        same = [receivers[b].iat[0] for b in by]
-        return pd.DataFrame(
-            [(*same, *found) for found in _nearest_donors(receivers, donors, k)], columns=names
-        )
+            return pd.DataFrame(columns=[*by, "key", "column", "distance", "donor", "value"])
+        found = _nearest_donors(receivers, donors, k)
+        return found.assign(**{b: receivers[b].iat[0] for b in by})[
+            [*by, "key", "column", "distance", "donor", "value"]
+        ]
 
     group = [*by, "_mine", "_block"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, schema)
-    flat = found.select(*by, "key", "column", F.explode("donors").alias("_d"))
-    best = first_rows(flat, [*by, "key", "column"], ["_d.distance", "_d.key"], k)
-    means = best.groupBy(*by, "key", "column").agg(F.avg("_d.value").alias("_near"))
+    best = first_rows(found, [*by, "key", "column"], ["distance", "donor"], k)
+    means = best.groupBy(*by, "key", "column").agg(F.avg("value").alias("_near"))
     entries = rows.select(*by, "key", F.posexplode("x").alias("column", "_v"))
     overall = entries.groupBy(*by, "column").agg(F.avg("_v").alias("_all"))
     gaps = entries.filter("_v IS NULL").drop("_v")

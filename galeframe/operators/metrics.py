@@ -149,3 +149,27 @@ def signed_rank(df: DataFrame, delta: str, chunk: Column) -> DataFrame:
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
     return total.select("n", "w_plus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4.0, spread).alias("z"))
+
+
+def disagreement(df: DataFrame, models: Sequence[str], into: str = "diff") -> DataFrame:
+    """Mean absolute difference over all pairs of model columns."""
+    gaps = [F.abs(F.col(a) - F.col(b)) for i, a in enumerate(models) for b in models[i + 1 :]]
+    return df.withColumn(into, F.round(sum(gaps[1:], gaps[0]) / len(gaps), 9))
+
+
+def consolidate(results: DataFrame, persistence: DataFrame, keys: Sequence[str], index: Sequence[str]) -> DataFrame:
+    """Mean RMSE and skill against the persistence of the same key, best skill first."""
+    ref = persistence.select(*keys, F.col("rmse").alias("_p"))
+    rows = results.join(ref, [*keys], "left").withColumn("skill", 1.0 - F.try_divide(F.col("rmse"), F.col("_p")))
+    out = rows.groupBy(*index).agg(F.avg("rmse").alias("rmse"), F.avg("skill").alias("skill"))
+    return out.orderBy(F.desc_nulls_last("skill"))
+
+
+def prediction_table(runs: DataFrame, keys: Sequence[str], leads: str, values: Sequence[str]) -> DataFrame:
+    """One row per run and lead from per-run arrays; ``starttime`` is among the keys."""
+    rows = runs.select(*keys, F.explode(F.arrays_zip(leads, *values)).alias("_z"))
+    horizon = F.col(f"_z.{leads}").cast("int")
+    valid = F.timestamp_seconds(F.unix_timestamp("starttime") + horizon * 3600)
+    return rows.select(
+        *keys, horizon.alias("horizon"), valid.alias("valid_time"), *[F.col(f"_z.{v}").alias(v) for v in values]
+    )

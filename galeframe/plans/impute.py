@@ -41,7 +41,7 @@ RANKED_SQL = """SELECT station_id, ts AS "timestamp", avg(v) AS v FROM (SELECT a
     ts="timestamp",
 )
 def i01(t):
-    return I.impute_rows(t.hourly, STATION, "timestamp", ["wind_speed", "temperature"], 5, block_unit="week")
+    return I.impute_rows(t.hourly, STATION, "timestamp", ["wind_speed", "temperature"], 5)
 
 
 @query(
