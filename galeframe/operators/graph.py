@@ -56,7 +56,7 @@ def edge_features(
     extra = [*([altitude] if altitude else []), *differences]
     ends = []
     for name, dim in (("src", src), ("dst", dst)):
-        cols = ["latitude", "longitude", *extra]
+        cols = dict.fromkeys(["latitude", "longitude", *extra])
         ends.append(dim.select(F.col("id").alias(name), *[F.col(c).alias(f"_{name}_{c}") for c in cols]))
     rows = edges.join(ends[0], "src").join(ends[1], "dst")
     top = F.lit(max_km) if max_km else edges.agg((F.max("distance") + 1e-8).alias("m")).scalar()

@@ -182,6 +182,11 @@ def first_rows(
     return out if rank else out.drop(name)
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], into: str) -> DataFrame:
+    """Row number within keys whose groups are small by construction (a dimension, k neighbours)."""
+    return df.withColumn(into, F.row_number().over(_spec(by).orderBy(*order)))
+
+
 def islands(
     df: DataFrame, by: Sequence[str], index: str, chunk: Column
 ) -> DataFrame:

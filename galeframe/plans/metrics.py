@@ -309,11 +309,12 @@ def m19(t):
     num="avg_weight",
 )
 def m20(t):
-    from galeframe.operators.ordering import first_rows
+    from galeframe.operators.ordering import ranked
 
+    # one row per feature name is left, a short list
     means = t.weights.groupBy("feature_type", "feature_name").agg(F.avg("avg_weight").alias("avg_weight"))
     best_first = [F.round("avg_weight", 9).desc(), "feature_name"]
-    return first_rows(means, ["feature_type"], best_first, 1_000_000, "rank")
+    return ranked(means, ["feature_type"], best_first, "rank")
 
 
 @query(
