@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.operators.ordering import group_ranks
+
 
 def _pair(truth: Column | str, pred: Column | str) -> tuple[Column, Column]:
     """Both sides, null unless both are present."""
@@ -128,22 +130,14 @@ def signed_rank(df: DataFrame, delta: str, chunk: Column) -> DataFrame:
     Equal magnitudes share their mean rank. Ranks come from counts per magnitude, so
     ``chunk`` (coarser than the magnitude, order-preserving) bounds what a task holds.
     """
-    magnitudes = (
-        df.filter(F.col(delta).isNotNull() & (F.col(delta) != 0))
-        .groupBy(F.abs(delta).alias("_m"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(delta) > 0).alias("_up"))
-        .withColumn("_chunk", chunk(F.col("_m")))
-    )
-    sums = magnitudes.groupBy("_chunk").agg(F.sum("_c").alias("_s"))
-    along = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_chunk", F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_chunk").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = magnitudes.join(sums, "_chunk").withColumn(
-        "_rank", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + (F.col("_c") + 1) / 2.0
+    magnitudes = df.filter(F.col(delta) != 0).select(F.abs(delta).alias("_m"), (F.col(delta) > 0).alias("_up"))
+    tied = group_ranks(magnitudes, [], "_m", chunk(F.col("_m")), "_first").groupBy("_m", "_first").agg(
+        F.count(F.lit(1)).alias("_c"), F.count_if("_up").alias("_n_up")
     )
+    ranked = tied.withColumn("_rank", F.col("_first") + (F.col("_c") - 1) / 2.0)
     total = ranked.agg(
         F.sum("_c").alias("n"),
-        F.sum(F.col("_rank") * F.col("_up")).alias("w_plus"),
+        F.sum(F.col("_rank") * F.col("_n_up")).alias("w_plus"),
         F.sum(F.pow(F.col("_c").cast("double"), F.lit(3.0)) - F.col("_c")).alias("_ties"),
     )
     n = F.col("n").cast("double")

@@ -234,7 +234,7 @@ def enclosing_labels(
     chosen = grouped.withColumn("_p", F.explode(F.aggregate("_all", start, take))).join(goal, "target_id")
 
     def share(axis: str) -> Column:
-        return (F.col(axis) - F.col(f"_SW_{axis}")) / (F.col(f"_NE_{axis}") - F.col(f"_SW_{axis}"))
+        return F.try_divide(F.col(axis) - F.col(f"_SW_{axis}"), F.col(f"_NE_{axis}") - F.col(f"_SW_{axis}"))
 
     return chosen.select(
         "target_id", F.col("_p.label").alias("label"), F.col("_p.near_id").alias("near_id"),

@@ -187,6 +187,29 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], into
     return df.withColumn(into, F.row_number().over(_spec(by).orderBy(*order)))
 
 
+def group_ranks(
+    df: DataFrame, by: Sequence[str], value: str, chunk: Column, into: str = "rank", total: str | None = None
+) -> DataFrame:
+    """Rank of each value within its group, equal values sharing the smallest one.
+
+    Values are counted first; ranks are running sums of those counts, taken per
+    ``chunk`` (an order-preserving function of ``value``) and then along the chunks.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_chunk", chunk)
+    keys = [*by, "_chunk"]
+    before = _spec(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys).agg(F.sum("_c").alias("_s")).select(
+        *keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(_spec(by)).alias("_size")
+    )
+    inside = _spec(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum("_c").over(inside), F.lit(0)) + 1
+    placed = counts.withColumn("_local", local).join(sums, keys)
+    columns = [(F.col("_before") + F.col("_local")).alias(into)]
+    if total:
+        columns.append(F.col("_size").alias(total))
+    return df.join(placed.select(*by, value, *columns), [*by, value])
+
+
 def islands(
     df: DataFrame, by: Sequence[str], index: str, chunk: Column
 ) -> DataFrame:

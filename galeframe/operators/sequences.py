@@ -217,11 +217,15 @@ def interpolate_cubic(
         gaps.select(*by, pos), knots.select(*by, F.col(pos).alias("_at"), "_k"), by, pos, "_at", ["_k"],
         chunk=lambda t: F.floor(t / block),
     ).filter("_k IS NOT NULL")
-    home = F.floor(F.col("_k") / block)
     first, last = (F.floor((F.col("_k") + d) / block) for d in (-SPLINE_HALO - 1, SPLINE_HALO))
-    shared = knots.withColumn("_block", F.explode(F.sequence(first, last))).select(*by, pos, "_y", "_block")
-    wanted = placed.withColumn("_block", home).select(*by, pos, F.lit(None).cast("double").alias("_y"), "_block")
-    rows = shared.unionByName(wanted)
+    # a long outage hangs on one knot, so the rows to fill are cut by position as well
+    wanted = placed.select(
+        *by, pos, F.lit(None).cast("double").alias("_y"), F.floor(F.col("_k") / block).alias("_block"),
+        F.floor(F.col(pos) / (16 * block)).alias("_part"),
+    )
+    tasks = wanted.select(*by, "_block", "_part").distinct()
+    shared = knots.withColumn("_block", F.explode(F.sequence(first, last))).join(tasks, [*by, "_block"])
+    rows = wanted.unionByName(shared.select(*by, pos, "_y", "_block", "_part"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         known, hole = pdf[pdf["_y"].notna()].sort_values(pos), pdf[pdf["_y"].isna()]
@@ -233,7 +237,7 @@ def interpolate_cubic(
         return hole[[*by, pos, "_y"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by, pos, "_y").schema)
-    filled = rows.groupBy(*by, "_block").applyInPandas(solve, schema)
+    filled = rows.groupBy(*by, "_block", "_part").applyInPandas(solve, schema)
     filled = filled.withColumn("_y", F.nanvl("_y", F.lit(None).cast("double")))
     out = df.join(filled, [*by, pos], "left")
     return out.withColumn(col, F.coalesce(F.col(col), F.col("_y"))).select(*df.columns)

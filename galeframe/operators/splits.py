@@ -146,22 +146,29 @@ def draw_number(seed: int, *parts: Column | str) -> Column:
 
 
 def mask_targets(
-    runs: DataFrame, stations: DataFrame, run_key: str, low: int, high: int, neighbours: int, seed: int
+    runs: DataFrame, stations: DataFrame, run_key: str, low: int, high: int, neighbours: int, seed: int,
+    orders: int = 64,
 ) -> DataFrame:
     """Targets and neighbours drawn per run: ``run_key, station_id, role``.
 
-    ``low`` to ``high`` stations become targets, whose history is to be zeroed; the next
-    ``neighbours`` are kept, both in seeded order. Every run sees all stations, so the
-    result has runs x stations candidates by definition; only the drawn ones leave a task.
+    ``low`` to ``high`` stations become targets, whose history is to be zeroed, and the
+    next ``neighbours`` are kept. Stations are shuffled into ``orders`` circles; a run
+    takes a stretch of one of them, so only the drawn stations meet a run.
     """
-    listed = stations.agg(F.collect_set("station_id").alias("s")).scalar()
+    circles = stations.select("station_id", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_circle"))
+    circles = circles.withColumn("_h", draw(seed, "_circle", "station_id"))
+    placed = positions(circles, ["_circle"], ["_h", "station_id"], F.substring("_h", 1, 2), "_p")
+    placed = placed.select("_circle", (F.col("_p") - 1).alias("_at"), "station_id")
+    size = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
     wanted = F.lit(low) + draw_number(seed, run_key) % (high - low + 1)
-    rows = runs.select(run_key, wanted.alias("_n"), F.explode(listed).alias("station_id"))
-    order = F.array_sort(F.collect_list(F.struct(draw(seed, run_key, "station_id").alias("h"), "station_id")))
-    drawn = rows.groupBy(run_key, "_n").agg(F.slice(order, 1, high + neighbours).alias("_drawn"))
-    out = drawn.select(run_key, "_n", F.posexplode("_drawn").alias("_i", "_d"))
-    role = F.when(F.col("_i") < F.col("_n"), "target").when(F.col("_i") < F.col("_n") + neighbours, "neighbour")
-    return out.select(run_key, F.col("_d.station_id").alias("station_id"), role.alias("role")).filter("role IS NOT NULL")
+    start = draw_number(seed + 1, run_key)
+    picks = runs.select(run_key, wanted.alias("_n"), (draw_number(seed + 2, run_key) % orders).alias("_circle"), start.alias("_start"))
+    picks = picks.withColumn("_size", size).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.least(F.col("_n") + neighbours, F.col("_size")) - 1))
+    )
+    drawn = picks.withColumn("_at", (F.col("_start") + F.col("_i")) % F.col("_size")).join(placed, ["_circle", "_at"])
+    role = F.when(F.col("_i") < F.col("_n"), "target").otherwise("neighbour")
+    return drawn.select(run_key, "station_id", role.alias("role"))
 
 
 def assign_turbines(stations: DataFrame, turbines: DataFrame, seed: int) -> DataFrame:

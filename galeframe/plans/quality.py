@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galeframe.operators import quality as Q
 from galeframe.operators.neighbours import k_nearest
-from galeframe.operators.ordering import first_rows
+from galeframe.operators.ordering import first_rows, group_ranks
 from galeframe.plans.aggregates import nearest_nodes, nearest_sql
 from galeframe.plans.registry import query
 
@@ -122,14 +122,11 @@ def n09(t):
     num="distance",
 )
 def n10(t):
-    from pyspark.sql import Window
-
-    near = k_nearest(t.stations, t.grid, 6)
-    node = Window.partitionBy("near_id")
-    return near.select(
-        F.col("target_id").alias("station_id"), F.col("near_id").alias("grid_id"), "distance",
-        F.rank().over(node.orderBy(F.round("distance", 6))).alias("rank"), F.count(F.lit(1)).over(node).alias("n_stations"),
+    near = k_nearest(t.stations, t.grid, 6).select(
+        F.col("target_id").alias("station_id"), F.col("near_id").alias("grid_id"), "distance", F.round("distance", 6).alias("d")
     )
+    out = group_ranks(near, ["grid_id"], "d", F.floor("d"), total="n_stations")
+    return out.withColumn("rank", F.col("rank").cast("int")).drop("d")
 
 
 @query(

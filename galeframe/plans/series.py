@@ -249,16 +249,12 @@ def e10(t):
     WHERE d <= 100""",
 )
 def e11(t):
-    from pyspark.sql import Window
-
-    # a node sees only the stations within the radius, so its window stays small
     pairs = within(t.nodes, t.stations, 100.0, "grid_id", "station_id")
-    node = Window.partitionBy("target_id")
-    return pairs.select(
-        F.col("target_id").alias("grid_id"), F.col("near_id").alias("station_id"),
-        F.rank().over(node.orderBy(F.round("distance", 6))).alias("rank"),
-        F.count(F.lit(1)).over(node).alias("n_stations"),
+    rows = pairs.select(
+        F.col("target_id").alias("grid_id"), F.col("near_id").alias("station_id"), F.round("distance", 6).alias("d")
     )
+    out = O.group_ranks(rows, ["grid_id"], "d", F.floor("d"), total="n_stations")
+    return out.withColumn("rank", F.col("rank").cast("int")).drop("d")
 
 
 @query(

@@ -178,15 +178,16 @@ def j10_modal(t):
     return runs.groupBy("grid_id", "starttime").agg(F.count(F.lit(1)).alias("n"))
 
 
-MASK_SQL = """SELECT r.starttime, s.station_id, 2 + CAST('0x' || substring(md5('7|' || strftime(r.starttime, '%Y-%m-%d %H:%M:%S')), 1, 4) AS INTEGER) % 4 AS n,
-    row_number() OVER (PARTITION BY r.starttime ORDER BY md5('7|' || strftime(r.starttime, '%Y-%m-%d %H:%M:%S') || '|' || s.station_id)) AS i
-    FROM (SELECT DISTINCT starttime FROM nwp) r CROSS JOIN stations s"""
+DRAW_SQL = "CAST('0x' || substring(md5('{seed}|' || r), 1, 4) AS INTEGER)"
+MASK_SQL = f"""WITH u AS (SELECT DISTINCT strftime(starttime, '%Y-%m-%d %H:%M:%S') AS r FROM nwp), s AS (SELECT count(*) AS size FROM stations),
+    c AS (SELECT station_id, c, row_number() OVER (PARTITION BY c ORDER BY md5('7|' || c || '|' || station_id), station_id) - 1 AS p
+        FROM stations CROSS JOIN (SELECT unnest(range(64)) AS c)),
+    w AS (SELECT r, size, 2 + {DRAW_SQL.format(seed=7)} % 4 AS n, {DRAW_SQL.format(seed=8)} AS a, {DRAW_SQL.format(seed=9)} % 64 AS c FROM u CROSS JOIN s),
+    i AS (SELECT *, unnest(range(least(n + 6, size))) AS i FROM w)
+    SELECT r AS starttime, station_id, CASE WHEN i < n THEN 'target' ELSE 'neighbour' END AS role FROM i JOIN c ON c.c = i.c AND c.p = (a + i) % size"""
 
 
-@query(
-    "j11_masked_targets",
-    f"""SELECT strftime(starttime, '%Y-%m-%d %H:%M:%S') AS starttime, station_id, CASE WHEN i <= n THEN 'target' ELSE 'neighbour' END AS role FROM ({MASK_SQL}) WHERE i <= n + 6""",
-)
+@query("j11_masked_targets", MASK_SQL)
 def j11(t):
     runs = t.nwp.select(F.date_format("starttime", "yyyy-MM-dd HH:mm:ss").alias("starttime")).distinct()
     return SP.mask_targets(runs, t.stations, "starttime", 2, 5, 6, seed=7)

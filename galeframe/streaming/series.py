@@ -40,7 +40,9 @@ def latest_forecasts(stream: DataFrame, by: Sequence[str], valid: str, value: Se
     return rows.select(*by, valid, *[F.col("_best")[v].alias(v) for v in value])
 
 
-def append_new_runs(store_path: str, run: Sequence[str], row: Sequence[str], expected: int) -> Callable[[DataFrame, int], None]:
+def append_new_runs(
+    store_path: str, run: Sequence[str], row: Sequence[str], expected: int, run_time: str = "starttime"
+) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that appends rows of runs that are new or not yet complete.
 
     Of rows with one key in a batch, and of a batch against the store, the first wins.
@@ -50,11 +52,14 @@ def append_new_runs(store_path: str, run: Sequence[str], row: Sequence[str], exp
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         order = [c for c in batch.columns if c not in (*run, *row)]
-        unique = batch.groupBy(*run, *row).agg(F.min(F.struct(*order)).alias("_v")).select(*run, *row, "_v.*")
-        earlier = read_store(spark, store_path, unique.schema, before=batch_id)
+        unique = batch.groupBy(*run, *row).agg(F.min(F.struct(*order)).alias("_v")).select(*run, *row, "_v.*").persist()
+        # only the part of the store that overlaps the batch in time is read
+        low, high = unique.agg(F.min(run_time), F.max(run_time)).first()
+        earlier = read_store(spark, store_path, unique.schema, before=batch_id).filter(F.col(run_time).between(low, high))
         whole = earlier.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= expected)
         fresh = unique.join(whole, [*run], "left_anti").join(earlier.select(*run, *row), [*run, *row], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+        unique.unpersist()
 
     return sink
 
