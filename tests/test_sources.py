@@ -134,7 +134,9 @@ def test_pushed_predicates(spark, tmp_path):
     keep = readers.multilevel_filter([(50.0, 8.0), (51.0, 8.0)], T0, T0 + timedelta(days=1), [10, 38])
     df = spark.read.parquet(path).filter(keep)
     assert df.count() == 1
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "In(height, [10,38])" in plan and "GreaterThanOrEqual(starttime" in plan and "EqualTo(latitude,50.0)" in plan
 
 
