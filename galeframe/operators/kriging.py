@@ -291,7 +291,7 @@ def leave_one_out(
 
     The linear trend, the kriged residual and the other two estimates are sums over
     the same k neighbour rows, so one aggregation yields them all. A (station, time)
-    with a missing neighbour is skipped; without covariates ``rk_pred`` falls back
+    that is not observed or misses a neighbour is skipped; without covariates ``rk_pred`` falls back
     to the ordinary kriging value.
     """
     cols = [value, *([covariate] if covariate else [])]
@@ -310,7 +310,7 @@ def leave_one_out(
         ]
     keys = [*by, time, "target_id"]
     out = rows.groupBy(*keys).agg(F.count(z).alias("_n"), *picks).filter(F.col("_n") == k)
-    own = series.select(*by, time, F.col("station_id").alias("target_id"), *cols)
+    own = series.filter(z.isNotNull()).select(*by, time, F.col("station_id").alias("target_id"), *cols)
     out = out.join(own, keys)
     if covariate:
         a = F.col("_mz") - F.col("_b") * F.col("_mx")
@@ -326,6 +326,35 @@ def leave_one_out(
     )
 
 
+def leave_one_out_components(
+    series: DataFrame,
+    weights: DataFrame,
+    value: str,
+    u: str,
+    v: str,
+    k: int,
+    covariate: str | None = None,
+    time: str = "timestamp",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Leave-one-out of the speed and, with the same weights, of both wind components.
+
+    Adds ``u_*`` and ``v_*`` where both components can be predicted, and per method the
+    speed of the predicted components as ``uv_*``.
+    """
+    keys = [*by, time, "station_id"]
+    methods = ["idw_pred", "ok_pred", "rk_pred"]
+    parts = [
+        leave_one_out(series, weights, c, k, covariate, time=time, by=by).withColumnsRenamed(
+            {m: f"{name}_{m}" for m in ["observed", *methods]}
+        )
+        for name, c in (("u", u), ("v", v))
+    ]
+    speed = leave_one_out(series, weights, value, k, covariate, time=time, by=by)
+    out = speed.join(parts[0].join(parts[1], keys), keys, "left")
+    return out.withColumns({f"uv_{m}": F.hypot(f"u_{m}", f"v_{m}") for m in methods})
+
+
 def regression_kriging(
     series: DataFrame,
     weights: DataFrame,
@@ -348,8 +377,9 @@ def regression_kriging(
     member = F.struct("rank", F.col(value).alias("z"), F.col("weight").alias("w"), features.alias("f"))
     keys = [*by, time, "target_id"]
     rows = rows.filter(whole).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_near"))
-    own = series.select(*by, time, F.col("station_id").alias("target_id"), features.alias("_own"),
-                        F.col(value).alias("observed"))
+    own = series.filter(F.col(value).isNotNull()).select(
+        *by, time, F.col("station_id").alias("target_id"), features.alias("_own"), F.col(value).alias("observed")
+    )
     rows = rows.filter(F.size("_near") == k).join(own, keys)
     rows = rows.filter(~F.exists("_own", lambda x: x.isNull()))
 
@@ -400,14 +430,16 @@ def global_trend_kriging(
         *by, time, F.col("station_id").alias("target_id"), F.col(value).alias("observed"),
         F.col(covariate).alias("_x0"), "_a", "_b",
     )
-    rows = neighbour_values(series, weights, [value, covariate], time, by).join(own, [*by, time, "target_id"])
+    keys = [*by, time, "target_id"]
+    rows = neighbour_values(series, weights, [value, covariate], time, by).join(own, keys)
     residual = z - F.col("_a") - F.col("_b") * x
     present = F.when(residual.isNotNull(), F.col("weight"))
-    keys = [*by, time, "target_id", "observed", "_x0", "_a", "_b"]
-    out = rows.groupBy(*keys).agg(F.try_divide(F.sum(present * residual), F.sum(present)).alias("_r"))
+    kriged_residual = rows.groupBy(*keys).agg(F.try_divide(F.sum(present * residual), F.sum(present)).alias("_r"))
+    # without any neighbour the trend stands alone
+    out = own.join(kriged_residual, keys, "left")
     return out.select(
         *by, time, F.col("target_id").alias("station_id"), "observed",
-        (F.col("_a") + F.col("_b") * F.col("_x0") + F.col("_r")).alias("rk_pred"),
+        (F.col("_a") + F.col("_b") * F.col("_x0") + F.coalesce(F.col("_r"), F.lit(0.0))).alias("rk_pred"),
     )
 
 

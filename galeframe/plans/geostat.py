@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galeframe.functions.geo import bearing_degrees
+from galeframe.functions.physics import wind_components
 from galeframe.operators import graph as G
 from galeframe.operators import kriging as K
 from galeframe.operators import metrics as M
@@ -205,7 +206,7 @@ def k07(t):
     f"""WITH w AS ({TWO_SQL}) SELECT w.target_id AS station_id, x."timestamp", wa * x.wind_speed + (1 - wa) * y.wind_speed AS ok_pred
     FROM w JOIN hourly x ON x.station_id = w.a JOIN hourly y ON y.station_id = w.b AND y."timestamp" = x."timestamp"
     JOIN hourly o ON o.station_id = w.target_id AND o."timestamp" = x."timestamp"
-    WHERE x.wind_speed IS NOT NULL AND y.wind_speed IS NOT NULL""",
+    WHERE x.wind_speed IS NOT NULL AND y.wind_speed IS NOT NULL AND o.wind_speed IS NOT NULL""",
     num="ok_pred",
     ts="timestamp",
 )
@@ -258,6 +259,69 @@ def k11_anisotropic(t):
     )
 
 
+COMPONENTS_SQL = """SELECT station_id, date_trunc('hour', "timestamp") AS ts, avg(wind_speed) AS s,
+    avg(-wind_speed * sin(radians(wind_direction))) AS u, avg(-wind_speed * cos(radians(wind_direction))) AS v FROM raw GROUP BY 1, 2"""
+
+
+@query(
+    "k11_wind_components",
+    f"""WITH w AS ({TWO_SQL}), h AS ({COMPONENTS_SQL}),
+    p AS (SELECT w.target_id AS station_id, o.ts, o.s AS observed, wa * x.s + (1 - wa) * y.s AS ok_pred, wa * x.u + (1 - wa) * y.u AS u, wa * x.v + (1 - wa) * y.v AS v
+        FROM w JOIN h x ON x.station_id = w.a JOIN h y ON y.station_id = w.b AND y.ts = x.ts JOIN h o ON o.station_id = w.target_id AND o.ts = x.ts)
+    SELECT station_id, ts AS "timestamp", observed, ok_pred, u AS u_ok_pred, v AS v_ok_pred, sqrt(u * u + v * v) AS uv_ok_pred FROM p""",
+    num="observed ok_pred u_ok_pred v_ok_pred uv_ok_pred",
+    ts="timestamp",
+)
+def k11_components(t):
+    u, v = wind_components("wind_speed", "wind_direction")
+    hour = F.date_trunc("hour", "timestamp").alias("timestamp")
+    series = t.raw.groupBy("station_id", hour).agg(
+        F.avg("wind_speed").alias("wind_speed"), F.avg(u).alias("u"), F.avg(v).alias("v")
+    )
+    out = K.leave_one_out_components(series, measured_weights(t, 2), "wind_speed", "u", "v", 2)
+    return out.select("station_id", "timestamp", "observed", "ok_pred", "u_ok_pred", "v_ok_pred", "uv_ok_pred")
+
+
+@query(
+    "k10_regression_kriging_two_neighbours",
+    f"""WITH w AS ({TWO_SQL}), h AS ({FILLED_SQL}),
+    p AS (SELECT w.target_id AS station_id, o."timestamp", o.temperature AS xo, x.temperature AS xa, y.temperature AS xb,
+        x.wind_speed AS za, y.wind_speed AS zb, wa * x.wind_speed + (1 - wa) * y.wind_speed AS ok
+        FROM w JOIN h x ON x.station_id = w.a JOIN h y ON y.station_id = w.b AND y."timestamp" = x."timestamp"
+        JOIN h o ON o.station_id = w.target_id AND o."timestamp" = x."timestamp")
+    SELECT station_id, "timestamp", CASE WHEN xa = xb THEN ok ELSE za + (zb - za) / (xb - xa) * (xo - xa) END AS rk_pred FROM p""",
+    num="rk_pred",
+    ts="timestamp",
+)
+def k10_two(t):
+    """A line through two neighbours leaves no residual, unless their covariates are equal."""
+    out = K.leave_one_out(filled_hourly(t), measured_weights(t, 2), "wind_speed", 2, covariate="temperature")
+    return out.select("station_id", "timestamp", "rk_pred")
+
+
+SEEN = "g.z - icpt - slope * g.x"
+
+
+@query(
+    "k12_global_trend_two_neighbours",
+    f"""WITH w AS ({TWO_SQL}), e AS (SELECT target_id, a AS near_id, wa AS wt FROM w UNION ALL SELECT target_id, b, 1 - wa FROM w),
+    f AS (SELECT station_id, "timestamp" AS ts, wind_speed AS z, temperature AS x, CASE WHEN wind_speed + temperature IS NULL THEN 0 ELSE 1 END AS k FROM hourly),
+    t AS (SELECT ts, sum(k) AS n, coalesce(sum(x) FILTER (k = 1), 0) AS sx, coalesce(sum(z) FILTER (k = 1), 0) AS sz,
+        coalesce(sum(x * x) FILTER (k = 1), 0) AS sxx, coalesce(sum(x * z) FILTER (k = 1), 0) AS sxz FROM f GROUP BY ts),
+    o AS (SELECT f.station_id, f.ts, f.z, f.x, nullif(t.n - k, 0) AS n, sx - CASE WHEN k = 1 THEN f.x ELSE 0 END AS sx, sz - CASE WHEN k = 1 THEN f.z ELSE 0 END AS sz,
+        sxx - CASE WHEN k = 1 THEN f.x * f.x ELSE 0 END AS sxx, sxz - CASE WHEN k = 1 THEN f.x * f.z ELSE 0 END AS sxz FROM f JOIN t USING (ts)),
+    b AS (SELECT *, CASE WHEN sxx - sx * (sx / n) > 1e-9 THEN (sxz - sx * (sz / n)) / (sxx - sx * (sx / n)) ELSE 0 END AS slope FROM o),
+    c AS (SELECT *, sz / n - slope * (sx / n) AS icpt FROM b),
+    r AS (SELECT c.station_id, c.ts, sum(wt * ({SEEN})) / nullif(sum(wt) FILTER ({SEEN} IS NOT NULL), 0) AS r
+        FROM c JOIN e ON e.target_id = c.station_id JOIN f g ON g.station_id = e.near_id AND g.ts = c.ts GROUP BY ALL)
+    SELECT c.station_id, c.ts AS "timestamp", c.z AS observed, icpt + slope * c.x + coalesce(r.r, 0) AS rk_pred FROM c LEFT JOIN r USING (station_id, ts)""",
+    num="observed rk_pred",
+    ts="timestamp",
+)
+def k12_two(t):
+    return K.global_trend_kriging(t.hourly, measured_weights(t, 2), "wind_speed", "temperature")
+
+
 @query("k12_global_trend_kriging", num="observed rk_pred", ts="timestamp")
 def k12(t):
     return K.global_trend_kriging(t.hourly, measured_weights(t, 5), "wind_speed", "temperature")

@@ -152,12 +152,12 @@ def c08(t):
 @query(
     "c09_nearest_in_degrees_with_facts",
     f"""SELECT k.station_id, grid_id, CAST(k.rank AS INTEGER) AS rank, n.starttime, n.forecasttime, n.u_wind
-    FROM ({nearest_sql(2, 'degrees')}) k JOIN nwp n USING (grid_id) WHERE n.height = 10 AND n.forecasttime <= 3""",
+    FROM ({nearest_sql(2, 'degrees')}) k JOIN nwp n USING (grid_id) WHERE n.height = 10""",
     num="u_wind",
     ts="starttime",
 )
 def c09(t):
-    facts = t.nwp.filter("height = 10 AND forecasttime <= 3").select(*RUN, "u_wind")
+    facts = t.nwp.filter("height = 10").select(*RUN, "u_wind")
     return nearest_nodes(t, 2, "degrees").drop("distance").join(facts, "grid_id")
 
 

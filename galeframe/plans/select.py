@@ -41,6 +41,19 @@ def a01(t):
     return readers.read_stations(t.spark, path, schema).select("station_id", "timestamp", "wind_speed", "temperature")
 
 
+@query(
+    "a04_second_model",
+    "SELECT starttime, forecasttime, u_wind AS u_wind_10m, v_wind AS v_wind_10m FROM ec",
+    num="u_wind_10m v_wind_10m",
+    ts="starttime",
+)
+def a04(t):
+    path = folder(t, "second")
+    mixed = t.ec.select("starttime", "forecasttime", F.col("u_wind").alias("u_wind10m"), F.col("v_wind").alias("v_wind_10m"))
+    mixed.write.parquet(path)
+    return readers.read_second_model(t.spark, path, ["u_wind_10m", "v_wind10m"])[0]
+
+
 @query(
     "a05_multilevel_filter",
     """SELECT grid_id, starttime, forecasttime, u_wind, n.qs FROM nwp n JOIN nodes USING (grid_id)

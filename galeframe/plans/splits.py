@@ -96,11 +96,11 @@ def j04(t):
     "j05_holdout_station_folds",
     """SELECT event_id, CASE WHEN least((p - 1) // (n // 5), 4) >= 1 THEN least((p - 1) // (n // 5), 4) - 1 END AS val_fold FROM (
         SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) AS p, count(*) OVER () AS n FROM raw
-        WHERE station_id IN ('00003', '00007', '00008'))""",
+        WHERE station_id IN (SELECT station_id FROM stations WHERE station_height < 1200))""",
     num="val_fold",
 )
 def j05(t):
-    held = t.raw.filter(F.col("station_id").isin("00003", "00007", "00008"))
+    held = t.raw.join(t.stations.filter("station_height < 1200"), "station_id", "left_semi")
     return SP.holdout_folds(held, ["timestamp", "event_id"], 4, day_chunk("timestamp")).select("event_id", "val_fold")
 
 

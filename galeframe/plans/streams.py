@@ -14,8 +14,7 @@ from galeframe.streaming import series as S
 
 
 def table_stream(t, name):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
-    return S.read_table_stream(t.spark, t.sf_dir, name, schema)
+    return S.read_table_stream(t.spark, t.sf_dir, name)
 
 
 @query(

@@ -29,6 +29,9 @@ def local_session(app: str = "galeframe", cores: str = "*", partitions: int = 8)
     )
 
 
+_local_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
@@ -41,6 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="galeframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_dir:
+        _local_dir.append(tempfile.mkdtemp(prefix="galeframe-"))
+    return _local_dir[0]

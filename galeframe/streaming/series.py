@@ -13,10 +13,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from galeframe.session import shared_dir
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """File stream over the parquet files of one table in a folder."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
-    zoned = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"}
+def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """File stream over the table ``{folder}/{name}.parquet``, a single file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    first = table.select("_metadata.file_path").first()
+    stream = spark.readStream.schema(table.schema)
+    if first and first[0].endswith(f"/{name}.parquet"):
+        stream = stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        stream = stream.parquet(path)
+    zoned = {c: F.col(c).cast("timestamp") for c, t in table.dtypes if t == "timestamp_ntz"}
     return stream.withColumns(zoned) if zoned else stream
 
 
