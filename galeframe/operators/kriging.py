@@ -305,7 +305,8 @@ def leave_one_out(
         x = F.col(covariate)
         picks += [
             F.count(x).alias("_nx"), F.sum(w).alias("_w"), F.sum(w * x).alias("_wx"),
-            F.coalesce(F.regr_slope(z, x), F.lit(0.0)).alias("_b"),
+            # covariates that differ by rounding alone carry no trend
+            F.when(F.stddev_pop(x) > 1e-9 * (F.avg(F.abs(x)) + 1e-9), F.regr_slope(z, x)).otherwise(0.0).alias("_b"),
             F.avg(z).alias("_mz"), F.avg(x).alias("_mx"),
         ]
     keys = [*by, time, "target_id"]

@@ -54,7 +54,7 @@ def i01(t):
     e AS (SELECT a, b, bx, round(sqrt(list_sum(q) * len(q) / nullif(len(list_filter(q, lambda v: v IS NOT NULL)), 0)), 9) AS d, ax FROM d),
     n AS (SELECT a, i, avg(v) AS v FROM (SELECT a, i, bx[i] AS v, row_number() OVER (PARTITION BY a, i ORDER BY d, b) AS rn
         FROM e CROSS JOIN (SELECT unnest(range(1, 11)) AS i) WHERE d IS NOT NULL AND ax[i] IS NULL AND bx[i] IS NOT NULL) WHERE rn <= 10 GROUP BY ALL)
-    SELECT g.station_id, g."timestamp", coalesce(g.x, n.v) AS temperature FROM (SELECT *, row_number() OVER (PARTITION BY "timestamp" ORDER BY station_id) AS i FROM g) g
+    SELECT g.station_id, g."timestamp", coalesce(g.x, n.v, avg(g.x) OVER (PARTITION BY g.station_id)) AS temperature FROM (SELECT *, row_number() OVER (PARTITION BY "timestamp" ORDER BY station_id) AS i FROM g) g
     LEFT JOIN n ON n.a = g."timestamp" AND n.i = g.i""",
     num="temperature",
     ts="timestamp",
