@@ -255,7 +255,7 @@ def k11(t):
 @query("k11_anisotropic_run", num="observed idw_pred ok_pred rk_pred", ts="timestamp")
 def k11_anisotropic(t):
     return K.interpolate_stations(
-        t.hourly, measured(t), "wind_speed", 4, MAX_KM, LAGS, "exponential", detrended=True, anisotropy=(135.0, 0.6)
+        filled_hourly(t), measured(t), "wind_speed", 4, MAX_KM, LAGS, "exponential", detrended=True, anisotropy=(135.0, 0.6)
     )
 
 

@@ -208,12 +208,12 @@ def m14(t):
 def m14_many(t):
     from galeframe.operators.regression import fit_predict
     from galeframe.operators.sequences import lag_features
-    from galeframe.plans.series import numbered
+    from galeframe.plans.series import filled_hourly, numbered
     from galeframe.plans.splits import at
 
     lags = [1, 2, 3]
     names = [f"wind_speed_lag_{n}" for n in lags]
-    rows = lag_features(numbered(t), ["station_id"], "pos", "wind_speed", lags).na.drop(subset=["wind_speed", *names])
+    rows = lag_features(numbered(t, filled_hourly(t)), ["station_id"], "pos", "wind_speed", lags).na.drop(subset=["wind_speed", *names])
     early = F.col("timestamp") < F.lit(at(20)).cast("timestamp")
     out = fit_predict(rows.filter(early), rows.filter(~early), ["station_id"], "wind_speed", names)
     return out.select("station_id", "timestamp", F.col("prediction").alias("pred"))

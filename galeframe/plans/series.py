@@ -14,10 +14,11 @@ from galeframe.plans.registry import query
 STATION = ["station_id"]
 
 
-def numbered(t):
+def numbered(t, series=None):
     """Hourly rows with their running number; the hourly series has no missing rows."""
-    first = t.hourly.groupBy("station_id").agg(F.min(O.slot("timestamp")).alias("_first"))
-    return t.hourly.join(first, "station_id").withColumn("pos", O.slot("timestamp") - F.col("_first") + 1).drop("_first")
+    rows = t.hourly if series is None else series
+    first = rows.groupBy("station_id").agg(F.min(O.slot("timestamp")).alias("_first"))
+    return rows.join(first, "station_id").withColumn("pos", O.slot("timestamp") - F.col("_first") + 1).drop("_first")
 
 
 LAG_SQL = 'lag(wind_speed, {n}) OVER (PARTITION BY station_id ORDER BY "timestamp") AS wind_speed_lag_{n}'
