@@ -178,10 +178,11 @@ def complete_topography(df: DataFrame) -> DataFrame:
     df = df.withColumn("tdi", F.when(F.col("tdi").isNull() & (F.col("elev_std") == 0), 0.0).otherwise(F.col("tdi")))
     df = df.withColumnRenamed("dist_coast_km", "dist_coast")
     numeric = [c for c, t in df.dtypes if t == "double"]
-    filled = {
-        c: F.coalesce(F.col(c), quantile_columns(df, [], c, {"m": 0.5}).scalar()) for c in numeric
-    }
-    return df.withColumns(filled)
+    medians = quantile_columns(df.unpivot([], numeric, "column", "value"), ["column"], "value", {"median": 0.5})
+    # a handful of columns, as one map
+    known = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median"))).alias("m")).scalar()
+    filled = {c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c))) for c in numeric}
+    return df.withColumn("_medians", known).withColumns(filled).drop("_medians")
 
 
 def read_topography(spark: SparkSession, terrain: str, coast: str) -> DataFrame:
