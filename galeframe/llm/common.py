@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,13 @@ def hash128(text: Column, name: str) -> list[Column]:
 def text_of(column: str) -> Column:
     """The text, a missing one as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def parts(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` units of size each, so that work arrays stay small."""
+    total = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
+    cut = np.flatnonzero(np.diff(total // most)) + 1
+    bounds = [0, *cut.tolist(), len(batch)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)

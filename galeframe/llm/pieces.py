@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeframe.llm.common import documents, text_of
+from galeframe.llm.common import documents, parts, text_of
 
 MARKER = "▁"
 _CHUNK = re.compile(" *[^ ]*")
@@ -100,16 +100,6 @@ class ChunkTable:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def _parts(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` units of size each, so that work arrays stay small."""
-    total = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
-    cut = np.flatnonzero(np.diff(total // most)) + 1
-    bounds = [0, *cut.tolist(), len(batch)]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     kept = [(n, batch.column(n)) for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([c for _, c in kept] + [values], names=[n for n, _ in kept] + [name])
@@ -126,7 +116,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", tabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model, table_rows)
         for batch in batches:
-            for part in _parts(batch, pc.binary_length(batch.column(text)), 4 << 20):
+            for part in parts(batch, pc.binary_length(batch.column(text)), 4 << 20):
                 yield _with(part, out, table.encode(part.column(text).to_pylist()))
 
     return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
@@ -138,7 +128,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            for part in _parts(batch, pc.list_value_length(batch.column(ids)), 1 << 20):
+            for part in parts(batch, pc.list_value_length(batch.column(ids)), 1 << 20):
                 texts = sp.decode([x or [] for x in part.column(ids).to_pylist()], num_threads=1)
                 yield _with(part, out, pa.array(texts, pa.string()))
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import chat, pieces
+from galeframe.llm import chat, language, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": chat.query,
     "op6_sentencepiece": pieces.query,
+    "op7_quality_rules": quality.query,
+    "op9_language_id": language.query,
 }
 
 SQL: dict[str, str] = {
