@@ -22,12 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder all executors share and read back: later jobs start from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later jobs start from there."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hash128(text: Column, name: str) -> list[Column]:
@@ -35,6 +39,18 @@ def hash128(text: Column, name: str) -> list[Column]:
     return [F.xxhash64(text).alias(f"{name}a"), F.xxhash64(F.lit(1), text).alias(f"{name}b")]
 
 
+def without_spaces(text: Column) -> Column:
+    for c in SPACES:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; ``lower`` does that to texts of ASCII alone."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def text_of(column: str) -> Column:
     """The text, a missing one as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

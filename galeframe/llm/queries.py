@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import chat, language, pieces, quality
+from galeframe.llm import chat, exact, language, lines, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": lines.query,
     "op4_chat_formatting": chat.query,
     "op6_sentencepiece": pieces.query,
     "op7_quality_rules": quality.query,
+    "op8_exact_dedup": exact.query,
     "op9_language_id": language.query,
 }
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": lines.SQL,
     "op4_chat_formatting": chat.SQL,
+    "op8_exact_dedup": exact.SQL,
 }
