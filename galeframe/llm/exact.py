@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe.llm.common import documents, saved, text_of, without_spaces
@@ -50,9 +50,10 @@ def repeated_bits(rows: DataFrame, blocks: int) -> DataFrame:
     return often.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def _set(bit: str) -> F.Column:
+def _set(bit: str) -> Column:
+    """Whether the block's bitmap has the bit; bit i of a bitmap is bit i % 8 of byte i / 8."""
     byte = F.conv(F.hex(F.expr(f"substring(bits, CAST({bit} DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    return F.expr(f"CAST({bit} % 8 AS INT)").isNotNull() & (F.call_function("getbit", byte, F.expr(f"CAST({bit} % 8 AS INT)")) == 1)
+    return F.getbit(byte, F.expr(f"CAST({bit} % 8 AS INT)")) == 1
 
 
 def deduplicate(docs: DataFrame, bits_per_row: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:

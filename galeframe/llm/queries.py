@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import chat, exact, language, lines, pieces, quality
+from galeframe.llm import chat, exact, language, lines, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lines.query,
     "op4_chat_formatting": chat.query,
+    "op5_secret_scans": secrets.query,
     "op6_sentencepiece": pieces.query,
     "op7_quality_rules": quality.query,
     "op8_exact_dedup": exact.query,
