@@ -39,6 +39,15 @@ def hash128(text: Column, name: str) -> list[Column]:
     return [F.xxhash64(text).alias(f"{name}a"), F.xxhash64(F.lit(1), text).alias(f"{name}b")]
 
 
+#: Names of the row key.
+ROW = ["_row_a", "_row_b"]
+
+
+def row_key() -> list[Column]:
+    """A 128-bit key of doc_id and text, as the columns of ``ROW``: equal rows share it."""
+    return [F.xxhash64("doc_id", "text").alias(ROW[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(ROW[1])]
+
+
 def without_spaces(text: Column) -> Column:
     for c in SPACES:
         text = F.replace(text, F.lit(c), F.lit(""))

@@ -22,10 +22,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import SPACES, documents, hash128, lower_ascii, new_path, saved, text_of
+from galeframe.llm.common import ROW, SPACES, documents, hash128, lower_ascii, new_path, row_key, saved, text_of
 
 KEY = ["ka", "kb"]
-ROW = ["ra", "rb"]
 
 
 class Runs:
@@ -115,12 +114,11 @@ def frequent_lines(lines: DataFrame, batches: int, min_docs: int, fan: int = 3)
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan: int = 3) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped; a frequent line stays only in the largest doc_id that holds it."""
-    row = [F.xxhash64("doc_id", "text").alias("ra"), F.xxhash64(F.lit(1), "doc_id", "text").alias("rb")]
     text = text_of("text")
     lines = saved(
-        docs.select("doc_id", *row, line_keys(text, min_chars).alias("_found"))
+        docs.select("doc_id", *row_key(), line_keys(text, min_chars).alias("_found"))
         .select("doc_id", *ROW, F.inline(with_first("_found")))
-        .withColumn("batch", F.pmod("ra", F.lit(batches)).cast("int")),
+        .withColumn("batch", F.pmod(ROW[0], F.lit(batches)).cast("int")),
         "lines",
         by=("batch",),
     )
@@ -132,7 +130,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
         .groupBy(*ROW)
         .agg(F.collect_set("at").alias("_gone"))
     )
-    split = docs.withColumns({"ra": row[0], "rb": row[1]}).join(gone, ROW, "left").withColumn("_lines", F.split(text, "\n"))
+    split = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(gone, ROW, "left").withColumn("_lines", F.split(text, "\n"))
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(places, F.coalesce("_gone", F.array().cast("array<int>"))), lambda i: F.get("_lines", i))
     return split.select(

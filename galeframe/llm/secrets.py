@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import documents, saved, text_of
+from galeframe.llm.common import ROW, documents, row_key, saved, text_of
 
 #: The patterns of the base kinds, with the group whose length counts and its least length.
 BASE = {
@@ -48,12 +48,6 @@ ALLOWED = (
     r"^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709)$",
     r"^e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$",
 )
-ROW = ["ra", "rb"]
-
-
-def row_key() -> dict[str, Column]:
-    """A 128-bit key of doc_id and text: repeated rows share it and their spans."""
-    return {"ra": F.xxhash64("doc_id", "text"), "rb": F.xxhash64(F.lit(1), "doc_id", "text")}
 
 
 def _cut(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -78,11 +72,11 @@ def pieces(docs: DataFrame) -> DataFrame:
     """Per document doc_id, its key and, for every match: kind, i, gap before it, its length, ok, and a candidate's string."""
     text = text_of("text")
     found = [_cut(text, kind, *spec) for kind, spec in enumerate([*BASE.values(), CANDIDATE])]
-    return docs.select("doc_id", *(c.alias(k) for k, c in row_key().items()), F.flatten(F.array_compact(F.array(*found))).alias("pieces"))
+    return docs.select("doc_id", *row_key(), F.flatten(F.array_compact(F.array(*found))).alias("pieces"))
 
 
 def matches(cut: DataFrame) -> DataFrame:
-    """Rows (ra, rb, kind, start, end, value) of all matches that are long enough."""
+    """Rows (row key, kind, start, end, value) of all matches that are long enough."""
     rows = cut.filter(F.size("pieces") > 0).dropDuplicates(ROW).select(*ROW, F.inline("pieces")).filter("size IS NOT NULL")
     before = Window.partitionBy(*ROW, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(before).cast("int")
@@ -100,7 +94,7 @@ def needed_bits(value: str, classes: tuple = CLASSES) -> Column:
 
 
 def entropy_spans(candidates: DataFrame, allowed: tuple[str, ...] = ALLOWED, classes: tuple = CLASSES) -> DataFrame:
-    """(ra, rb, start, end) of the candidates (ra, rb, start, value) from their first to their last window above the threshold."""
+    """(row key, start, end) of the candidates (row key, start, value) from their first to their last window above the threshold."""
     for pattern in allowed:
         candidates = candidates.filter(~F.col("value").rlike(pattern))
     one = [*ROW, "start"]
@@ -135,7 +129,7 @@ def entropy_spans(candidates: DataFrame, allowed: tuple[str, ...] = ALLOWED, cla
 
 
 def spans_by_row(cut: DataFrame, allowed: tuple[str, ...] = ALLOWED, classes: tuple = CLASSES) -> DataFrame:
-    """(ra, rb, spans): all spans of a document as sorted structs (start, kind, end), kind as a number."""
+    """(row key, spans): all spans of a document as sorted structs (start, kind, end), kind as a number."""
     found = saved(matches(cut), "matches")
     last = len(BASE)
     base = found.filter(F.col("kind") < last).select(*ROW, "start", "kind", "end")
@@ -162,7 +156,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", allowed: tuple[str, ...] = A
     )
     end = lambda state: F.concat(state["out"], F.substring("text", state["at"] + 1, F.char_length("text")))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = docs.withColumns(row_key()).join(spans.withColumnRenamed("spans", "_spans"), ROW, "left")
+    joined = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(spans.withColumnRenamed("spans", "_spans"), ROW, "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, end))
     return joined.withColumn("text", text).select(*docs.columns)
 

@@ -4,7 +4,7 @@ import pytest
 
 from galeframe.llm import lines
 
-SCHEMA = "doc_id long, text string, n_lines string, ka string"
+SCHEMA = "doc_id long, text string, n_lines string, ra string"
 TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -51,7 +51,7 @@ def rows():
 def test_against_brute_force(spark, batches, fan):
     data = rows()
     out = lines.drop_lines(spark.createDataFrame(data, SCHEMA), min_docs=5, batches=batches, fan=fan)
-    assert out.columns == ["doc_id", "text", "ka", "n_lines", "n_dropped", "kept_text"]
+    assert out.columns == ["doc_id", "text", "ra", "n_lines", "n_dropped", "kept_text"]
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.toLocalIterator()]
     assert sorted(got, key=str) == brute(data, 40, 5)
 

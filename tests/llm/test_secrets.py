@@ -6,7 +6,7 @@ from collections import Counter
 
 from galeframe.llm import secrets as S
 
-SCHEMA = "doc_id long, text string, spans string, kind string"
+SCHEMA = "doc_id long, text string, spans string, ra string"
 FIXED = (
     ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
