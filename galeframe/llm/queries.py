@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import chat, exact, language, lines, pieces, quality, secrets, simhash
+from galeframe.llm import chat, exact, language, lines, pieces, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.query,
@@ -17,10 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality.query,
     "op8_exact_dedup": exact.query,
     "op9_language_id": language.query,
+    "op10_substring_dedup": substrings.query,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": lines.SQL,
     "op4_chat_formatting": chat.SQL,
     "op8_exact_dedup": exact.SQL,
+    "op10_substring_dedup": substrings.SQL,
 }
