@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeframe.llm import chat, exact, language, lines, pieces, quality, secrets, simhash, substrings
+from galeframe.llm import chat, exact, language, lines, packing, pieces, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_best_fit_packing": packing.query,
     "op3_line_dedup": lines.query,
     "op4_chat_formatting": chat.query,
     "op5_secret_scans": secrets.query,
