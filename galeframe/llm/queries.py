@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from galeframe.llm import chat, exact, language, lines, packing, pieces, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact.query,
     "op9_language_id": language.query,
     "op10_substring_dedup": substrings.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
@@ -27,3 +29,6 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": exact.SQL,
     "op10_substring_dedup": substrings.SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
