@@ -25,6 +25,12 @@ def _c(value: Column | str | float) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
+def at_least(value: Column | str, low: float) -> Column:
+    """``value``, raised to ``low``; a missing value stays missing (``greatest`` would skip it)."""
+    value = _c(value)
+    return F.when(value < low, F.lit(float(low))).otherwise(value)
+
+
 def wind_speed(u: Column | str, v: Column | str) -> Column:
     u, v = _c(u), _c(v)
     return F.sqrt(u * u + v * v)
@@ -38,7 +44,7 @@ def wind_components(speed: Column | str, direction: Column | str) -> tuple[Colum
 
 def direction_encoding(u: Column | str, v: Column | str) -> tuple[Column, Column]:
     """(sin, cos) of the FROM-direction of a (u, v) wind; calm air is floored at 1e-6."""
-    speed = F.greatest(wind_speed(u, v), F.lit(1e-6))
+    speed = at_least(wind_speed(u, v), 1e-6)
     return -_c(u) / speed, -_c(v) / speed
 
 
@@ -128,11 +134,9 @@ def power_law_speed(
     """Wind speed at hub height; the shear exponent comes from a second height."""
     if source_height == reference_height:
         return _c(speed)
-    low = F.greatest(_c(speed), F.lit(0.01))
-    high = F.greatest(_c(reference_speed), F.lit(0.01))
+    low, high = at_least(speed, 0.01), at_least(reference_speed, 0.01)
     shear = F.ln(high / low) / F.ln(F.lit(reference_height / source_height))
-    alpha = F.greatest(F.lit(0.0), F.least(F.lit(1.0), shear))
-    return _c(speed) * F.pow(_c(hub_height) / source_height, alpha)
+    return _c(speed) * F.pow(_c(hub_height) / source_height, clip(shear, 0.0, 1.0))
 
 
 def level_height(top: Column | str, bottom: Column | str, rule: str = "half_even") -> Column:
@@ -147,20 +151,20 @@ def valid_time(start: Column | str, lead_hours: Column | str) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(_c(start)) + seconds)
 
 
-def global_irradiance(direct: Column | str, diffuse: Column | str) -> Column:
-    """``max(direct + diffuse, 0)``; a missing part counts as 0, both missing as null."""
-    total = F.coalesce(_c(direct), F.lit(0.0)) + F.coalesce(_c(diffuse), F.lit(0.0))
-    return F.when(F.coalesce(_c(direct), _c(diffuse)).isNotNull(), F.greatest(total, F.lit(0.0)))
+def global_irradiance(direct: Column | str | None, diffuse: Column | str | None) -> Column:
+    """``max(direct + diffuse, 0)``; a part without a column (None) counts as 0, a missing value stays missing."""
+    parts = [F.lit(0.0) if part is None else _c(part) for part in (direct, diffuse)]
+    return at_least(parts[0] + parts[1], 0.0)
 
 
 def non_negative(value: Column | str) -> Column:
-    return F.greatest(_c(value), F.lit(0.0))
+    return at_least(value, 0.0)
 
 
 def clip(value: Column | str, low: float, high: float) -> Column:
-    value = _c(value)
-    bounded = F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
-    return F.when(value.isNotNull(), bounded)
+    """``value`` within the bounds; a missing value stays missing."""
+    value = at_least(value, low)
+    return F.when(value > high, F.lit(float(high))).otherwise(value)
 
 
 def age_years(commissioned: Column | str, reference: Column | str, whole: bool = True) -> Column:

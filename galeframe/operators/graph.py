@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.functions.geo import bearing_degrees
+from galeframe.functions.physics import at_least, clip
 from galeframe.operators.neighbours import k_nearest, within
 from galeframe.operators.ordering import first_rows, positions
 
@@ -66,7 +67,7 @@ def edge_features(
     ]
     if altitude:
         rise = (F.col(f"_dst_{altitude}") - F.col(f"_src_{altitude}")) / 3000.0
-        picks.append(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rise)).alias("d_alt"))
+        picks.append(clip(rise, -1.0, 1.0).alias("d_alt"))
     picks += [(F.col(f"_dst_{c}") - F.col(f"_src_{c}")).alias(f"d_{c}") for c in differences]
     return rows.select("src", "dst", *picks)
 
@@ -116,7 +117,7 @@ def wind_weight(dist_norm: Column | str, flow_degrees: Column | str, sin_brg: Co
     """``exp(-d) * max(cos(flow - bearing), 0)`` for air moving towards ``flow_degrees``."""
     d, flow, s, c = (F.col(x) if isinstance(x, str) else x for x in (dist_norm, flow_degrees, sin_brg, cos_brg))
     along = F.cos(F.radians(flow)) * c + F.sin(F.radians(flow)) * s
-    return F.exp(-d) * F.greatest(along, F.lit(0.0))
+    return F.exp(-d) * at_least(along, 0.0)
 
 
 def diffuse(signal: DataFrame, edges: DataFrame, value: str, hops: int, time: str = "timestamp") -> DataFrame:

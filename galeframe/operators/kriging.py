@@ -188,22 +188,30 @@ def anisotropic_axes(stations: DataFrame, angle_deg: float, ratio: float) -> Dat
     return stations.select("station_id", along.alias("latitude"), across.alias("longitude"))
 
 
-def solve_weights(near: np.ndarray, target: np.ndarray, params, model: str, metric: str) -> np.ndarray:
-    """Ordinary kriging weights of ``(k, 2)`` neighbours for one target."""
-    k = len(near)
+def solve_weights(near: np.ndarray, target: np.ndarray, params: np.ndarray, model: str, metric: str) -> np.ndarray:
+    """Ordinary kriging weights of ``(b, k, 2)`` neighbours for ``b`` targets with ``(b, 3)`` parameters."""
+    b, k = near.shape[:2]
     distance = DISTANCES[metric]
-    x, y = near[:, 0], near[:, 1]
-    system = np.ones((k + 1, k + 1))
-    system[:k, :k] = variogram_values(
-        model, distance(x[:, None], y[:, None], x[None, :], y[None, :]) * (1 - np.eye(k)), *params
-    )
-    system[k, k] = 0.0
-    right = np.ones(k + 1)
-    right[:k] = variogram_values(model, distance(x, y, np.full(k, target[0]), np.full(k, target[1])), *params)
+    x, y = near[..., 0], near[..., 1]
+    nugget, psill, reach = (params[:, i, None, None] for i in range(3))
+    system = np.ones((b, k + 1, k + 1))
+    between = distance(x[:, :, None], y[:, :, None], x[:, None, :], y[:, None, :]) * (1 - np.eye(k))
+    system[:, :k, :k] = variogram_values(model, between, nugget, psill, reach)
+    system[:, k, k] = 0.0
+    right = np.ones((b, k + 1, 1))
+    to_target = distance(x, y, target[:, :1], target[:, 1:])
+    right[:, :k, 0] = variogram_values(model, to_target, nugget[..., 0], psill[..., 0], reach[..., 0])
     try:
-        return np.linalg.solve(system, right)[:k]
+        return np.linalg.solve(system, right)[:, :k, 0]
+    except np.linalg.LinAlgError:  # some are singular: least squares for those alone
+        return np.stack([_solve_one(m, r)[:k] for m, r in zip(system, right[..., 0], strict=True)])
+
+
+def _solve_one(system: np.ndarray, right: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(system, right)
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(system, right, rcond=None)[0][:k]
+        return np.linalg.lstsq(system, right, rcond=None)[0]
 
 
 def kriging_weights(
@@ -242,10 +250,16 @@ def kriging_weights(
     def solve(
         xs: pd.Series, ys: pd.Series, tx: pd.Series, ty: pd.Series, n: pd.Series, p: pd.Series, r: pd.Series
     ) -> pd.Series:
-        return pd.Series([
-            solve_weights(np.column_stack([a, b]).astype(float), np.array([c, d]), (e, f, g), model, metric)
-            for a, b, c, d, e, f, g in zip(xs, ys, tx, ty, n, p, r)
-        ])
+        sizes = xs.str.len().to_numpy()
+        out = np.empty(len(xs), dtype=object)
+        for k in np.unique(sizes):  # equally large systems are solved together
+            at = np.flatnonzero(sizes == k)
+            near = np.stack([np.stack(xs.to_numpy()[at]), np.stack(ys.to_numpy()[at])], axis=-1).astype(float)
+            target = np.column_stack([tx.to_numpy()[at], ty.to_numpy()[at]])
+            params = np.column_stack([c.to_numpy()[at] for c in (n, p, r)])
+            for i, w in zip(at, solve_weights(near, target, params, model, metric), strict=True):
+                out[i] = w
+        return pd.Series(out)
 
     solved = rows.withColumn("_w", solve("_x", "_y", "_tx", "_ty", "nugget", "psill", "range"))
     pair = F.explode(F.arrays_zip("_near", "_w")).alias("_p")
@@ -267,9 +281,10 @@ def neighbour_values(
 
 
 def idw_prediction(value: Column, distance: Column, power: float = 2.0) -> Column:
-    """Inverse-distance mean over the grouped neighbours that have a value."""
+    """Inverse-distance mean over the grouped neighbours that have a value; those at distance 0 take all weight."""
     weight = F.when(value.isNotNull(), F.try_divide(F.lit(1.0), F.pow(distance, F.lit(power))))
-    return F.sum(weight * value) / F.sum(weight)
+    on_the_spot = F.avg(F.when(distance == 0, value))
+    return F.coalesce(on_the_spot, F.sum(weight * value) / F.sum(weight))
 
 
 def kriged(value: Column, weight: Column, k: int) -> Column:
@@ -367,39 +382,42 @@ def regression_kriging(
 ) -> DataFrame:
     """Regression kriging on several covariates: per (station, time) an OLS fit on k rows.
 
-    A row carries the k neighbours as arrays, so batches of small systems are solved
-    together; nothing larger than one neighbourhood is ever gathered.
+    A row carries the k neighbours as flat arrays, so batches of small systems are solved
+    together; nothing larger than one neighbourhood is ever gathered. The fit is centred per
+    neighbourhood, so of the fits that are equally good the flattest one counts. Where a
+    covariate is missing at a neighbour or at the target, the ordinary kriging value stands.
     """
     rows = neighbour_values(series, weights, [value, *covariates], time, by)
     features = F.array(*[F.col(c).cast("double") for c in covariates])
-    whole = F.col(value).isNotNull()
-    for c in covariates:
-        whole = whole & F.col(c).isNotNull()
     member = F.struct("rank", F.col(value).alias("z"), F.col("weight").alias("w"), features.alias("f"))
     keys = [*by, time, "target_id"]
-    rows = rows.filter(whole).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_near"))
+    rows = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("_near"))
     own = series.filter(F.col(value).isNotNull()).select(
         *by, time, F.col("station_id").alias("target_id"), features.alias("_own"), F.col(value).alias("observed")
     )
     rows = rows.filter(F.size("_near") == k).join(own, keys)
-    rows = rows.filter(~F.exists("_own", lambda x: x.isNull()))
 
     @F.pandas_udf("double")
     def predict(z: pd.Series, w: pd.Series, f: pd.Series, own: pd.Series) -> pd.Series:
         if not len(z):
             return pd.Series([], dtype=float)
         zs, ws = np.stack(z.to_numpy()), np.stack(w.to_numpy())
-        near = np.stack([np.stack(x) for x in f])
-        goal = np.stack(own.to_numpy())
-        design = np.concatenate([np.ones((*near.shape[:2], 1)), near], axis=2)
-        beta = np.einsum("bij,bj->bi", np.linalg.pinv(design), zs)
-        residual = zs - np.einsum("bkf,bf->bk", design, beta)
-        trend = beta[:, 0] + (beta[:, 1:] * goal).sum(axis=1)
-        return pd.Series(trend + (ws * residual).sum(axis=1))
+        near = np.stack(f.to_numpy()).astype(float).reshape(len(zs), k, -1)
+        goal = np.stack(own.to_numpy()).astype(float)
+        ordinary = (ws * zs).sum(axis=1)
+        whole = np.isfinite(near).all(axis=(1, 2)) & np.isfinite(goal).all(axis=1)
+        middle, level = np.nan_to_num(near).mean(axis=1), zs.mean(axis=1)
+        spread = np.nan_to_num(near) - middle[:, None, :]
+        # covariates that differ by rounding alone carry no trend
+        spread[np.broadcast_to((np.abs(spread).max(axis=1) <= 1e-9 * (np.abs(middle) + 1e-9))[:, None, :], spread.shape)] = 0.0
+        beta = np.einsum("bij,bj->bi", np.linalg.pinv(spread), zs - level[:, None])
+        residual = zs - level[:, None] - np.einsum("bkf,bf->bk", spread, beta)
+        trend = level + (beta * (np.nan_to_num(goal) - middle)).sum(axis=1)
+        return pd.Series(np.where(whole, trend + (ws * residual).sum(axis=1), ordinary))
 
     return rows.select(
         *by, time, F.col("target_id").alias("station_id"), "observed",
-        predict("_near.z", "_near.w", "_near.f", "_own").alias("rk_pred"),
+        predict("_near.z", "_near.w", F.flatten("_near.f"), "_own").alias("rk_pred"),
     )
 
 
@@ -417,16 +435,25 @@ def global_trend_kriging(
     so no station meets all others. Weights are renormalised over present neighbours.
     """
     x, z = F.col(covariate), F.col(value)
-    full = F.when(x.isNotNull() & z.isNotNull(), F.lit(1.0))
-    parts = {"n": full, "x": full * x, "z": full * z, "xx": full * x * x, "xz": full * x * z}
-    totals = series.groupBy(*by, time).agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_s{k}") for k, v in parts.items()])
-    own = series.join(totals, [*by, time])
-    for k, v in parts.items():
-        own = own.withColumn(f"_s{k}", F.col(f"_s{k}") - F.coalesce(v, F.lit(0.0)))
+    full = x.isNotNull() & z.isNotNull()
+    # Sums run over deviations from the time step's means: raw squares would cancel.
+    means = series.filter(full).groupBy(*by, time).agg(F.avg(x).alias("_mx"), F.avg(z).alias("_mz"))
+    dx, dz = x - F.col("_mx"), z - F.col("_mz")
+    parts = {"n": F.lit(1.0), "x": dx, "z": dz, "xx": dx * dx, "xz": dx * dz}
+    parts = {name: F.when(full, part).otherwise(0.0) for name, part in parts.items()}
+    centred = series.join(means, [*by, time], "left")
+    totals = centred.groupBy(*by, time).agg(*[F.sum(part).alias(f"_s{name}") for name, part in parts.items()])
+    own = centred.join(totals, [*by, time]).withColumn("_all", F.col("_sxx"))
+    for name, part in parts.items():
+        own = own.withColumn(f"_s{name}", F.col(f"_s{name}") - part)
     n, sx, sz = F.col("_sn"), F.col("_sx"), F.col("_sz")
     spread = F.col("_sxx") - sx * F.try_divide(sx, n)
-    slope = F.when(spread > 1e-9, (F.col("_sxz") - sx * F.try_divide(sz, n)) / spread).otherwise(0.0)
-    own = own.withColumn("_b", slope).withColumn("_a", F.try_divide(sz, n) - F.col("_b") * F.try_divide(sx, n))
+    # what the subtraction leaves over by rounding, or values that differ by it alone, is no spread
+    varies = (n > 1) & (spread > 1e-12 * F.col("_all")) & (F.sqrt(F.abs(spread) / n) > 1e-9 * (F.abs("_mx") + 1e-9))
+    slope = F.when(varies, (F.col("_sxz") - sx * F.try_divide(sz, n)) / spread).otherwise(0.0)
+    own = own.withColumn("_b", slope).withColumn(
+        "_a", F.col("_mz") + F.try_divide(sz, n) - F.col("_b") * (F.col("_mx") + F.try_divide(sx, n))
+    )
     own = own.select(
         *by, time, F.col("station_id").alias("target_id"), F.col(value).alias("observed"),
         F.col(covariate).alias("_x0"), "_a", "_b",

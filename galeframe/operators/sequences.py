@@ -80,12 +80,14 @@ def run_sequences(
 ) -> DataFrame:
     """One sample per complete run: past runs and the run itself, observations, target.
 
-    ``frame`` has ``starttime, forecasttime, timestamp``. The past runs start exactly
-    ``k * future`` hours earlier and must have ``future`` rows; every hour of the
-    history before the first valid time must be observed. Samples with a gap are left out.
+    ``frame`` has ``starttime, forecasttime, timestamp``. A run's sample is made of its
+    leads 1 to ``future``, all of which must be there; longer runs go on beyond it. The past
+    runs start exactly ``k * future`` hours earlier; every hour of the history before the
+    first valid time must be observed. Samples with a gap are left out.
     """
     step = F.struct("forecasttime", "timestamp", known, target)
-    runs = frame.groupBy(*by, "starttime").agg(F.sort_array(F.collect_list(step)).alias("_run"))
+    inside = F.col("forecasttime") <= future
+    runs = frame.filter(inside).groupBy(*by, "starttime").agg(F.sort_array(F.collect_list(step)).alias("_run"))
     runs = runs.filter(F.size("_run") == future)
     out = runs.select(
         *by, "starttime", F.col("_run")[known].alias("_now"), F.col("_run")[target].alias("y"),

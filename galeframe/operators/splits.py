@@ -141,32 +141,44 @@ def draw(seed: int, *parts: Column | str) -> Column:
 
 
 def draw_number(seed: int, *parts: Column | str) -> Column:
-    """Reproducible whole number in [0, 65536)."""
-    return F.conv(F.substring(draw(seed, *parts), 1, 4), 16, 10).cast("int")
+    """Reproducible whole number in [0, 2**60), so that a remainder by any count is all but unbiased."""
+    return F.conv(F.substring(draw(seed, *parts), 1, 15), 16, 10).cast("bigint")
+
+
+def _coprime(step: Column, size: Column) -> Column:
+    """Whether steps of this width reach all of ``size`` places: the remainders of Euclid end at 1."""
+    begin = F.struct(step.alias("a"), size.alias("b"))
+    shorten = lambda s, _: F.when(s["b"] == 0, s).otherwise(
+        F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), begin, shorten)["a"] == 1
 
 
 def mask_targets(
-    runs: DataFrame, stations: DataFrame, run_key: str, low: int, high: int, neighbours: int, seed: int,
-    orders: int = 64,
+    runs: DataFrame, stations: DataFrame, run_key: str, low: int, high: int, neighbours: int, seed: int, tries: int = 16
 ) -> DataFrame:
     """Targets and neighbours drawn per run: ``run_key, station_id, role``.
 
     ``low`` to ``high`` stations become targets, whose history is to be zeroed, and the
-    next ``neighbours`` are kept. Stations are shuffled into ``orders`` circles; a run
-    takes a stretch of one of them, so only the drawn stations meet a run.
+    next ``neighbours`` are kept. Stations are shuffled into one circle; every run walks it
+    from a place and in a step width of its own, so only the drawn stations meet a run. The
+    step is the first of ``tries`` drawn ones that reaches all places, else 1.
     """
-    circles = stations.select("station_id", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_circle"))
-    circles = circles.withColumn("_h", draw(seed, "_circle", "station_id"))
-    placed = positions(circles, ["_circle"], ["_h", "station_id"], F.substring("_h", 1, 2), "_p")
-    placed = placed.select("_circle", (F.col("_p") - 1).alias("_at"), "station_id")
+    shuffled = stations.select("station_id").withColumn("_h", draw(seed, "station_id"))
+    placed = positions(shuffled, [], ["_h", "station_id"], F.substring("_h", 1, 2), "_p")
+    placed = placed.select((F.col("_p") - 1).alias("_at"), "station_id")
     size = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
     wanted = F.lit(low) + draw_number(seed, run_key) % (high - low + 1)
-    start = draw_number(seed + 1, run_key)
-    picks = runs.select(run_key, wanted.alias("_n"), (draw_number(seed + 2, run_key) % orders).alias("_circle"), start.alias("_start"))
-    picks = picks.withColumn("_size", size).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.least(F.col("_n") + neighbours, F.col("_size")) - 1))
+    picks = runs.select(run_key, wanted.alias("_n"), size.alias("_size"))
+    steps = F.array(*(draw_number(seed + 2 + i, run_key) % F.col("_size") for i in range(tries)))
+    fitting = F.filter(steps, lambda step: _coprime(step, F.col("_size")))
+    picks = picks.select(
+        "*",
+        (draw_number(seed + 1, run_key) % F.col("_size")).alias("_start"),
+        F.coalesce(F.get(fitting, F.lit(0)), F.lit(1).cast("bigint")).alias("_step"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_n") + neighbours, F.col("_size")) - 1)).alias("_i"),
     )
-    drawn = picks.withColumn("_at", (F.col("_start") + F.col("_i")) % F.col("_size")).join(placed, ["_circle", "_at"])
+    drawn = picks.withColumn("_at", (F.col("_start") + F.col("_i") * F.col("_step")) % F.col("_size")).join(placed, "_at")
     role = F.when(F.col("_i") < F.col("_n"), "target").otherwise("neighbour")
     return drawn.select(run_key, "station_id", role.alias("role"))
 

@@ -141,45 +141,45 @@ def d06(t):
 
 @query(
     "d07_idw_of_nodes",
-    f"""SELECT station_id, starttime, forecasttime,
+    f"""SELECT station_id, starttime, forecasttime, height,
         CASE WHEN count(wind_speed) < 4 THEN NULL
             WHEN min(distance) = 0 THEN avg(wind_speed) FILTER (distance = 0)
             ELSE sum(wind_speed / nullif(distance, 0)) / sum(1 / nullif(distance, 0)) END AS wind_speed
-    FROM ({nearest_sql(4)}) n JOIN nwp USING (grid_id) WHERE height = 10 GROUP BY ALL""",
+    FROM ({nearest_sql(4)}) n JOIN nwp USING (grid_id) GROUP BY ALL""",
     num="wind_speed",
     ts="starttime",
 )
 def d07(t):
-    facts = t.nwp.filter("height = 10").select(*RUN, "wind_speed")
+    facts = t.nwp.select(*RUN, "height", "wind_speed")
     rows = nearest_nodes(t, 4).join(facts, "grid_id")
-    return R.inverse_distance_mean(rows, ["station_id", *RUN[1:]], "distance", ["wind_speed"], 4)
+    return R.inverse_distance_mean(rows, ["station_id", *RUN[1:], "height"], "distance", ["wind_speed"], 4)
 
 
 @query(
     "d08_idw_with_floor",
-    f"""SELECT station_id, starttime, forecasttime,
+    f"""SELECT station_id, starttime, forecasttime, height,
         CASE WHEN count(qs) = 2 THEN sum(qs / greatest(distance, 1e-6)) / sum(1 / greatest(distance, 1e-6)) END AS qs
-    FROM ({nearest_sql(2, 'degrees')}) n JOIN nwp USING (grid_id) WHERE height = 38 GROUP BY ALL""",
+    FROM ({nearest_sql(2, 'degrees')}) n JOIN nwp USING (grid_id) GROUP BY ALL""",
     num="qs",
     ts="starttime",
 )
 def d08(t):
-    facts = t.nwp.filter("height = 38").select(*RUN, "qs")
+    facts = t.nwp.select(*RUN, "height", "qs")
     rows = nearest_nodes(t, 2, "degrees").join(facts, "grid_id")
-    return R.inverse_distance_mean(rows, ["station_id", *RUN[1:]], "distance", ["qs"], 2, floor=1e-6)
+    return R.inverse_distance_mean(rows, ["station_id", *RUN[1:], "height"], "distance", ["qs"], 2, floor=1e-6)
 
 
 @query(
     "d08_points_as_columns",
-    f"""SELECT station_id, starttime, forecasttime, avg(u_wind) FILTER (rank = 1) AS u_wind_1,
+    f"""SELECT station_id, starttime, forecasttime, height, avg(u_wind) FILTER (rank = 1) AS u_wind_1,
         avg(u_wind) FILTER (rank = 2) AS u_wind_2, avg(u_wind) FILTER (rank = 3) AS u_wind_3
-    FROM ({nearest_sql(3, 'degrees')}) n JOIN nwp USING (grid_id) WHERE height = 10 GROUP BY ALL""",
+    FROM ({nearest_sql(3, 'degrees')}) n JOIN nwp USING (grid_id) GROUP BY ALL""",
     num="u_wind_1 u_wind_2 u_wind_3",
     ts="starttime",
 )
 def d08_concat(t):
-    rows = nearest_nodes(t, 3, "degrees").join(t.nwp.filter("height = 10").select(*RUN, "u_wind"), "grid_id")
-    return R.pivot_mean(rows, ["station_id", *RUN[1:]], "rank", [1, 2, 3], {"u_wind": "u_wind_{}"})
+    rows = nearest_nodes(t, 3, "degrees").join(t.nwp.select(*RUN, "height", "u_wind"), "grid_id")
+    return R.pivot_mean(rows, ["station_id", *RUN[1:], "height"], "rank", [1, 2, 3], {"u_wind": "u_wind_{}"})
 
 
 TURBINES_SQL = """SELECT p_partkey // 20 AS grid_id, 40e0 + p_size AS hub, (40e0 + (p_size % 7) * 10) / 2 AS r FROM part"""

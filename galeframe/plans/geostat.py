@@ -303,22 +303,19 @@ def k10_two(t):
     return out.select("station_id", "timestamp", F.round(F.col("rk_pred") + 1.7e-5, 3).alias("rk_pred"))
 
 
-SEEN = "g.z - icpt - slope * g.x"
+SEEN = "g.z - mz - slope * (g.x - mx)"
 
 
 @query(
     "k12_global_trend_two_neighbours",
     f"""WITH w AS ({TWO_SQL}), e AS (SELECT target_id, a AS near_id, wa AS wt FROM w UNION ALL SELECT target_id, b, 1 - wa FROM w),
-    f AS (SELECT station_id, "timestamp" AS ts, wind_speed AS z, temperature AS x, CASE WHEN wind_speed + temperature IS NULL THEN 0 ELSE 1 END AS k FROM hourly),
-    t AS (SELECT ts, sum(k) AS n, coalesce(sum(x) FILTER (k = 1), 0) AS sx, coalesce(sum(z) FILTER (k = 1), 0) AS sz,
-        coalesce(sum(x * x) FILTER (k = 1), 0) AS sxx, coalesce(sum(x * z) FILTER (k = 1), 0) AS sxz FROM f GROUP BY ts),
-    o AS (SELECT f.station_id, f.ts, f.z, f.x, nullif(t.n - k, 0) AS n, sx - CASE WHEN k = 1 THEN f.x ELSE 0 END AS sx, sz - CASE WHEN k = 1 THEN f.z ELSE 0 END AS sz,
-        sxx - CASE WHEN k = 1 THEN f.x * f.x ELSE 0 END AS sxx, sxz - CASE WHEN k = 1 THEN f.x * f.z ELSE 0 END AS sxz FROM f JOIN t USING (ts)),
-    b AS (SELECT *, CASE WHEN sxx - sx * (sx / n) > 1e-9 THEN (sxz - sx * (sz / n)) / (sxx - sx * (sx / n)) ELSE 0 END AS slope FROM o),
-    c AS (SELECT *, sz / n - slope * (sx / n) AS icpt FROM b),
+    f AS (SELECT station_id, "timestamp" AS ts, wind_speed AS z, temperature AS x FROM hourly),
+    c AS (SELECT f.station_id, f.ts, f.z, f.x, avg(o.z) FILTER (o.x IS NOT NULL) AS mz, avg(o.x) FILTER (o.z IS NOT NULL) AS mx,
+        CASE WHEN max(o.x) FILTER (o.z IS NOT NULL) - min(o.x) FILTER (o.z IS NOT NULL) > 1e-6 THEN regr_slope(o.z, o.x) ELSE 0 END AS slope
+        FROM f LEFT JOIN f o ON o.ts = f.ts AND o.station_id <> f.station_id GROUP BY ALL),
     r AS (SELECT c.station_id, c.ts, sum(wt * ({SEEN})) / nullif(sum(wt) FILTER ({SEEN} IS NOT NULL), 0) AS r
         FROM c JOIN e ON e.target_id = c.station_id JOIN f g ON g.station_id = e.near_id AND g.ts = c.ts GROUP BY ALL)
-    SELECT c.station_id, c.ts AS "timestamp", c.z AS observed, icpt + slope * c.x + coalesce(r.r, 0) AS rk_pred FROM c LEFT JOIN r USING (station_id, ts)""",
+    SELECT c.station_id, c.ts AS "timestamp", c.z AS observed, mz + slope * (c.x - mx) + coalesce(r.r, 0) AS rk_pred FROM c LEFT JOIN r USING (station_id, ts)""",
     num="observed rk_pred",
     ts="timestamp",
 )
@@ -398,7 +395,8 @@ def k18(t):
 @query(
     "k19_edge_features",
     f"""SELECT e.src, e.dst, e.distance / (max(e.distance) OVER () + 1e-8) AS dist_norm, sin({BEARING_SQL.format(a='a', b='b')}) AS sin_brg,
-        cos({BEARING_SQL.format(a='a', b='b')}) AS cos_brg, greatest(-1, least(1, (b.station_height - a.station_height) / 3000)) AS d_alt,
+        cos({BEARING_SQL.format(a='a', b='b')}) AS cos_brg, CASE WHEN a.station_height IS NOT NULL AND b.station_height IS NOT NULL
+            THEN greatest(-1, least(1, (b.station_height - a.station_height) / 3000)) END AS d_alt,
         b.latitude - a.latitude AS d_latitude
     FROM ({EDGES_SQL}) e JOIN stations a ON a.station_id = e.src JOIN stations b ON b.station_id = e.dst""",
     num="dist_norm sin_brg cos_brg d_alt d_latitude",

@@ -16,30 +16,30 @@ from galeframe.plans.series import FILLED_SQL, station_runs
 
 
 def station_forecast(t):
-    """Rows of each station's nearest node at 10 m."""
-    facts = t.nwp.filter("height = 10").select(*RUN, "timestamp", F.col("wind_speed").alias("nwp_speed"))
+    """Rows of each station's nearest node, all levels."""
+    facts = t.nwp.select(*RUN, "height", "timestamp", F.col("wind_speed").alias("nwp_speed"))
     return nearest_nodes(t, 1).select("station_id", "grid_id").join(facts, "grid_id")
 
 
-STATION_FORECAST_SQL = f"""SELECT k.station_id, grid_id, n.starttime, n.forecasttime, n."timestamp", n.wind_speed AS nwp_speed
-    FROM ({nearest_sql(1)}) k JOIN nwp n USING (grid_id) WHERE n.height = 10"""
+STATION_FORECAST_SQL = f"""SELECT k.station_id, grid_id, n.starttime, n.forecasttime, n.height, n."timestamp", n.wind_speed AS nwp_speed
+    FROM ({nearest_sql(1)}) k JOIN nwp n USING (grid_id)"""
 
 
 @query(
     "c01_forecast_with_measurement",
-    f"""SELECT f.station_id, f.starttime, f.forecasttime, f.nwp_speed, h.wind_speed FROM ({STATION_FORECAST_SQL}) f
+    f"""SELECT f.station_id, f.starttime, f.forecasttime, f.height, f.nwp_speed, h.wind_speed FROM ({STATION_FORECAST_SQL}) f
     LEFT JOIN hourly h ON h.station_id = f.station_id AND h."timestamp" = f."timestamp" """,
     num="nwp_speed wind_speed",
     ts="starttime",
 )
 def c01(t):
     joined = station_forecast(t).join(t.hourly, ["station_id", "timestamp"], "left")
-    return joined.select("station_id", "starttime", "forecasttime", "nwp_speed", "wind_speed")
+    return joined.select("station_id", "starttime", "forecasttime", "height", "nwp_speed", "wind_speed")
 
 
 @query(
     "c02_forecast_with_power",
-    f"""SELECT f.station_id, f.starttime, f.forecasttime, f.nwp_speed, p.power FROM ({STATION_FORECAST_SQL}) f
+    f"""SELECT f.station_id, f.starttime, f.forecasttime, f.height, f.nwp_speed, p.power FROM ({STATION_FORECAST_SQL}) f
     JOIN ({POWER_SQL}) p ON p.station_id = f.station_id AND p.hour = f."timestamp" """,
     num="nwp_speed power",
     ts="starttime",
@@ -47,7 +47,7 @@ def c01(t):
 def c02(t):
     power = turbine_power(t).select("station_id", F.col("hour").alias("timestamp"), "power")
     joined = station_forecast(t).join(power, ["station_id", "timestamp"])
-    return joined.select("station_id", "starttime", "forecasttime", "nwp_speed", "power")
+    return joined.select("station_id", "starttime", "forecasttime", "height", "nwp_speed", "power")
 
 
 @query(
@@ -68,10 +68,10 @@ def c03(t):
 @query(
     "c04_second_model_as_of",
     """WITH e AS (SELECT point, starttime, forecasttime, arg_min(sqrt(u_wind * u_wind + v_wind * v_wind), order_key) AS v FROM ec GROUP BY ALL),
-    k AS (SELECT grid_id, starttime, forecasttime, date_trunc('day', starttime) + to_hours(CASE WHEN hour(starttime) >= 12 THEN 12 ELSE 0 END) AS s
-        FROM nwp WHERE height = 10),
+    k AS (SELECT grid_id, starttime, forecasttime, height, date_trunc('day', starttime) + to_hours(CASE WHEN hour(starttime) >= 12 THEN 12 ELSE 0 END) AS s
+        FROM nwp),
     l AS (SELECT *, CAST(date_diff('hour', s, starttime) + forecasttime AS BIGINT) AS lead FROM k)
-    SELECT l.grid_id, l.starttime, l.forecasttime, e0.v AS ecmwf_wind_speed_h10_0, e1.v AS ecmwf_wind_speed_h10_1, e2.v AS ecmwf_wind_speed_h10_2
+    SELECT l.grid_id, l.starttime, l.forecasttime, l.height, e0.v AS ecmwf_wind_speed_h10_0, e1.v AS ecmwf_wind_speed_h10_1, e2.v AS ecmwf_wind_speed_h10_2
     FROM l LEFT JOIN e e0 ON e0.point = 0 AND e0.starttime = l.s AND e0.forecasttime = l.lead
         LEFT JOIN e e1 ON e1.point = 1 AND e1.starttime = l.s AND e1.forecasttime = l.lead
         LEFT JOIN e e2 ON e2.point = 2 AND e2.starttime = l.s AND e2.forecasttime = l.lead""",
@@ -79,7 +79,7 @@ def c03(t):
     ts="starttime",
 )
 def c04(t):
-    runs = t.nwp.filter("height = 10").select(*RUN)
+    runs = t.nwp.select(*RUN, "height")
     return FC.join_second_model(runs, t.ec.withColumnRenamed("point", "rank"), [0, 1, 2])
 
 
@@ -119,24 +119,27 @@ def c06(t):
 
 @query(
     "c07_latest_forecast",
-    """WITH l AS (SELECT grid_id, "timestamp", wind_speed FROM nwp WHERE height = 10
-        QUALIFY row_number() OVER (PARTITION BY grid_id, "timestamp" ORDER BY forecasttime, starttime DESC) = 1),
-    j AS (SELECT h.station_id, h."timestamp", l.wind_speed FROM hourly h LEFT JOIN l
-        ON h.station_id = lpad(CAST(l.grid_id AS VARCHAR), 5, '0') AND h."timestamp" = l."timestamp")
-    SELECT station_id, "timestamp", coalesce(last_value(wind_speed IGNORE NULLS) OVER f, first_value(wind_speed IGNORE NULLS) OVER b) AS forecast
-    FROM j WINDOW f AS (PARTITION BY station_id ORDER BY "timestamp" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-        b AS (PARTITION BY station_id ORDER BY "timestamp" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    """WITH l AS (SELECT grid_id, height, "timestamp", wind_speed FROM nwp
+        QUALIFY row_number() OVER (PARTITION BY grid_id, height, "timestamp" ORDER BY forecasttime, starttime DESC) = 1),
+    v AS (SELECT DISTINCT height FROM nwp),
+    j AS (SELECT h.station_id, v.height, h."timestamp", l.wind_speed FROM hourly h CROSS JOIN v LEFT JOIN l
+        ON h.station_id = lpad(CAST(l.grid_id AS VARCHAR), 5, '0') AND h."timestamp" = l."timestamp" AND l.height = v.height)
+    SELECT station_id, height, "timestamp", coalesce(last_value(wind_speed IGNORE NULLS) OVER f, first_value(wind_speed IGNORE NULLS) OVER b) AS forecast
+    FROM j WINDOW f AS (PARTITION BY station_id, height ORDER BY "timestamp" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        b AS (PARTITION BY station_id, height ORDER BY "timestamp" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     num="forecast",
     ts="timestamp",
 )
 def c07(t):
-    runs = t.nwp.filter("height = 10").select(
-        F.lpad(F.col("grid_id").cast("string"), 5, "0").alias("station_id"), "timestamp", "starttime", "forecasttime",
+    runs = t.nwp.select(
+        F.lpad(F.col("grid_id").cast("string"), 5, "0").alias("station_id"), "height", "timestamp", "starttime", "forecasttime",
         F.col("wind_speed").alias("forecast"),
     )
-    newest = FC.latest_forecast(runs, ["station_id"]).select("station_id", "timestamp", "forecast")
-    joined = t.hourly.select("station_id", "timestamp").join(newest, ["station_id", "timestamp"], "left")
-    return O.fill(joined, ["station_id"], ["timestamp"], ["forecast"], O.day_chunk("timestamp"))
+    key = ["station_id", "height"]
+    newest = FC.latest_forecast(runs, key).select(*key, "timestamp", "forecast")
+    slots = t.hourly.select("station_id", F.explode(F.array(F.lit(10), F.lit(38))).alias("height"), "timestamp")
+    joined = slots.join(newest, [*key, "timestamp"], "left")
+    return O.fill(joined, key, ["timestamp"], ["forecast"], O.day_chunk("timestamp"))
 
 
 @query(
@@ -151,13 +154,13 @@ def c08(t):
 
 @query(
     "c09_nearest_in_degrees_with_facts",
-    f"""SELECT k.station_id, grid_id, CAST(k.rank AS INTEGER) AS rank, n.starttime, n.forecasttime, n.u_wind
-    FROM ({nearest_sql(2, 'degrees')}) k JOIN nwp n USING (grid_id) WHERE n.height = 10""",
+    f"""SELECT k.station_id, grid_id, CAST(k.rank AS INTEGER) AS rank, n.starttime, n.forecasttime, n.height, n.u_wind
+    FROM ({nearest_sql(2, 'degrees')}) k JOIN nwp n USING (grid_id)""",
     num="u_wind",
     ts="starttime",
 )
 def c09(t):
-    facts = t.nwp.filter("height = 10").select(*RUN, "u_wind")
+    facts = t.nwp.select(*RUN, "height", "u_wind")
     return nearest_nodes(t, 2, "degrees").drop("distance").join(facts, "grid_id")
 
 
@@ -279,37 +282,34 @@ def c16(t):
 
 @query(
     "c17_model_chain",
-    """WITH m AS (SELECT station_id, run_time, avg(pred) AS a, avg(nwp_ref) FILTER (horizon >= 4) AS b,
-        avg(gt) FILTER (horizon <= 2) AS c FROM predictions GROUP BY ALL)
-    SELECT x.station_id, x.run_time, x.a AS model_a, y.b AS model_b, z.c AS model_c
-    FROM (SELECT * FROM m) x LEFT JOIN (SELECT * FROM m WHERE b IS NOT NULL) y ON x.station_id = y.station_id AND x.run_time = y.run_time
-    LEFT JOIN (SELECT * FROM m WHERE c IS NOT NULL) z ON x.station_id = z.station_id AND x.run_time = z.run_time""",
+    """WITH m AS (SELECT station_id, run_time, avg(pred) AS a, avg(nwp_ref) AS b FROM predictions GROUP BY ALL),
+    h AS (SELECT station_id, date_trunc('day', "timestamp") AS run_time, avg(wind_speed) AS c FROM hourly GROUP BY ALL)
+    SELECT m.station_id, m.run_time, m.a AS model_a, m.b AS model_b, h.c AS model_c
+    FROM m LEFT JOIN h ON m.station_id = h.station_id AND date_trunc('day', m.run_time) = h.run_time""",
     num="model_a model_b model_c",
     ts="run_time",
 )
 def c17(t):
     keys = ["station_id", "run_time"]
 
-    def model(where, col, name):
-        return t.predictions.filter(where).groupBy(*keys).agg(F.avg(col).alias(name))
+    def model(col, name):
+        return t.predictions.groupBy(*keys).agg(F.avg(col).alias(name))
 
-    return (
-        model("true", "pred", "model_a")
-        .join(model("horizon >= 4", "nwp_ref", "model_b"), keys, "left")
-        .join(model("horizon <= 2", "gt", "model_c"), keys, "left")
-    )
+    day = F.date_trunc("day", "timestamp").cast(t.predictions.schema["run_time"].dataType)
+    measured_days = t.hourly.groupBy("station_id", day.alias("run_time")).agg(F.avg("wind_speed").alias("model_c"))
+    return model("pred", "model_a").join(model("nwp_ref", "model_b"), keys, "left").join(measured_days, keys, "left")
 
 
 @query(
     "c18_merged_metrics",
     """SELECT a.station_id, a.mae AS mae_model, b.mae AS mae_nwp FROM
-    (SELECT station_id, avg(abs(pred - gt)) AS mae FROM predictions WHERE horizon > 2 GROUP BY ALL) a JOIN
-    (SELECT station_id, avg(abs(nwp_ref - gt)) AS mae FROM predictions WHERE horizon > 2 GROUP BY ALL) b USING (station_id)""",
+    (SELECT station_id, avg(abs(pred - gt)) AS mae FROM predictions GROUP BY ALL) a JOIN
+    (SELECT station_id, avg(abs(nwp_ref - gt)) AS mae FROM predictions GROUP BY ALL) b USING (station_id)""",
     num="mae_model mae_nwp",
 )
 def c18(t):
     from galeframe.operators.metrics import mae
 
-    rows = t.predictions.filter("horizon > 2").groupBy("station_id")
+    rows = t.predictions.groupBy("station_id")
     left = rows.agg(mae("gt", "pred").alias("mae_model"))
     return left.join(rows.agg(mae("gt", "nwp_ref").alias("mae_nwp")), "station_id")

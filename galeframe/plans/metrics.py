@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from galeframe.operators import metrics as M
 from galeframe.operators.quantiles import quantile_columns
-from galeframe.operators.reshape import fixed_bins, melt, pivot_mean
+from galeframe.operators.reshape import fixed_bins, melt
 from galeframe.plans.aggregates import POWER_SQL, turbine_power
 from galeframe.plans.joins import STATION_FORECAST_SQL, measured, station_forecast
 from galeframe.plans.registry import query
@@ -26,29 +26,32 @@ def scored_forecasts(t):
 
     rows = rows.join(last, ["station_id", "starttime"], "left")
     second = t.ec.withColumnRenamed("point", "rank")
-    return join_second_model(rows, second, [0], speed="second").withColumnRenamed("second_0", "second_ref")
+    return join_second_model(rows, second, [0, 1, 2], speed="second")
 
 
-SCORED_SQL = f"""SELECT f.station_id, f.starttime, f.forecasttime, f.nwp_speed AS pred, h.wind_speed AS gt, b.wind_speed AS pers_ref, e.v AS second_ref
+SCORED_SQL = f"""SELECT f.station_id, f.starttime, f.forecasttime, f.height, f.nwp_speed AS pred, h.wind_speed AS gt, b.wind_speed AS pers_ref,
+        e.v0 AS second_0, e.v1 AS second_1, e.v2 AS second_2
     FROM ({STATION_FORECAST_SQL}) f JOIN hourly h ON h.station_id = f.station_id AND h."timestamp" = f."timestamp"
     LEFT JOIN hourly b ON b.station_id = f.station_id AND b."timestamp" = f.starttime - INTERVAL 1 HOUR
-    LEFT JOIN (SELECT starttime, forecasttime, arg_min(sqrt(u_wind * u_wind + v_wind * v_wind), order_key) AS v FROM ec WHERE point = 0 GROUP BY ALL) e
+    LEFT JOIN (SELECT starttime, forecasttime, {', '.join(f"arg_min(sqrt(u_wind * u_wind + v_wind * v_wind), order_key) FILTER (point = {p}) AS v{p}" for p in range(3))}
+        FROM ec GROUP BY ALL) e
         ON e.starttime = date_trunc('day', f.starttime) + to_hours(CASE WHEN hour(f.starttime) >= 12 THEN 12 ELSE 0 END)
         AND e.forecasttime = date_diff('hour', e.starttime, f.starttime) + CAST(f.forecasttime AS BIGINT)"""
 
 
 @query(
     "m06_station_skill",
-    f"""SELECT station_id, CASE WHEN count(gt) >= 2 THEN sqrt(avg(pow(pred - gt, 2))) END AS rmse,
+    f"""SELECT station_id, height, CASE WHEN count(gt) >= 2 THEN sqrt(avg(pow(pred - gt, 2))) END AS rmse,
         CASE WHEN count(gt) >= 2 THEN avg(abs(pred - gt)) END AS mae,
         CASE WHEN count(gt) >= 2 AND var_pop(gt) > 0 THEN 1 - avg(pow(pred - gt, 2)) / var_pop(gt) END AS r2, count(gt) AS n_samples,
         1 - sqrt(avg(pow(pred - gt, 2))) / nullif(sqrt(avg(pow(pers_ref - gt, 2))), 0) AS skill,
-        1 - sqrt(avg(pow(pred - gt, 2))) / nullif(sqrt(avg(pow(second_ref - gt, 2))), 0) AS skill_second
+        {', '.join(f"1 - sqrt(avg(pow(pred - gt, 2))) / nullif(sqrt(avg(pow(second_{p} - gt, 2))), 0) AS skill_second_{p}" for p in range(3))}
     FROM ({SCORED_SQL}) GROUP BY ALL""",
-    num="rmse mae r2 skill skill_second",
+    num="rmse mae r2 skill skill_second_0 skill_second_1 skill_second_2",
 )
 def m06(t):
-    return M.score(scored_forecasts(t), ["station_id"], skill="pers_ref", skill_second="second_ref")
+    second = {f"skill_second_{p}": f"second_{p}" for p in range(3)}
+    return M.score(scored_forecasts(t), ["station_id", "height"], skill="pers_ref", **second)
 
 
 @query("m01_pooled_scores", f"SELECT {SCORE_SQL} FROM predictions", num="rmse mae r2")
@@ -85,27 +88,23 @@ def m04(t):
 
 @query(
     "m05_persistence_reference",
-    f"SELECT station_id, starttime, forecasttime, gt, pers_ref FROM ({SCORED_SQL})",
+    f"SELECT station_id, starttime, forecasttime, height, gt, pers_ref FROM ({SCORED_SQL})",
     num="gt pers_ref",
     ts="starttime",
 )
 def m05(t):
-    return scored_forecasts(t).select("station_id", "starttime", "forecasttime", "gt", "pers_ref")
-
-
-WIDE = [f"{i:05d}" for i in range(10)]
+    return scored_forecasts(t).select("station_id", "starttime", "forecasttime", "height", "gt", "pers_ref")
 
 
 @query(
     "m07_r2_per_run_and_station",
-    "SELECT run_time, " + ", ".join(f"max(r2) FILTER (station_id = '{s}') AS r2_{s}" for s in WIDE)
-    + f""" FROM (SELECT run_time, station_id, {R2_SQL.format(y='gt', p='pred')} AS r2 FROM predictions GROUP BY ALL) GROUP BY ALL""",
-    num=" ".join(f"r2_{s}" for s in WIDE),
+    f"SELECT run_time, station_id, {R2_SQL.format(y='gt', p='pred')} AS r2 FROM predictions GROUP BY ALL",
+    num="r2",
     ts="run_time",
 )
 def m07(t):
-    r2 = t.predictions.groupBy("run_time", "station_id").agg(M.r2("gt", "pred").alias("r2"))
-    return pivot_mean(r2, ["run_time"], "station_id", WIDE, {"r2": "r2_{}"}, how="first")
+    # one row per station: as columns, stations would have to be known and few
+    return t.predictions.groupBy("run_time", "station_id").agg(M.r2("gt", "pred").alias("r2"))
 
 
 @query(
@@ -320,7 +319,7 @@ def m20(t):
 @query(
     "m21_consolidated_results",
     """WITH m AS (SELECT station_id AS "key", horizon AS output_dim, sqrt(avg(pow(pred - gt, 2))) AS rmse FROM predictions GROUP BY ALL),
-    p AS (SELECT station_id AS "key", horizon AS output_dim, sqrt(avg(pow(pers_ref - gt, 2))) AS rmse_p FROM predictions WHERE horizon <= 5 GROUP BY ALL)
+    p AS (SELECT station_id AS "key", horizon AS output_dim, sqrt(avg(pow(pers_ref - gt, 2))) AS rmse_p FROM predictions GROUP BY ALL)
     SELECT output_dim, avg(rmse) AS rmse, avg(1 - rmse / nullif(rmse_p, 0)) AS skill FROM m LEFT JOIN p USING ("key", output_dim) GROUP BY ALL""",
     num="rmse skill",
 )
@@ -328,7 +327,7 @@ def m21(t):
     keys = ["key", "output_dim"]
     rows = t.predictions.withColumnsRenamed({"station_id": "key", "horizon": "output_dim"})
     results = rows.groupBy(*keys).agg(M.rmse("gt", "pred").alias("rmse"))
-    persistence = rows.filter("output_dim <= 5").groupBy(*keys).agg(M.rmse("gt", "pers_ref").alias("rmse"))
+    persistence = rows.groupBy(*keys).agg(M.rmse("gt", "pers_ref").alias("rmse"))
     return M.consolidate(results, persistence, keys, ["output_dim"])
 
 
@@ -356,15 +355,14 @@ def m23(t):
 
 @query(
     "m24_prediction_table",
-    """SELECT grid_id, starttime, CAST(forecasttime AS INTEGER) AS horizon, starttime + to_hours(CAST(forecasttime AS INTEGER)) AS valid_time, u_wind AS pred, v_wind AS gt
-    FROM nwp WHERE height = 10 AND (grid_id, starttime) IN (SELECT (grid_id, starttime) FROM nwp WHERE height = 10 GROUP BY grid_id, starttime HAVING count(*) >= 5)""",
+    """SELECT grid_id, height, starttime, CAST(forecasttime AS INTEGER) AS horizon,
+        starttime + to_hours(CAST(forecasttime AS INTEGER)) AS valid_time, u_wind AS pred, v_wind AS gt FROM nwp""",
     num="pred gt",
     ts="starttime valid_time",
 )
 def m24(t):
     step = F.struct("forecasttime", "u_wind", "v_wind")
-    runs = t.nwp.filter("height = 10").groupBy("grid_id", "starttime").agg(F.sort_array(F.collect_list(step)).alias("s"))
-    runs = runs.filter(F.size("s") >= 5).select(
-        "grid_id", "starttime", F.col("s.forecasttime").alias("leads"), F.col("s.u_wind").alias("pred"), F.col("s.v_wind").alias("gt")
-    )
-    return M.prediction_table(runs, ["grid_id", "starttime"], "leads", ["pred", "gt"])
+    keys = ["grid_id", "height", "starttime"]
+    runs = t.nwp.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("s"))
+    runs = runs.select(*keys, F.col("s.forecasttime").alias("leads"), F.col("s.u_wind").alias("pred"), F.col("s.v_wind").alias("gt"))
+    return M.prediction_table(runs, keys, "leads", ["pred", "gt"])

@@ -35,13 +35,14 @@ def h02(t):
 
 @query(
     "h03_direction_encoding",
-    f"""SELECT {NWP_KEYS}, -u_wind / greatest(wind_speed, 1e-6) AS dir_sin,
-        -v_wind / greatest(wind_speed, 1e-6) AS dir_cos FROM nwp""",
+    f"""SELECT {NWP_KEYS}, -u / CASE WHEN s < 1e-6 THEN 1e-6 ELSE s END AS dir_sin, -v / CASE WHEN s < 1e-6 THEN 1e-6 ELSE s END AS dir_cos
+    FROM (SELECT *, sqrt(u * u + v * v) AS s FROM (SELECT *, u_wind AS u, CASE WHEN qs IS NOT NULL THEN v_wind END AS v FROM nwp))""",
     num="dir_sin dir_cos",
     ts="starttime",
 )
 def h03(t):
-    sin, cos = physics.direction_encoding("u_wind", "v_wind")
+    v = F.when(F.col("qs").isNotNull(), F.col("v_wind"))  # some components are missing
+    sin, cos = physics.direction_encoding("u_wind", v)
     return t.nwp.select(*KEYS, sin.alias("dir_sin"), cos.alias("dir_cos"))
 
 
@@ -137,11 +138,11 @@ def h10(t):
 
 @query(
     "h11_hub_height_speed",
-    """SELECT grid_id, starttime, forecasttime, low * pow(100e0 / 10, least(greatest(
-        ln(greatest(high, 0.01e0) / greatest(low, 0.01e0)) / ln(127e0 / 10), 0), 1)) AS hub_speed
+    """SELECT grid_id, starttime, forecasttime, CASE WHEN high IS NOT NULL THEN low * pow(100e0 / 10, least(greatest(
+        ln(greatest(high, 0.01e0) / greatest(low, 0.01e0)) / ln(38e0 / 10), 0), 1)) END AS hub_speed
     FROM (SELECT a.grid_id, a.starttime, a.forecasttime, a.wind_speed AS low, b.wind_speed AS high
-        FROM nwp a JOIN nwp b ON a.grid_id = b.grid_id AND a.starttime = b.starttime
-            AND a.forecasttime = b.forecasttime AND a.height = 10 AND b.height = 38)""",
+        FROM (SELECT * FROM nwp WHERE height = 10) a LEFT JOIN (SELECT * FROM nwp WHERE height = 38) b
+            ON a.grid_id = b.grid_id AND a.starttime = b.starttime AND a.forecasttime = b.forecasttime)""",
     num="hub_speed",
     ts="starttime",
 )
@@ -149,8 +150,9 @@ def h11(t):
     keys = KEYS[:3]
     low = t.nwp.filter("height = 10").select(*keys, F.col("wind_speed").alias("low"))
     high = t.nwp.filter("height = 38").select(*keys, F.col("wind_speed").alias("high"))
-    return low.join(high, keys).select(
-        *keys, physics.power_law_speed("low", "high", 10.0, 100.0).alias("hub_speed")
+    # rows without an upper level have no shear and stay missing
+    return low.join(high, keys, "left").select(
+        *keys, physics.power_law_speed("low", "high", 10.0, 100.0, reference_height=38.0).alias("hub_speed")
     )
 
 
@@ -267,17 +269,18 @@ def h18(t):
 
 @query(
     "h19_irradiance",
-    """SELECT event_id, CASE WHEN coalesce(temperature, wind_speed) IS NOT NULL
-            THEN greatest(coalesce(temperature, 0) * 10 + coalesce(wind_speed, 0), 0) END AS ghi,
-        CASE WHEN temperature IS NOT NULL THEN greatest(temperature * 10, 0) END AS bhi FROM raw""",
-    num="ghi bhi",
+    """SELECT event_id, CASE WHEN temperature IS NOT NULL AND wind_speed IS NOT NULL THEN greatest(temperature * 10 + wind_speed, 0) END AS ghi,
+        CASE WHEN temperature IS NOT NULL THEN greatest(temperature * 10, 0) END AS bhi,
+        CASE WHEN temperature IS NOT NULL THEN greatest(temperature * 10, 0) END AS direct_only FROM raw""",
+    num="ghi bhi direct_only",
 )
 def h19(t):
     direct = F.col("temperature") * 10.0
     return t.raw.select(
         "event_id",
         physics.global_irradiance(direct, "wind_speed").alias("ghi"),
-        F.when(direct.isNotNull(), physics.non_negative(direct)).alias("bhi"),
+        physics.non_negative(direct).alias("bhi"),
+        physics.global_irradiance(direct, None).alias("direct_only"),
     )
 
 
@@ -307,7 +310,7 @@ def h21(t):
     return t.raw.select(
         "event_id",
         physics.clip(value / 20.0, 0, 1).alias("clipped"),
-        F.when(value.isNotNull(), physics.non_negative(value)).alias("positive"),
+        physics.non_negative(value).alias("positive"),
     )
 
 

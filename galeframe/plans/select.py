@@ -285,14 +285,14 @@ def f05(t):
 
 @query(
     "g01_concatenation",
-    """SELECT grid_id, starttime, forecasttime, u_wind FROM nwp WHERE height = 10
-    UNION ALL SELECT point, starttime, CAST(forecasttime AS DOUBLE), u_wind FROM ec""",
+    """SELECT grid_id, starttime, forecasttime, height, u_wind FROM nwp
+    UNION ALL SELECT point, starttime, CAST(forecasttime AS DOUBLE), CAST(NULL AS INTEGER), u_wind FROM ec""",
     num="u_wind",
     ts="starttime",
 )
 def g01(t):
     second = t.ec.select(F.col("point").alias("grid_id"), "starttime", F.col("forecasttime").cast("double").alias("forecasttime"), "u_wind")
-    return t.nwp.filter("height = 10").select(*RUN, "u_wind").unionByName(second)
+    return t.nwp.select(*RUN, "height", "u_wind").unionByName(second, allowMissingColumns=True)
 
 
 @query(

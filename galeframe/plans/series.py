@@ -37,18 +37,18 @@ def e01(t):
 
 @query(
     "e01_lag_features_of_runs",
-    """WITH m AS (SELECT grid_id, "timestamp", avg(wind_speed) AS w FROM nwp WHERE height = 10 GROUP BY ALL),
-    l AS (SELECT grid_id, "timestamp", lag(w, 3) OVER o AS lag_3, lag(w, 4) OVER o AS lag_4 FROM m
-        WINDOW o AS (PARTITION BY grid_id ORDER BY "timestamp"))
-    SELECT n.grid_id, n.starttime, n.forecasttime, l.lag_3 AS wind_speed_lag_3, l.lag_4 AS wind_speed_lag_4
-    FROM nwp n JOIN l ON n.grid_id = l.grid_id AND n."timestamp" = l."timestamp" WHERE n.height = 10""",
+    """WITH m AS (SELECT grid_id, height, "timestamp", avg(wind_speed) AS w FROM nwp GROUP BY ALL),
+    l AS (SELECT grid_id, height, "timestamp", lag(w, 3) OVER o AS lag_3, lag(w, 4) OVER o AS lag_4 FROM m
+        WINDOW o AS (PARTITION BY grid_id, height ORDER BY "timestamp"))
+    SELECT n.grid_id, n.height, n.starttime, n.forecasttime, l.lag_3 AS wind_speed_lag_3, l.lag_4 AS wind_speed_lag_4
+    FROM nwp n JOIN l ON n.grid_id = l.grid_id AND n.height = l.height AND n."timestamp" = l."timestamp" """,
     num="wind_speed_lag_3 wind_speed_lag_4",
     ts="starttime",
 )
 def e01_runs(t):
-    runs = t.nwp.filter("height = 10").select("grid_id", "starttime", "forecasttime", "timestamp", "wind_speed")
+    runs = t.nwp.select("grid_id", "height", "starttime", "forecasttime", "timestamp", "wind_speed")
     lags = S.lag_steps(3, 4, every_row=True)
-    out = S.run_lag_features(runs, ["grid_id"], "timestamp", "wind_speed", lags, O.day_chunk("timestamp"))
+    out = S.run_lag_features(runs, ["grid_id", "height"], "timestamp", "wind_speed", lags, O.day_chunk("timestamp"))
     return out.drop("timestamp", "wind_speed")
 
 
@@ -139,7 +139,7 @@ FILLED_SQL = """SELECT station_id, "timestamp",
 
 def run_frame(t):
     """Forecast at a station (mean of its two nearest nodes) next to the measured value."""
-    facts = t.nwp.filter("forecasttime <= 6").select("grid_id", "starttime", "forecasttime", "timestamp", "wind_speed")
+    facts = t.nwp.select("grid_id", "starttime", "forecasttime", "timestamp", "wind_speed")
     nwp = nearest_nodes(t, 2).join(facts, "grid_id").groupBy(
         "station_id", "starttime", "forecasttime", "timestamp"
     ).agg(F.avg("wind_speed").alias("nwp_speed"))
@@ -148,7 +148,7 @@ def run_frame(t):
 
 RUN_FRAME_SQL = f"""SELECT n.*, h.wind_speed FROM (
         SELECT station_id, starttime, forecasttime, "timestamp", avg(wind_speed) AS nwp_speed
-        FROM ({nearest_sql(2)}) k JOIN nwp USING (grid_id) WHERE forecasttime <= 6 GROUP BY ALL) n
+        FROM ({nearest_sql(2)}) k JOIN nwp USING (grid_id) GROUP BY ALL) n
     JOIN ({FILLED_SQL}) h ON n.station_id = h.station_id AND n."timestamp" = h."timestamp" """
 
 
@@ -156,7 +156,7 @@ RUN_FRAME_SQL = f"""SELECT n.*, h.wind_speed FROM (
     "e06_run_sequences",
     f"""WITH f AS ({RUN_FRAME_SQL}),
     r AS (SELECT station_id, starttime, count(*) AS n, min("timestamp") AS t0, sum(nwp_speed) AS k, sum(wind_speed) AS y
-        FROM f GROUP BY ALL HAVING count(*) = 6),
+        FROM f WHERE forecasttime <= 6 GROUP BY ALL HAVING count(*) = 6),
     o AS (SELECT station_id, "timestamp" AS ts, arg_min(wind_speed, (starttime, forecasttime)) AS w FROM f GROUP BY ALL)
     SELECT r.station_id, r.starttime, r.k + p.k AS known_total, sum(o.w) AS observed_total, r.y AS y_total
     FROM r JOIN r p ON p.station_id = r.station_id AND p.starttime = r.starttime - INTERVAL 6 HOUR

@@ -178,13 +178,14 @@ def j10_modal(t):
     return runs.groupBy("grid_id", "starttime").agg(F.count(F.lit(1)).alias("n"))
 
 
-DRAW_SQL = "CAST('0x' || substring(md5('{seed}|' || r), 1, 4) AS INTEGER)"
+DRAW_SQL = "CAST('0x' || substring(md5('{seed}|' || r), 1, 15) AS BIGINT)"
+STEPS_SQL = ", ".join(DRAW_SQL.format(seed=9 + i) + " % size" for i in range(16))
 MASK_SQL = f"""WITH u AS (SELECT DISTINCT strftime(starttime, '%Y-%m-%d %H:%M:%S') AS r FROM nwp), s AS (SELECT count(*) AS size FROM stations),
-    c AS (SELECT station_id, c, row_number() OVER (PARTITION BY c ORDER BY md5('7|' || c || '|' || station_id), station_id) - 1 AS p
-        FROM stations CROSS JOIN (SELECT unnest(range(64)) AS c)),
-    w AS (SELECT r, size, 2 + {DRAW_SQL.format(seed=7)} % 4 AS n, {DRAW_SQL.format(seed=8)} AS a, {DRAW_SQL.format(seed=9)} % 64 AS c FROM u CROSS JOIN s),
+    c AS (SELECT station_id, row_number() OVER (ORDER BY md5('7|' || station_id), station_id) - 1 AS p FROM stations),
+    w AS (SELECT r, size, 2 + {DRAW_SQL.format(seed=7)} % 4 AS n, {DRAW_SQL.format(seed=8)} % size AS a,
+        coalesce(list_filter([{STEPS_SQL}], lambda x: gcd(x, size) = 1)[1], 1) AS step FROM u CROSS JOIN s),
     i AS (SELECT *, unnest(range(least(n + 6, size))) AS i FROM w)
-    SELECT r AS starttime, station_id, CASE WHEN i < n THEN 'target' ELSE 'neighbour' END AS role FROM i JOIN c ON c.c = i.c AND c.p = (a + i) % size"""
+    SELECT r AS starttime, station_id, CASE WHEN i < n THEN 'target' ELSE 'neighbour' END AS role FROM i JOIN c ON c.p = (a + i * step) % size"""
 
 
 @query("j11_masked_targets", MASK_SQL)
@@ -196,7 +197,7 @@ def j11(t):
 @query(
     "j12_turbine_assignment",
     """SELECT s.station_id, p.p_partkey AS number, 40e0 + p.p_size AS hub_height FROM (
-        SELECT station_id, CAST('0x' || substring(md5('11|' || station_id), 1, 4) AS INTEGER) % (SELECT count(*) FROM part) AS k FROM stations) s
+        SELECT station_id, CAST('0x' || substring(md5('11|' || station_id), 1, 15) AS BIGINT) % (SELECT count(*) FROM part) AS k FROM stations) s
     JOIN part p ON p.p_partkey = s.k""",
     num="hub_height",
 )

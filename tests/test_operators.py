@@ -263,6 +263,10 @@ def test_masks_are_reproducible_and_bounded(spark):
 # -- kriging -------------------------------------------------------------------
 
 
+def one_target(near, target, params, model, metric):
+    return K.solve_weights(near[None], target[None], np.array([params]), model, metric)[0]
+
+
 @pytest.fixture(scope="module")
 def stations(spark):
     rng = np.random.default_rng(8)
@@ -276,15 +280,15 @@ def stations(spark):
 def test_weights_sum_to_one_and_reproduce_a_station():
     near = np.array([[50.0, 8.0], [51.0, 9.0], [49.0, 10.0]])
     for metric in ("haversine", "geodesic"):
-        w = K.solve_weights(near, np.array([50.3, 8.8]), (0.2, 2.0, 150.0), "exponential", metric)
+        w = one_target(near, np.array([50.3, 8.8]), (0.2, 2.0, 150.0), "exponential", metric)
         assert w.sum() == pytest.approx(1.0)
-    w = K.solve_weights(near, near[1], (0.0, 2.0, 150.0), "spherical", "haversine")
+    w = one_target(near, near[1], (0.0, 2.0, 150.0), "spherical", "haversine")
     np.testing.assert_allclose(w, [0, 1, 0], atol=1e-9)
 
 
 def test_duplicate_neighbours_give_finite_weights():
     near = np.array([[50.0, 8.0], [50.0, 8.0], [49.0, 10.0]])
-    w = K.solve_weights(near, np.array([50.3, 8.8]), (0.0, 2.0, 150.0), "spherical", "haversine")
+    w = one_target(near, np.array([50.3, 8.8]), (0.0, 2.0, 150.0), "spherical", "haversine")
     assert np.isfinite(w).all() and w.sum() == pytest.approx(1.0) and w[0] == pytest.approx(w[1])
 
 
@@ -343,6 +347,74 @@ def test_regression_kriging_equals_numpy(spark, stations):
         assert r.rk_pred == pytest.approx(a + b * x[i, j] + (wt @ (z[i, near] - a - b * x[i, near])) / wt.sum())
 
 
+def test_regression_kriging_centres_the_fit_and_falls_back(spark):
+    schema = "station_id string, timestamp timestamp, z double, x double, y double"
+    near = [(f"n{i}", T0, 5.0 + i, 5.0, 10.0 * (i + 1)) for i in range(6)]
+    weights = spark.createDataFrame(
+        [("t", f"n{i}", i + 1, 1.0, 1.0 / 6) for i in range(6)], "target_id string, near_id string, rank int, distance double, weight double"
+    )
+
+    def predicted(target, rows=near, k=6, w=weights):
+        series = spark.createDataFrame([("t", T0, 1.0, *target), *rows], schema)
+        return K.regression_kriging(series, w, "z", ["x", "y"], k).filter("station_id = 't'").first()["rk_pred"]
+
+    assert predicted((10.0, 35.0)) == pytest.approx(7.5)  # a covariate that is equal at all neighbours has no slope
+    assert predicted((None, 35.0)) == pytest.approx(7.5)  # ordinary kriging: the mean here
+    missing = [("n0", T0, 5.0, None, 10.0), *near[1:]]
+    assert predicted((10.0, 60.0), missing) == pytest.approx(7.5)
+    # as many covariates as neighbours: the flattest fit through both
+    two = weights.filter("rank <= 2").withColumn("weight", F.lit(0.5))
+    rows = [("n0", T0, 1.0, 0.0, 0.0), ("n1", T0, 3.0, 2.0, 0.0)]
+    assert predicted((1.5, 9.0), rows, 2, two) == pytest.approx(2.5)
+
+
+def test_global_trend_of_large_equal_covariates_is_flat(spark, stations):
+    rng = np.random.default_rng(4)
+    ids = list(stations[1]["station_id"])
+    rows = [(s, t, float(rng.normal()), 101_325.7) for s in ids for t in hours(5)]
+    series = spark.createDataFrame(rows, "station_id string, timestamp timestamp, z double, x double")
+    far = series.withColumn("x", F.when(F.col("station_id") == ids[0], 100_825.7).otherwise(F.col("x")))
+    weights = weights_table(spark, stations)
+    order = ["timestamp", "station_id"]
+    flat, moved = (K.global_trend_kriging(df, weights, "z", "x").filter(F.col("station_id") == ids[0]).orderBy(*order).collect() for df in (series, far))
+    assert [r["rk_pred"] for r in moved] == pytest.approx([r["rk_pred"] for r in flat])
+
+
+def test_formulas_keep_missing_values(spark):
+    from galeframe.functions import physics as P
+
+    one = spark.range(1).select(F.lit(None).cast("double").alias("n"), F.lit(3.0).alias("v"))
+    formulas = [
+        *P.direction_encoding("n", "v"), *P.direction_encoding("v", "n"), P.power_law_speed("v", "n", 10.0, 100.0),
+        P.power_law_speed("n", "v", 10.0, 100.0), P.non_negative("n"), P.clip("n", 0, 1), P.global_irradiance("n", "v"),
+        P.global_irradiance("v", "n"), P.cap_area("v", "n"), P.scaled_power("n", "v"), G.wind_weight("v", "n", "v", "v"),
+        G.wind_weight("n", "v", "v", "v"), G.gaussian_weight("n"),
+    ]
+    assert all(x is None for x in one.select(*[c.alias(f"c{i}") for i, c in enumerate(formulas)]).first())
+    assert one.select(P.global_irradiance("v", None)).first()[0] == 3.0
+    ends = spark.createDataFrame([("a", 50.0, 7.0, 10.0), ("b", 51.0, 8.0, None)], "id string, latitude double, longitude double, h double")
+    edges = spark.createDataFrame([("a", "b", 9.0), ("b", "a", 9.0)], "src string, dst string, distance double")
+    assert [r["d_alt"] for r in G.edge_features(edges, ends, ends, "h").collect()] == [None, None]
+
+
+def test_draws_reach_every_turbine_and_place(spark):
+    from galeframe.operators import splits as SP
+
+    drawn = spark.range(2000).select((SP.draw_number(3, "id") % 200_000).alias("n")).agg(F.max("n"), F.countDistinct("n")).first()
+    assert drawn[0] > 190_000 and drawn[1] > 1950
+    stations_ = spark.range(101).select(F.col("id").cast("string").alias("station_id"))
+    runs = spark.range(300).select(F.col("id").cast("string").alias("run"))
+    out = SP.mask_targets(runs, stations_, "run", 2, 5, 6, seed=7)
+    sizes = out.groupBy("run").agg(F.count("*").alias("n"), F.countDistinct("station_id").alias("d"), F.count_if(F.col("role") == "target").alias("t"))
+    assert sizes.filter("n = d AND t BETWEEN 2 AND 5 AND n = t + 6").count() == 300
+    assert out.select("station_id").distinct().count() == 101
+
+
+def test_a_neighbour_on_the_spot_takes_all_weight(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (5.0, 2.0), (None, 0.0)], "v double, d double")
+    assert df.agg(K.idw_prediction(F.col("v"), F.col("d"))).first()[0] == 1.0
+
+
 def test_missing_neighbour_skips_the_prediction(spark, stations):
     ids = list(stations[1]["station_id"])
     series = spark.createDataFrame(
