@@ -94,7 +94,7 @@ def a09(t):
     writers.csv_to_parquet(
         t.spark, f"{path}/in", f"{path}/out", "event_id bigint, station_id string, reading double", ["station_id"]
     )
-    back = t.spark.read.schema("event_id bigint, reading double, station_id string").parquet(f"{path}/out")
+    back = t.spark.read.schema("event_id bigint, reading double, source string, station_id string").parquet(f"{path}/out")
     return back.select("event_id", "station_id", "reading")
 
 

@@ -13,6 +13,11 @@ from galeframe.session import shared_dir
 from galeframe.streaming import series as S
 
 
+def folder(t, name):
+    """A new folder: a query run again has to start from nothing."""
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table_stream(t, name):
     return S.read_table_stream(t.spark, t.sf_dir, name)
 
@@ -29,7 +34,7 @@ def l01(t):
         station_name(F.col("user_id") % 10).alias("station_id"), F.col("ts").alias("timestamp"),
         (F.col("value") / 20.0).alias("wind_speed"),
     )
-    out = S.run_to_end(S.hourly_means(events, "station_id", "timestamp", ["wind_speed"]), "hourly")
+    out = S.run_to_end(S.hourly_means(events, "station_id", "timestamp", ["wind_speed"]), folder(t, "hourly"))
     return t.spark.read.parquet(out)
 
 
@@ -41,12 +46,15 @@ def run_stream(t):
         F.col("l_linenumber").cast("double").alias("forecasttime"),
         ((F.col("l_quantity") - 25.0) / 3.0).alias("u_wind"),
         (F.col("l_discount") * 100.0 - 5.0).alias("v_wind"),
+        F.col("l_orderkey").alias("order_key"),
+        F.col("l_partkey").alias("part_key"),
     )
 
 
 @query(
     "l02_streaming_append",
-    """SELECT grid_id, starttime, forecasttime, arg_min(u_wind, (u_wind, v_wind)) AS u_wind, arg_min(v_wind, (u_wind, v_wind)) AS v_wind
+    """SELECT grid_id, starttime, forecasttime, arg_min(u_wind, (order_key, part_key, u_wind)) AS u_wind,
+        arg_min(v_wind, (order_key, part_key, u_wind)) AS v_wind, min(order_key) AS order_key, arg_min(part_key, (order_key, part_key, u_wind)) AS part_key
     FROM nwp_raw GROUP BY ALL""",
     num="u_wind v_wind",
     ts="starttime",
@@ -54,8 +62,8 @@ def run_stream(t):
 def l02(t):
     run, row = ["grid_id", "starttime"], ["forecasttime"]
     stream = run_stream(t)
-    store = f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex}"
-    S.run_to_end(stream, "append", sink=S.append_new_runs(store, run, row, expected=7))
+    store = folder(t, "runs")
+    S.run_to_end(stream, folder(t, "append"), sink=S.append_new_runs(store, run, row, 7, ["order_key", "part_key", "u_wind"]))
     return S.read_store(t.spark, store, stream.schema)
 
 
@@ -70,6 +78,6 @@ def l03(t):
     keys = ["grid_id", "timestamp"]
     runs = run_stream(t).withColumn("timestamp", valid_time("starttime", "forecasttime"))
     latest = S.latest_forecasts(runs, ["grid_id"], "timestamp", ["forecasttime"], "60 days")
-    store = f"{shared_dir(t.spark)}/latest-{uuid.uuid4().hex}"
-    S.run_to_end(latest, "latest", mode="update", sink=S.keep_batches(store))
+    store = folder(t, "newest")
+    S.run_to_end(latest, folder(t, "latest"), mode="update", sink=S.keep_batches(store))
     return S.read_latest(t.spark, store, keys)

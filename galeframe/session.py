@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+LOCAL_FOLDER = os.path.join(tempfile.gettempdir(), "galeframe-shared")
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the session to UTC, the zone of all series and runs."""
@@ -14,13 +16,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "galeframe", cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(
+    app: str = "galeframe", cores: str = "*", partitions: int = 8, shared: str = LOCAL_FOLDER
+) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     return configure(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.driver.memory", os.environ.get("GALEFRAME_DRIVER_MEMORY", "8g"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
@@ -29,21 +34,15 @@ def local_session(app: str = "galeframe", cores: str = "*", partitions: int = 8)
     )
 
 
-_local_dir: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+    """The cluster's shared folder, the one ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names it. Only a local session without the setting
-    gets a folder of its own; on a cluster the setting is required, because a
-    folder of one machine cannot outlive that machine.
+    Only a local session may do without the setting: driver and executors are one process
+    there, and take one fixed folder, so that a later session finds what an earlier one left.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="galeframe-"))
-    return _local_dir[0]
+    return LOCAL_FOLDER

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from galeframe.session import shared_dir
-
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """File stream over the table ``{folder}/{name}.parquet``, a single file or a folder of files."""
@@ -47,19 +44,38 @@ def latest_forecasts(stream: DataFrame, by: Sequence[str], valid: str, value: Se
     return rows.select(*by, valid, *[F.col("_best")[v].alias(v) for v in value])
 
 
+def _first_delivered(batch: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """One row per key, the one that the columns ``arrival`` put first."""
+    values = [c for c in batch.columns if c not in keys]
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*arrival)).alias("_v")).select(*keys, "_v.*")
+
+
+def append_newer_runs(
+    store_path: str, grid: Sequence[str], run: Sequence[str], row: Sequence[str], arrival: Sequence[str], run_time: str = "starttime"
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink that appends the runs that start after the newest stored one of their grid point."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        unique = _first_delivered(batch, [*run, *row], arrival)
+        earlier = read_store(batch.sparkSession, store_path, unique.schema, before=batch_id)
+        newest = earlier.groupBy(*grid).agg(F.max(run_time).alias("_newest"))
+        fresh = unique.join(newest, [*grid], "left").filter(F.col("_newest").isNull() | (F.col(run_time) > F.col("_newest")))
+        fresh.drop("_newest").write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+
+    return sink
+
+
 def append_new_runs(
-    store_path: str, run: Sequence[str], row: Sequence[str], expected: int, run_time: str = "starttime"
+    store_path: str, run: Sequence[str], row: Sequence[str], expected: int, arrival: Sequence[str], run_time: str = "starttime"
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that appends rows of runs that are new or not yet complete.
 
-    Of rows with one key in a batch, and of a batch against the store, the first wins.
-    A run that already has ``expected`` rows is left alone. Each batch writes its own
+    Of rows with one key, the first by ``arrival`` wins in a batch, and the stored one against
+    a batch. A run that already has ``expected`` rows is left alone. Each batch writes its own
     sub-folder in overwrite mode, so a batch repeated after a failure replaces itself.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        order = [c for c in batch.columns if c not in (*run, *row)]
-        unique = batch.groupBy(*run, *row).agg(F.min(F.struct(*order)).alias("_v")).select(*run, *row, "_v.*").persist()
+        unique = _first_delivered(batch, [*run, *row], arrival).persist()
         # only the part of the store that overlaps the batch in time is read
         low, high = unique.agg(F.min(run_time), F.max(run_time)).first()
         earlier = read_store(spark, store_path, unique.schema, before=batch_id).filter(F.col(run_time).between(low, high))
@@ -84,14 +100,13 @@ def read_store(spark: SparkSession, path: str, schema: StructType, before: int |
 
 
 def run_to_end(
-    stream: DataFrame, name: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame, folder: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None
 ) -> str:
-    """Process all available input into parquet (or a batch sink); returns the output folder.
+    """Process all input that is not yet done into parquet (or a batch sink); returns the output folder.
 
-    Output and checkpoint live in the shared folder, so a lost executor or driver can
-    resume from them.
+    Output and checkpoint live in ``folder``, which all executors share. Called again with
+    the same folder, after a stop or with more input, the stream goes on where it was.
     """
-    folder = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
     writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     if sink:

@@ -68,18 +68,23 @@ def test_topography(spark, tmp_path):
     assert out["1"]["aspect_sin"] == pytest.approx(1.0)
 
 
-def test_csv_conversion_keeps_an_existing_target(spark, tmp_path):
+def test_csv_conversion_goes_file_by_file(spark, tmp_path):
     src, dst = str(tmp_path / "in"), str(tmp_path / "out")
-    df = spark.createDataFrame([("a", 1.0)], "station_id string, v double")
+    df = spark.createDataFrame([("a", 1.0)], "station_id string, v double").coalesce(1)
     writers.write_csv(df, src)
     schema = "station_id string, v double"
     report = {r["side"]: r["n_files"] for r in writers.csv_to_parquet(spark, src, dst, schema, ["station_id"]).collect()}
     assert report == {"csv": 1, "parquet": 1}
-    writers.write_csv(df.unionByName(df), src, mode="overwrite")
-    writers.csv_to_parquet(spark, src, dst, schema, ["station_id"])
-    assert spark.read.parquet(dst).count() == 1
+    before = {r["path"] for r in writers._files(spark, dst).filter("path LIKE '%.parquet'").collect()}
+    writers.write_csv(spark.createDataFrame([("b", 2.0)], schema).coalesce(1), src, mode="append")
+    report = {r["side"]: r["n_files"] for r in writers.csv_to_parquet(spark, src, dst, schema, ["station_id"]).collect()}
+    assert report == {"csv": 2, "parquet": 2}
+    after = {r["path"] for r in writers._files(spark, dst).filter("path LIKE '%.parquet'").collect()}
+    assert before < after  # the file that was converted before is left alone
+    assert sorted(r["v"] for r in spark.read.parquet(dst).collect()) == [1.0, 2.0]
     writers.csv_to_parquet(spark, src, dst, schema, ["station_id"], force=True)
     assert spark.read.parquet(dst).count() == 2
+    assert not before & {r["path"] for r in writers._files(spark, dst).collect()}
 
 
 def test_unknown_source_kind(spark):
@@ -101,30 +106,55 @@ def test_late_rows_are_dropped(spark, tmp_path):
     # a watermark counts for rows from the batch after the next one on
     parts = [[at(0.1, 1.0), at(0.2, 3.0)], [at(5.0, 1.0)], [at(5.5, 1.0)], [at(0.3, 100.0), at(9.0, 1.0)]]
     stream = batches(spark, tmp_path, parts, schema)
-    out = ST.run_to_end(ST.hourly_means(stream, "station_id", "timestamp", ["wind_speed"]), "late")
+    out = ST.run_to_end(ST.hourly_means(stream, "station_id", "timestamp", ["wind_speed"]), str(tmp_path / "late"))
     rows = {r["timestamp"].hour: r["wind_speed"] for r in spark.read.parquet(out).collect()}
     assert rows[0] == 2.0  # the 100.0 came after the watermark had passed
 
 
 def test_append_takes_new_runs_once(spark, tmp_path):
-    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double"
-    row = lambda h, lead, v: (1, T0 + timedelta(hours=h), float(lead), v)
-    parts = [[row(0, 1, 1.0), row(0, 2, 2.0), row(6, 1, 5.0)], [row(0, 1, 9.0), row(6, 1, 9.0), row(6, 2, 6.0)]]
+    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
+    row = lambda h, lead, v, n=0: (1, T0 + timedelta(hours=h), float(lead), v, n)
+    parts = [[row(0, 1, 1.0), row(0, 2, 2.0, 1), row(0, 2, -7.0, 2), row(6, 1, 5.0)], [row(0, 1, 9.0), row(6, 1, 9.0), row(6, 2, 6.0)]]
     store = str(tmp_path / "store")
-    sink = ST.append_new_runs(store, ["grid_id", "starttime"], ["forecasttime"], expected=2)
+    sink = ST.append_new_runs(store, ["grid_id", "starttime"], ["forecasttime"], expected=2, arrival=["arrival"])
     stream = batches(spark, tmp_path, parts, schema)
-    ST.run_to_end(stream, "append", sink=sink)
+    ST.run_to_end(stream, str(tmp_path / "append"), sink=sink)
     got = sorted((r["starttime"].hour, r["forecasttime"], r["v"]) for r in ST.read_store(spark, store, stream.schema).collect())
     assert got == [(0, 1.0, 1.0), (0, 2.0, 2.0), (6, 1.0, 5.0), (6, 2.0, 6.0)]
 
 
+def test_only_newer_runs_of_a_grid_point_are_appended(spark, tmp_path):
+    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
+    row = lambda g, h, v: (g, T0 + timedelta(hours=h), 1.0, v, 0)
+    parts = [[row(1, 6, 1.0), row(2, 0, 2.0)], [row(1, 0, 9.0), row(1, 6, 9.0), row(1, 12, 3.0), row(2, 6, 4.0), row(3, 0, 5.0)]]
+    store = str(tmp_path / "store")
+    sink = ST.append_newer_runs(store, ["grid_id"], ["grid_id", "starttime"], ["forecasttime"], ["arrival"])
+    stream = batches(spark, tmp_path, parts, schema)
+    ST.run_to_end(stream, str(tmp_path / "append"), sink=sink)
+    assert sorted(r["v"] for r in ST.read_store(spark, store, stream.schema).collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
+    seen = []
+
+    def sink(batch, batch_id):
+        seen.append((batch_id, sorted(r["v"] for r in batch.collect())))
+
+    row = lambda v: (1, T0, 1.0, v, 0)
+    place = str(tmp_path / "state")
+    ST.run_to_end(batches(spark, tmp_path, [[row(1.0)], [row(2.0)]], schema), place, sink=sink)
+    ST.run_to_end(batches(spark, tmp_path, [[row(3.0)]], schema), place, sink=sink)
+    assert [v for _, v in seen] == [[1.0], [2.0], [3.0]] and [b for b, _ in seen] == [0, 1, 2]
+
+
 def test_shortest_lead_wins_over_batches(spark, tmp_path):
     schema = "grid_id bigint, starttime timestamp, forecasttime double, timestamp timestamp, v double"
     row = lambda lead, v: (1, T0 + timedelta(hours=10 - lead), float(lead), T0 + timedelta(hours=10), v)
     stream = batches(spark, tmp_path, [[row(5, 1.0)], [row(2, 2.0)], [row(4, 3.0)]], schema)
     latest = ST.latest_forecasts(stream, ["grid_id"], "timestamp", ["forecasttime", "v"], "2 days")
     store = str(tmp_path / "latest")
-    ST.run_to_end(latest, "latest", mode="update", sink=ST.keep_batches(store))
+    ST.run_to_end(latest, str(tmp_path / "newest"), mode="update", sink=ST.keep_batches(store))
     assert [tuple(r)[2:] for r in ST.read_latest(spark, store, ["grid_id", "timestamp"]).collect()] == [(2.0, 2.0)]
 
 
