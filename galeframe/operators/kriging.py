@@ -57,19 +57,36 @@ def station_pairs(stations: DataFrame, max_km: float) -> DataFrame:
     return pairs.select(F.col("target_id").alias("i"), F.col("near_id").alias("j"), "distance")
 
 
+def day_arrays(series: DataFrame, value: str, time: str, by: Sequence[str], into: str) -> DataFrame:
+    """One row per (by, station, day): the sorted times with a value, and the values, as arrays."""
+    rows = series.filter(F.col(value).isNotNull()).withColumn("_day", F.date_trunc("day", time))
+    entry = F.struct(F.unix_micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"))
+    days = rows.groupBy(*by, "station_id", "_day").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    return days.select(*by, "_day", F.col("station_id").alias(into), F.col("_e.t").alias(f"_t{into}"), F.col("_e.v").alias(f"_v{into}"))
+
+
 def pair_semivariance(
     series: DataFrame, pairs: DataFrame, value: str, time: str = "timestamp", by: Sequence[str] = ()
 ) -> DataFrame:
     """``0.5 * mean((z_i - z_j)^2)`` per pair over the times at which both have values.
 
-    Only the listed pairs meet, each through equality on station and time.
+    Only the listed pairs meet, each through equality on station and day. A day of a pair is
+    one row with both days' values as arrays, so rows in a shuffle are pairs times days.
     """
-    z = series.filter(F.col(value).isNotNull()).select(*by, F.col(time).alias("_t"), "station_id", value)
-    left = z.withColumnsRenamed({"station_id": "i", value: "_zi"})
-    right = z.withColumnsRenamed({"station_id": "j", value: "_zj"})
-    joined = left.join(pairs, "i").join(right, ["j", "_t", *by])
-    gap = F.col("_zi") - F.col("_zj")
-    return joined.groupBy(*by, "i", "j", "distance").agg((0.5 * F.avg(gap * gap)).alias("semivariance"))
+    left, right = (day_arrays(series, value, time, by, end) for end in ("i", "j"))
+    joined = left.join(pairs, "i").join(right, ["j", "_day", *by])
+    # days with equal times are zipped, others looked up by time
+    by_time = F.map_from_arrays("_tj", "_vj")
+    there = F.transform("_ti", lambda t: F.try_element_at(by_time, t))
+    gaps = F.zip_with("_vi", F.when(F.col("_ti") == F.col("_tj"), F.col("_vj")).otherwise(there), lambda a, b: a - b)
+    step = lambda s, g: F.struct(
+        (s["total"] + F.coalesce(g * g, F.lit(0.0))).alias("total"), (s["n"] + F.when(g.isNull(), 0).otherwise(1)).alias("n")
+    )
+    begin = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    sums = joined.select(*by, "i", "j", "distance", F.aggregate(gaps, begin, step).alias("_s"))
+    total, n = F.sum("_s.total"), F.sum("_s.n")
+    out = sums.groupBy(*by, "i", "j", "distance").agg(F.try_divide(0.5 * total, n).alias("semivariance"))
+    return out.filter(F.col("semivariance").isNotNull())
 
 
 def bin_semivariance(

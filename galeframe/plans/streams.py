@@ -31,7 +31,7 @@ def table_stream(t, name):
 )
 def l01(t):
     events = table_stream(t, "events").select(
-        station_name(F.col("user_id") % 10).alias("station_id"), F.col("ts").alias("timestamp"),
+        station_name(F.col("user_id") % t.n_stations).alias("station_id"), F.col("ts").alias("timestamp"),
         (F.col("value") / 20.0).alias("wind_speed"),
     )
     out = S.run_to_end(S.hourly_means(events, "station_id", "timestamp", ["wind_speed"]), folder(t, "hourly"))

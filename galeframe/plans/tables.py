@@ -70,11 +70,15 @@ class Tables:
             F.col("s_suppkey").alias("grid_id"), *_grid_position("s_suppkey")
         )
 
+    @cached_property
+    def n_stations(self) -> int:
+        return max(1, self.table("supplier").count())
+
     @cached_property
     def raw(self) -> DataFrame:
         return self.table("events").select(
             "event_id",
-            station_name(F.col("user_id") % 10).alias("station_id"),
+            station_name(F.col("user_id") % self.n_stations).alias("station_id"),
             F.col("ts").alias("timestamp"),
             (F.col("value") / 20.0).alias("wind_speed"),
             ((F.col("event_id") * 47) % 360).cast("double").alias("wind_direction"),
@@ -210,7 +214,7 @@ SQL_TABLES = {
     "grid": f"SELECT c_custkey AS grid_id, {_grid_position_sql('c_custkey')} FROM customer",
     "nodes": f"SELECT s_suppkey AS grid_id, {_grid_position_sql('s_suppkey')} FROM supplier",
     "raw": """
-    SELECT event_id, lpad(CAST(user_id % 10 AS VARCHAR), 5, '0') AS station_id, ts AS "timestamp",
+    SELECT event_id, lpad(CAST(user_id % (SELECT count(*) FROM supplier) AS VARCHAR), 5, '0') AS station_id, ts AS "timestamp",
         value / 20.0 AS wind_speed, CAST(event_id * 47 % 360 AS DOUBLE) AS wind_direction,
         CASE WHEN event_type <> 'error' THEN (event_id * 31 % 400) / 10.0 - 10.0 END AS temperature,
         event_type AS channel, value AS reading
