@@ -24,6 +24,11 @@ def day_chunk(ts: Column | str) -> Column:
     return F.date_trunc("day", ts)
 
 
+def minute_chunk(ts: Column | str) -> Column:
+    """Chunk of a timestamp column for groups that span all stations."""
+    return F.date_trunc("minute", ts)
+
+
 def positions(
     df: DataFrame,
     by: Sequence[str],

@@ -21,11 +21,16 @@ def fit_predict(
     """Least squares on several features per key; adds ``prediction`` to the test rows.
 
     The fit needs only means and covariances, so all keys are fitted in one aggregation
-    and just one small matrix per key reaches NumPy.
+    and just one small matrix per key reaches NumPy. Training rows with a missing value are
+    left out; without keys there is one fit for all.
     """
+    if not by:
+        constant = F.lit(0).alias("_all")
+        out = fit_predict(train.select("*", constant), test.select("*", constant), ["_all"], y, features)
+        return out.drop("_all")
     names = [*features, y]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = train.groupBy(*by).agg(
+    moments = train.na.drop(subset=names).groupBy(*by).agg(
         F.array(*[F.avg(c) for c in names]).alias("_mean"),
         F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_cov"),
     )

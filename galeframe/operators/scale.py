@@ -78,12 +78,14 @@ def min_max(column: str, stats: DataFrame, by: Sequence[str] = ()) -> Column:
 def principal_components(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], n: int
 ) -> DataFrame:
-    """First ``n`` principal scores per series as ``known_pca_1..n``.
+    """First ``n`` principal scores per series as ``known_pca_0, known_pca_1, ...`` in place of the columns.
 
     Columns are standardised per series. The covariances are plain aggregates; only
     the small matrix of a series goes through NumPy. Each component points so that
     its largest loading is positive. Rows with a missing value get null scores.
     """
+    if not by:
+        return principal_components(df.withColumn("_all", F.lit(0)), ["_all"], cols, n).drop("_all")
     n = min(n, len(cols))
     stats = fit_scaler(df, cols, by)
     scaled = transform(df, stats, cols, by)
@@ -103,7 +105,8 @@ def principal_components(
                     matrix[i, j] = matrix[j, i] = v
                 order = np.argsort(np.linalg.eigvalsh(matrix))[::-1][:n]
                 vectors = np.linalg.eigh(matrix)[1][:, order].T
-                peak = vectors[np.arange(n), np.abs(vectors).argmax(axis=1)]
+                # of equally large loadings, the first column's
+                peak = vectors[np.arange(n), np.round(np.abs(vectors), 9).argmax(axis=1)]
                 loadings.append((vectors * np.sign(peak)[:, None]).tolist())
             yield batch.drop(columns="_cov").assign(_load=loadings)
 
@@ -112,5 +115,5 @@ def principal_components(
     out = scaled.join(loads, [*by])
     for k in range(n):
         terms = [F.col("_load")[k][i] * F.col(c) for i, c in enumerate(cols)]
-        out = out.withColumn(f"known_pca_{k + 1}", sum(terms[1:], terms[0]))
-    return out.drop("_load")
+        out = out.withColumn(f"known_pca_{k}", sum(terms[1:], terms[0]))
+    return out.drop("_load", *cols)

@@ -180,12 +180,28 @@ def i09(t):
     return t.raw.select("event_id", z.alias("z"), unit.alias("unit"))
 
 
-@query("i10_principal_components", num="known_pca_1 known_pca_2", ts="starttime")
+@query(
+    "i10_two_components",
+    """WITH m AS (SELECT grid_id, avg(u_wind) AS ma, avg(temperature) AS mb, stddev_pop(u_wind) AS sa, stddev_pop(temperature) AS sb,
+        covar_pop(u_wind, temperature) AS c FROM nwp GROUP BY ALL),
+    s AS (SELECT n.*, (u_wind - ma) / sa AS a, (temperature - mb) / sb AS b, c FROM nwp n JOIN m USING (grid_id))
+    SELECT grid_id, starttime, forecasttime, height, CASE WHEN c > 0 THEN (a + b) / sqrt(2) ELSE (a - b) / sqrt(2) END AS known_pca_0,
+        CASE WHEN c > 0 THEN (a - b) / sqrt(2) ELSE (a + b) / sqrt(2) END AS known_pca_1 FROM s""",
+    num="known_pca_0 known_pca_1",
+    ts="starttime",
+)
+def i10_two(t):
+    """Of two standardised columns the components are their sum and difference, whatever they are."""
+    rows = t.nwp.select("grid_id", "starttime", "forecasttime", "height", "u_wind", "temperature")
+    return SC.principal_components(rows, ["grid_id"], ["u_wind", "temperature"], 2)
+
+
+@query("i10_principal_components", num="known_pca_0 known_pca_1", ts="starttime")
 def i10(t):
     cols = ["u_wind", "v_wind", "temperature", "pressure"]
     rows = t.nwp.select("grid_id", "starttime", "forecasttime", "height", *cols)
     out = SC.principal_components(rows, ["grid_id"], cols, 2)
-    return out.select("grid_id", "starttime", "forecasttime", "height", "known_pca_1", "known_pca_2")
+    return out.select("grid_id", "starttime", "forecasttime", "height", "known_pca_0", "known_pca_1")
 
 
 TOPO_SQL = """SELECT *, coalesce(tdi0, median(tdi0) OVER ()) AS tdi_filled, coalesce(dist_coast_km, median(dist_coast_km) OVER ()) AS dist_coast

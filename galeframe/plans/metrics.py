@@ -279,9 +279,12 @@ DELTA_SQL = "SELECT station_id, horizon, round(avg(abs(pred - gt)) - avg(abs(nwp
     "m18_signed_rank",
     f"""WITH d AS (SELECT d, abs(d) AS m FROM ({DELTA_SQL}) WHERE d <> 0),
     r AS (SELECT d, m, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2e0 AS k, count(*) OVER (PARTITION BY m) AS c FROM d),
-    s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w_plus, sum(pow(c, 2) - 1) AS ties FROM r)
-    SELECT n, w_plus, (w_plus - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0) AS z FROM s""",
-    num="w_plus z",
+    s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w_plus, sum(pow(c, 2) - 1) AS ties FROM r),
+    z AS (SELECT n, w_plus, (w_plus - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0) AS z FROM s),
+    t AS (SELECT *, 1 / (1 + 0.2316419e0 * abs(z)) AS t FROM z),
+    q AS (SELECT *, t * (0.31938153e0 + t * (-0.356563782e0 + t * (1.781477937e0 + t * (-1.821255978e0 + t * 1.330274429e0)))) * exp(-z * z / 2) / sqrt(2 * pi()) AS q FROM t)
+    SELECT n, w_plus, z, CASE WHEN z >= 0 THEN q ELSE 1 - q END AS p_value FROM q""",
+    num="w_plus z p_value",
 )
 def m18(t):
     delta = t.predictions.groupBy("station_id", "horizon").agg(

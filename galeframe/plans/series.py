@@ -200,14 +200,17 @@ PAIRS_SQL = """WITH runs AS (SELECT DISTINCT lpad(CAST(grid_id AS VARCHAR), 5, '
     FROM runs r JOIN span USING (station_id) LEFT JOIN hist USING (station_id, starttime) LEFT JOIN seen USING (station_id, starttime)"""
 
 
-def run_pairs(t):
-    return S.run_pairs(station_runs(t), t.hourly, STATION, "wind_speed", 6, 4)
+def run_pairs(t, series=None):
+    return S.run_pairs(station_runs(t), series or t.hourly, STATION, "wind_speed", 6, 4)
 
 
-@query("e07_run_pairs", f"SELECT station_id, starttime, history_run FROM ({PAIRS_SQL}) WHERE reason = 'valid'",
+FILLED_PAIRS_SQL = PAIRS_SQL.replace("JOIN hourly h ON", f"JOIN ({FILLED_SQL}) h ON")
+
+
+@query("e07_run_pairs", f"SELECT station_id, starttime, history_run FROM ({FILLED_PAIRS_SQL}) WHERE reason = 'valid'",
        ts="starttime history_run")
 def e07(t):
-    return run_pairs(t).filter("reason = 'valid'").drop("reason")
+    return run_pairs(t, filled_hourly(t)).filter("reason = 'valid'").drop("reason")
 
 
 @query("n03_run_pair_attrition", f"SELECT reason, count(*) AS n FROM ({PAIRS_SQL}) GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galeframe.operators import forecasts as FC
 from galeframe.operators import splits as SP
-from galeframe.operators.ordering import day_chunk
+from galeframe.operators.ordering import day_chunk, minute_chunk
 from galeframe.plans.registry import query
 
 STATION = ["station_id"]
@@ -101,7 +101,7 @@ def j04(t):
 )
 def j05(t):
     held = t.raw.join(t.stations.filter("station_height < 1200"), "station_id", "left_semi")
-    return SP.holdout_folds(held, ["timestamp", "event_id"], 4, day_chunk("timestamp")).select("event_id", "val_fold")
+    return SP.holdout_folds(held, ["timestamp", "event_id"], 4, minute_chunk("timestamp")).select("event_id", "val_fold")
 
 
 @query(
@@ -149,7 +149,7 @@ CLIENT_SQL = """(SELECT r.*, 'client_' || CAST(CAST(floor(latitude) AS INTEGER)
 def j09(t):
     client = F.concat(F.lit("client_"), (F.floor("latitude") % 3).cast("string"))
     clients = t.stations.select("station_id", client.alias("client_id"))
-    out = SP.client_folds(t.raw, clients, ["timestamp", "event_id"], 3, day_chunk("timestamp"))
+    out = SP.client_folds(t.raw, clients, ["timestamp", "event_id"], 3, minute_chunk("timestamp"))
     return out.select("event_id", "client_id", "val_fold")
 
 
