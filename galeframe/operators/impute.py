@@ -173,14 +173,15 @@ def impute_matrix(
     parts = {col: F.col(col)} if not circular else {
         "_s": F.sin(F.radians(col)), "_c": F.cos(F.radians(col))
     }
-    known = F.map_from_entries(F.collect_list(F.struct("station_id", F.struct(*[v.alias(n) for n, v in parts.items()]))))
-    rows = df.groupBy(ts).agg(known.alias("_map"))
-    rows = rows.withColumn("_ids", stations.scalar())
-
-    def entries(name: str) -> Column:
-        return F.transform("_ids", lambda s: F.try_element_at(F.col("_map"), s)[name])
-
-    rows = rows.withColumn("_x", F.concat(*[entries(n) for n in parts])).drop("_map")
+    known = F.collect_list(F.struct("station_id", *[v.cast("double").alias(n) for n, v in parts.items()]))
+    rows = df.groupBy(ts).agg(known.alias("_known")).withColumn("_ids", stations.scalar())
+    # Stations without a row are appended without values; sorted, all entries stand in station order.
+    empty = [F.lit(None).cast("double").alias(n) for n in parts]
+    absent = F.transform(
+        F.array_except("_ids", F.col("_known.station_id")), lambda s: F.struct(s.alias("station_id"), *empty)
+    )
+    rows = rows.withColumn("_all", F.sort_array(F.concat("_known", absent)))
+    rows = rows.withColumn("_x", F.concat(*[F.col(f"_all.{n}") for n in parts])).drop("_known", "_all")
     values = nearest_rows_mean(rows, [], ts, "_x", k, F.date_trunc(block_unit, ts))
     size = F.size("_ids")
     cells = rows.select(ts, "_ids", F.posexplode("_x").alias("column", "_v"))

