@@ -70,7 +70,8 @@ def deduplicate(docs: DataFrame, bits_per_row: int = 16, broadcast_bytes: int =
     )
     suspects = tested.filter(suspect).select("doc_id", "n", "sha")
     groups = suspects.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("n", -F.col("doc_id"))).alias("best"))
-    grouped = suspects.join(groups, "sha").select(
+    # Written first: rows then meet a table, not an aggregate, and a group with very many rows is split in the join.
+    grouped = suspects.join(saved(groups, "groups"), "sha").select(
         "doc_id",
         (-F.col("best.col2")).alias("keep_id"),
         "group_size",
