@@ -143,7 +143,7 @@ def ranked(rows: DataFrame, most: int, chunk_rows: int) -> DataFrame:
     return placed.withColumn("_rank", F.col("_before") + F.col("_inside") - 1).drop("_chunk", "_before", "_inside")
 
 
-def pack(rows: DataFrame, length: int = LENGTH, chunk_rows: int = 200_000) -> DataFrame:
+def pack(rows: DataFrame, length: int = LENGTH, chunk_rows: int = 1000) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with their sequence_id and offset there."""
     sizes = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     plan = best_fit(sizes, length)  # at most a few stretches for each pair of sizes
