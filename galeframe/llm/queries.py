@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_line_dedup": lines.SQL,
     "op4_chat_formatting": chat.SQL,
+    "op5_secret_scans": secrets.SQL,
     "op8_exact_dedup": exact.SQL,
     "op10_substring_dedup": substrings.SQL,
 }

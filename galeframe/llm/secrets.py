@@ -173,3 +173,54 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(spans).alias("spans"),
         of(len(BASE)).alias("n_entropy"),
     )
+
+
+def _sql() -> str:
+    """The same on DuckDB: letters in either case spelled out, entropy of every window counted anew."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [(assign, 2, 6), *list(BASE.values())[1:], CANDIDATE]
+    cuts = " UNION ALL ".join(
+        f"""SELECT doc_id, {kind} AS kind, regexp_extract_all(x, '{p}', 0) AS whole, regexp_extract_all(x, '{p}', {g}) AS kept,
+        string_split_regex(x, '{p}') AS gaps, {least} AS least FROM texts"""
+        for kind, (p, g, least) in enumerate(patterns)
+    )
+    has = lambda *sets: " AND ".join(f"regexp_matches(kept, '[{s}]')" for s in sets)
+    allowed = " AND ".join(f"NOT regexp_matches(kept, '{p}')" for p in ALLOWED if r"\1" not in p)  # runs of one sign have no entropy
+    bits = dict((name, b) for name, _, b in CLASSES)
+    last = len(BASE)
+    listed = "string_agg(list_value({names})[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)".format(
+        names=", ".join(f"'{k}'" for k in KINDS)
+    )
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+cuts AS ({cuts}),
+rows AS (
+    SELECT doc_id, kind, least, i, kept[i] AS kept, length(gaps[i]) AS gap, length(whole[i]) AS size
+    FROM (SELECT *, unnest(generate_series(1, len(whole))) AS i FROM cuts)
+), placed AS (
+    SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM rows
+), found AS (
+    SELECT doc_id, kind, stop - size AS start, stop, kept FROM placed WHERE length(kept) >= least
+), candidates AS (
+    SELECT *, CASE WHEN regexp_matches(kept, '^([0-9a-f]+|[0-9A-F]+)$') THEN {bits["hex"]}
+        WHEN {has("a-z", "A-Z", "0-9")} THEN {bits["mixed"]} WHEN {has("a-zA-Z", "0-9")} THEN {bits["one_case"]} END AS bits
+    FROM found WHERE kind = {last} AND {allowed}
+), windows AS (
+    SELECT doc_id, start, bits, s, entropy(substr(kept, s + CAST(o AS INTEGER), 1)) AS h
+    FROM (SELECT *, unnest(generate_series(1, length(kept) - {WINDOW - 1})) AS s FROM candidates WHERE bits IS NOT NULL)
+    CROSS JOIN range({WINDOW}) r(o) GROUP BY ALL
+), hot AS (
+    SELECT doc_id, {last} AS kind, start + min(s) - 1 AS start, start + max(s) + {WINDOW - 1} AS stop
+    FROM windows w WHERE h >= bits GROUP BY doc_id, w.start
+), spans AS (
+    SELECT doc_id, kind, start, stop FROM found WHERE kind < {last} UNION ALL SELECT doc_id, kind, start, stop FROM hot
+)
+SELECT t.doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS))},
+       sha256(coalesce({listed} FILTER (kind < {last}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+SQL = _sql()
