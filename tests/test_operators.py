@@ -447,3 +447,15 @@ def test_positions_feed_windows_of_every_full_length(spark):
     for r in out:
         assert r["known_v"] == r["observed_v"] + r["y"]
         assert np.allclose(np.diff(r["known_v"]), 1)
+
+
+def test_quantiles_of_one_crowded_bracket(spark):
+    from galeframe.operators.quantiles import exact_quantiles
+
+    # the middle 99 % lie between 0.5 and 0.5001, all different
+    df = spark.range(200_000).select(F.when(F.col("id") < 1000, F.col("id").cast("double") - 1e6).when(F.col("id") >= 199_000, 1e6 + F.col("id"))
+                                     .otherwise(0.5 + F.col("id") * 1e-10).alias("v"))
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 0.999, 1.0]).collect()}
+    values = np.array([r["v"] for r in df.collect()])
+    for p, q in got.items():
+        assert q == pytest.approx(np.quantile(values, p), rel=1e-12)
