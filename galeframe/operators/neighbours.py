@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from galeframe.functions.geo import EARTH_RADIUS_KM, METRICS
 from galeframe.operators.ordering import first_rows, latest_before, positions
 
-# Cell edges: the finest one, doubled per level until one cell spans the whole domain
-# (kilometres on the sphere, degrees on the plane).
+# Cell edges: the one of level 0, doubled per level until one cell spans the whole domain
+# (kilometres on the sphere, degrees on the plane). Crowded points add levels below 0.
 FINEST = {"haversine": 5.0, "degrees": 0.05}
 LEVELS = 12
+DEEPEST = -24
 
 
 def _axes(metric: str, lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -55,6 +56,20 @@ def _distance(metric: str) -> Column:
     return METRICS[metric]("target_lat", "target_lon", "near_lat", "near_lon")
 
 
+def _lowest_level(points: DataFrame, axes: Sequence[str], metric: str, most: int) -> int:
+    """The highest level, 0 or below, at which no cell holds more than ``most`` points."""
+    edge = F.lit(FINEST[metric]) * F.pow(F.lit(2.0), F.col("_level"))
+
+    def fullest(levels: Sequence[int]) -> dict[int, int]:
+        cells = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).select("_level", *_cell(axes, edge))
+        counts = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n"))
+        return {r["_level"]: r["m"] for r in counts.groupBy("_level").agg(F.max("n").alias("m")).toLocalIterator()}
+
+    if fullest([0]).get(0, 0) <= most:
+        return 0
+    return max((level for level, n in fullest(range(DEEPEST, 0)).items() if n <= most), default=DEEPEST)
+
+
 def k_nearest(
     targets: DataFrame,
     candidates: DataFrame,
@@ -68,8 +83,9 @@ def k_nearest(
 
     Both sides carry ``latitude`` and ``longitude``. A target looks up the smallest
     cell that holds enough candidates; the k-th neighbour is then at most one cell
-    diagonal away, so the ring of cells one level up contains all k. Ties in
-    distance (to 1e-9) go to the smaller id. Candidates at one and the same position
+    diagonal away, so the ring of cells one level up contains all k. Where level 0 has
+    crowded cells, finer levels are added until none is left, so a cluster inside one
+    cell does not meet itself as a whole. Ties in distance (to 1e-9) go to the smaller id. Candidates at one and the same position
     beyond the first k ids can never be chosen and are left out beforehand.
     """
     need = k + 1 if exclude_self else k
@@ -78,12 +94,13 @@ def k_nearest(
     cells = ["_level", *[f"_c{a}" for a in axes]]
 
     near = first_rows(_points(candidates, candidate_key, "near", metric), ["near_lat", "near_lon"], ["near_id"], need)
-    stacked = near.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS + 1))))
+    lowest = _lowest_level(near, axes, metric, 64 * need)
+    stacked = near.withColumn("_level", F.explode(F.sequence(F.lit(lowest), F.lit(LEVELS + 1))))
     stacked = stacked.select("*", *_cell(axes, edge))
     rich = stacked.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= need)
 
     goal = _points(targets, target_key, "target", metric)
-    probe = goal.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    probe = goal.withColumn("_level", F.explode(F.sequence(F.lit(lowest), F.lit(LEVELS))))
     probe = probe.select("*", *_cell(axes, edge)).join(rich, cells, "left_semi")
     level = probe.groupBy("target_id").agg(F.min("_level").alias("_found"))
     placed = goal.join(level, "target_id", "left").withColumn(

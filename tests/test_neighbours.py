@@ -105,3 +105,19 @@ def test_match_and_group_distance(spark):
     g = spark.createDataFrame(pd.DataFrame({"grid_id": [1, 2], "latitude": [50.01, 50.02], "longitude": [8.0, 8.0]}))
     got = {r["target_id"]: r["near_id"] for r in N.match_coordinates(a, g, 0.02, "station_id", "grid_id").collect()}
     assert got == {"x": 1, "y": None}
+
+
+@pytest.mark.parametrize("metric", ["haversine", "degrees"])
+def test_a_crowded_cell_does_not_meet_itself(spark, metric):
+    n = 20_000
+    lat, lon = 50 + RNG.normal(0, 3e-3, n), 8 + RNG.normal(0, 3e-3, n)
+    lat[:30], lon[:30] = RNG.uniform(49, 51, 30), RNG.uniform(7, 9, 30)
+    candidates = pd.DataFrame({"id": np.arange(n), "latitude": lat, "longitude": lon})
+    targets = candidates.iloc[:200]
+    spark_candidates = spark.createDataFrame(candidates)
+    assert N._lowest_level(N._points(spark_candidates, "id", "near", metric), list(N._axes(metric)), metric, 256) < -2
+    got = N.k_nearest(spark.createDataFrame(targets), spark_candidates, 4, "id", "id", metric).toPandas()
+    want = brute(targets, candidates, 4, metric, False)
+    for key, rows in got.sort_values("rank").groupby("target_id"):
+        np.testing.assert_allclose(rows["distance"], want[key], atol=1e-6)
+    assert len(got) == 800
