@@ -500,11 +500,13 @@ def interpolate_stations(
     segment: str | None = None,
     detrended: bool = False,
     anisotropy: tuple[float, float] | None = None,
+    distance: str = "haversine",
 ) -> DataFrame:
     """The whole leave-one-out run: pairs, semivariograms, fits, weights, predictions.
 
-    Anisotropic distances (angle, ratio) shape the variogram and the kriging weights
-    only; neighbours and IDW keep the great-circle distance.
+    ``distance`` (``haversine`` or ``geodesic``) chooses the neighbours, their IDW weights and
+    the kriging systems. Anisotropic distances (angle, ratio) shape the variogram and the
+    kriging weights only; neighbours and IDW keep the plain distance.
     """
     by = [segment] if segment else []
     z = detrend(series, value) if detrended else series
@@ -513,11 +515,11 @@ def interpolate_stations(
         # the stretch only lengthens distances; 1 % covers the scale error of the projection
         pairs = _planar_pairs(placed, station_pairs(stations, max_km * 1.01), max_km)
     else:
-        placed, metric = stations, "haversine"
+        placed, metric = stations, distance
         pairs = station_pairs(stations, max_km)
     binned = bin_semivariance(pair_semivariance(z, pairs, value, by=by), max_km, n_lags, by)
     params = fit_variograms(binned, model, by)
-    near = k_nearest(stations, stations, k, candidate_key="station_id", exclude_self=True)
+    near = k_nearest(stations, stations, k, candidate_key="station_id", metric=distance, exclude_self=True)
     cells = series.select(*by, F.col("station_id").alias("target_id")).distinct()
     weights = kriging_weights(near, placed, cells, params, by, model, metric)
     return leave_one_out(series, weights, value, k, covariate, by=by)

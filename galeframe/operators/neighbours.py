@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.functions.geo import EARTH_RADIUS_KM, METRICS
+from galeframe.functions.geo import EARTH_RADIUS_KM, METRICS, geodesic
 from galeframe.operators.ordering import first_rows, latest_before, positions
 
 # Cell edges: the one of level 0, doubled per level until one cell spans the whole domain
@@ -16,6 +16,8 @@ from galeframe.operators.ordering import first_rows, latest_before, positions
 FINEST = {"haversine": 5.0, "degrees": 0.05}
 LEVELS = 12
 DEEPEST = -24
+#: More than the largest relative difference of great-circle and WGS-84 distances.
+SPHERE_ERROR = 0.006
 
 
 def _axes(metric: str, lat: str = "latitude", lon: str = "longitude") -> dict[str, Column]:
@@ -87,7 +89,34 @@ def k_nearest(
     crowded cells, finer levels are added until none is left, so a cluster inside one
     cell does not meet itself as a whole. Ties in distance (to 1e-9) go to the smaller id. Candidates at one and the same position
     beyond the first k ids can never be chosen and are left out beforehand.
+
+    ``geodesic`` ranks by distance on WGS-84: on the sphere a distance is off by less than
+    ``SPHERE_ERROR``, so the candidates up to that far beyond the k-th one on the sphere, all
+    of which the ring holds, are measured exactly and ranked again.
     """
+    if metric == "geodesic":
+        pairs = _ring_pairs(targets, candidates, k, target_key, candidate_key, "haversine", exclude_self, places=True)
+        reach = first_rows(pairs, ["target_id"], ["distance"], k).groupBy("target_id").agg(F.max("distance").alias("_reach"))
+        close = pairs.join(reach, "target_id").filter(F.col("distance") <= F.col("_reach") * (1 + SPHERE_ERROR) / (1 - SPHERE_ERROR) + 1e-9)
+        exact = geodesic("target_lat", "target_lon", "near_lat", "near_lon")
+        pairs = close.select("target_id", "near_id", exact["km"].alias("distance"))
+    else:
+        pairs = _ring_pairs(targets, candidates, k, target_key, candidate_key, metric, exclude_self)
+    ranked = first_rows(pairs, ["target_id"], [F.round("distance", 9), "near_id"], k, "rank")
+    return ranked.select("target_id", "near_id", F.col("rank").cast("int").alias("rank"), "distance")
+
+
+def _ring_pairs(
+    targets: DataFrame,
+    candidates: DataFrame,
+    k: int,
+    target_key: str,
+    candidate_key: str,
+    metric: str,
+    exclude_self: bool,
+    places: bool = False,
+) -> DataFrame:
+    """``target_id, near_id, distance`` (and both places) of a target and the candidates in the ring around its cell."""
     need = k + 1 if exclude_self else k
     axes = list(_axes(metric))
     edge = F.lit(FINEST[metric]) * F.pow(F.lit(2.0), F.col("_level"))
@@ -110,9 +139,8 @@ def k_nearest(
     pairs = placed.join(stacked.drop(*axes), cells)
     if exclude_self:
         pairs = pairs.filter(F.col("target_id") != F.col("near_id"))
-    pairs = pairs.select("target_id", "near_id", _distance(metric).alias("distance"))
-    ranked = first_rows(pairs, ["target_id"], [F.round("distance", 9), "near_id"], k, "rank")
-    return ranked.select("target_id", "near_id", F.col("rank").cast("int").alias("rank"), "distance")
+    ends = ["target_lat", "target_lon", "near_lat", "near_lon"] if places else []
+    return pairs.select("target_id", "near_id", _distance(metric).alias("distance"), *ends)
 
 
 def within(

@@ -121,3 +121,19 @@ def test_a_crowded_cell_does_not_meet_itself(spark, metric):
     for key, rows in got.sort_values("rank").groupby("target_id"):
         np.testing.assert_allclose(rows["distance"], want[key], atol=1e-6)
     assert len(got) == 800
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_k_nearest_on_the_ellipsoid(spark, kind):
+    from galeframe.functions.geo import inverse_geodesic
+
+    candidates, targets = points(kind, 400), points(kind, 40)
+    got = N.k_nearest(spark.createDataFrame(targets), spark.createDataFrame(candidates), 6, "id", "id", "geodesic").toPandas()
+    assert len(got) == 240
+    for t in targets.itertuples():
+        rows = got[got["target_id"] == t.id].sort_values("rank")
+        lat, lon = candidates["latitude"].to_numpy(), candidates["longitude"].to_numpy()
+        km = inverse_geodesic(np.full(400, t.latitude), np.full(400, t.longitude), lat, lon)[0]
+        order = np.argsort(km)[:6]
+        assert rows["near_id"].tolist() == candidates["id"].to_numpy()[order].tolist()
+        np.testing.assert_allclose(rows["distance"], km[order], rtol=1e-9)

@@ -459,3 +459,17 @@ def test_quantiles_of_one_crowded_bracket(spark):
     values = np.array([r["v"] for r in df.collect()])
     for p, q in got.items():
         assert q == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_interpolation_on_the_ellipsoid(spark, stations):
+    ids = list(stations[1]["station_id"])
+    rng = np.random.default_rng(12)
+    rows = [(s, t, float(rng.normal())) for s in ids for t in hours(8)]
+    series = spark.createDataFrame(rows, "station_id string, timestamp timestamp, z double")
+    sphere, ellipsoid = (
+        K.interpolate_stations(series, stations[0], "z", 4, 800.0, 8, "exponential", distance=d).orderBy("timestamp", "station_id").toPandas()
+        for d in ("haversine", "geodesic")
+    )
+    assert len(sphere) == len(ellipsoid) == 96
+    gap = (sphere["idw_pred"] - ellipsoid["idw_pred"]).abs()
+    assert 0 < gap.max() < 0.05
