@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.operators.ordering import positions
+from galeframe.operators.neighbours import k_nearest
+from galeframe.operators.ordering import first_rows, positions
 
 QUARTER = 900
 
@@ -183,6 +184,23 @@ def mask_targets(
     return drawn.select(run_key, "station_id", role.alias("role"))
 
 
+def mask_targets_and_nearest(
+    runs: DataFrame, stations: DataFrame, run_key: str, low: int, high: int, neighbours: int, seed: int, metric: str = "degrees"
+) -> DataFrame:
+    """Like ``mask_targets``, but a run's neighbours are the stations nearest to any of its targets.
+
+    Of a target's ``neighbours + high`` nearest stations at most ``high`` are targets
+    themselves, so the lists of the run's targets hold all neighbours.
+    """
+    targets = mask_targets(runs, stations, run_key, low, high, 0, seed)
+    near = k_nearest(stations, stations, neighbours + high, candidate_key="station_id", metric=metric, exclude_self=True)
+    reached = targets.select(run_key, F.col("station_id").alias("target_id")).join(near, "target_id")
+    reached = reached.groupBy(run_key, F.col("near_id").alias("station_id")).agg(F.min("distance").alias("_d"))
+    free = reached.join(targets.select(run_key, "station_id"), [run_key, "station_id"], "left_anti")
+    picked = first_rows(free, [run_key], [F.round("_d", 9), "station_id"], neighbours)
+    return targets.unionByName(picked.select(run_key, "station_id", F.lit("neighbour").alias("role")))
+
+
 def assign_turbines(stations: DataFrame, turbines: DataFrame, seed: int) -> DataFrame:
     """One turbine type per station, drawn reproducibly, with its parameters.
 

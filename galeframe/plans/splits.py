@@ -194,6 +194,22 @@ def j11(t):
     return SP.mask_targets(runs, t.stations, "starttime", 2, 5, 6, seed=7)
 
 
+TARGETS_SQL = MASK_SQL.replace("least(n + 6, size)", "least(n, size)")
+
+
+@query(
+    "j11_masked_targets_and_nearest",
+    f"""WITH t AS ({TARGETS_SQL}), d AS (SELECT t.starttime, s.station_id, min(sqrt(pow(s.latitude - x.latitude, 2) + pow(s.longitude - x.longitude, 2))) AS d
+        FROM t JOIN stations x ON x.station_id = t.station_id CROSS JOIN stations s
+        WHERE (t.starttime, s.station_id) NOT IN (SELECT (starttime, station_id) FROM t) GROUP BY ALL)
+    SELECT * FROM t UNION ALL SELECT starttime, station_id, 'neighbour' FROM d
+    QUALIFY row_number() OVER (PARTITION BY starttime ORDER BY round(d, 9), station_id) <= 6""",
+)
+def j11_nearest(t):
+    runs = t.nwp.select(F.date_format("starttime", "yyyy-MM-dd HH:mm:ss").alias("starttime")).distinct()
+    return SP.mask_targets_and_nearest(runs, t.stations, "starttime", 2, 5, 6, seed=7)
+
+
 @query(
     "j12_turbine_assignment",
     """SELECT s.station_id, p.p_partkey AS number, 40e0 + p.p_size AS hub_height FROM (
