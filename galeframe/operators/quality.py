@@ -162,36 +162,36 @@ def attrition(runs: DataFrame, grid: str, cols: Sequence[str], top: int = 15) ->
     slots = runs.groupBy("starttime", grid).agg(
         *[F.max(F.col(c).isNull().cast("int")).alias(f"_null_{c}") for c in cols]
     )
-    per_run = slots.groupBy("starttime").agg(F.count(F.lit(1)).alias("_filled"))
-    per_grid = slots.groupBy(grid).agg(F.count(F.lit(1)).alias("_filled"))
-    n_grid = per_grid.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_runs = per_run.agg(F.count(F.lit(1)).alias("n")).scalar()
-    complete = F.col("_filled") == n_grid
-
-    def rows(metric: str, frame: DataFrame, item: Column, n: Column) -> DataFrame:
-        return frame.select(F.lit(metric).alias("metric"), item.cast("string").alias("item"), n.cast("bigint").alias("n"))
-
-    none = F.lit("all")
-    totals = per_run.agg(F.sum("_filled").alias("f"), F.count(F.lit(1)).alias("r"))
-    whole = per_run.agg(F.count_if(complete).alias("c"), F.count_if(~complete).alias("i"))
-    parts = [
-        rows("slots", totals, none, F.col("r") * n_grid),
-        rows("filled", totals, none, F.col("f")),
-        rows("missing", totals, none, F.col("r") * n_grid - F.col("f")),
-        rows("complete_runs", whole, none, F.col("c")),
-        rows("incomplete_runs", whole, none, F.col("i")),
-    ]
-    by_feature = slots.agg(*[F.sum(f"_null_{c}").alias(c) for c in cols]).unpivot([], [*cols], "f", "v")
-    parts.append(rows("null_slots_by_feature", by_feature, F.col("f"), F.col("v")))
-    lost = per_grid.withColumn("_lost", n_runs - F.col("_filled"))
+    # one aggregate over the slots: per run, per node and in all
+    nulls = [F.sum(f"_null_{c}").alias(f"_null_{c}") for c in cols]
+    marks = slots.groupingSets([["starttime"], [grid], []], "starttime", grid).agg(
+        F.grouping_id().alias("_kind"), F.count(F.lit(1)).alias("_filled"), *nulls
+    )
+    is_run, is_node, is_total = (F.col("_kind") == kind for kind in (1, 2, 3))
+    size = marks.agg(F.count_if(is_run).alias("runs"), F.count_if(is_node).alias("nodes"))
+    n_runs, n_nodes = size.select("runs").scalar(), size.select("nodes").scalar()
+    sized = marks.filter(~is_node).withColumn("_nodes", n_nodes)
+
+    def entry(metric: str, item: Column, n: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), item.cast("string").alias("item"), n.cast("bigint").alias("n"))
+
+    whole, none = F.col("_filled") == F.col("_nodes"), F.lit("all")
+    of_run = F.array(
+        entry("slots", none, F.col("_nodes")),
+        entry("filled", none, F.col("_filled")),
+        entry("missing", none, F.col("_nodes") - F.col("_filled")),
+        entry("complete_runs", none, whole.cast("int")),
+        entry("incomplete_runs", none, (~whole).cast("int")),
+    )
+    by_hour = F.array(entry("incomplete_runs_by_hour", F.hour("starttime"), F.lit(1)))
+    of_all = F.array(*[entry("null_slots_by_feature", F.lit(c), F.col(f"_null_{c}")) for c in cols])
+    entries = F.when(is_total, of_all).when(whole, of_run).otherwise(F.concat(of_run, by_hour))
+    counted = sized.select(F.inline(entries)).groupBy("metric", "item").agg(F.sum("n").alias("n"))
+    lost = marks.filter(is_node).withColumn("_lost", n_runs - F.col("_filled"))
     worst = lost.orderBy(F.desc("_lost"), grid).limit(top)
-    parts.append(rows("missing_by_node", worst, F.col(grid), F.col("_lost")))
-    by_hour = per_run.filter(~complete).groupBy(F.hour("starttime").alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    parts.append(rows("incomplete_runs_by_hour", by_hour, F.col("h"), F.col("c")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return counted.unionByName(
+        worst.select(F.lit("missing_by_node").alias("metric"), F.col(grid).cast("string").alias("item"), F.col("_lost").alias("n"))
+    )
 
 
 def check_layouts(layouts: dict[str, Sequence[str]]) -> None:
