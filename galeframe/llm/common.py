@@ -34,6 +34,13 @@ def saved(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(table: DataFrame, entries: str | None = None, limit: int = 64 << 20) -> DataFrame:
+    """A written thin table, to be broadcast where its counted size (rows and array entries) allows it, else joined by a shuffle."""
+    inner = F.coalesce(F.sum(F.size(entries)), F.lit(0)) if entries else F.lit(0)
+    rows, inside = table.agg(F.count("*"), inner).first()
+    return table.hint("broadcast") if 64 * rows + 16 * inside <= limit else table
+
+
 def hash128(text: Column, name: str) -> list[Column]:
     """Two independently seeded 64-bit hashes of a text, as columns ``<name>a`` and ``<name>b``."""
     return [F.xxhash64(text).alias(f"{name}a"), F.xxhash64(F.lit(1), text).alias(f"{name}b")]

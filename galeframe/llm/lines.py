@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import ROW, SPACES, documents, hash128, lower_ascii, new_path, row_key, saved, text_of
+from galeframe.llm.common import ROW, SPACES, bounded, documents, hash128, lower_ascii, new_path, row_key, saved, text_of
 
 KEY = ["ka", "kb"]
 
@@ -112,7 +112,9 @@ def frequent_lines(lines: DataFrame, batches: int, min_docs: int, fan: int = 3)
     return runs.frequent(min_docs)
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan: int = 3) -> DataFrame:
+def drop_lines(
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan: int = 3, broadcast_bytes: int = 64 << 20
+) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped; a frequent line stays only in the largest doc_id that holds it."""
     text = text_of("text")
     lines = saved(
@@ -130,6 +132,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
         .groupBy(*ROW)
         .agg(F.collect_set("at").alias("_gone"))
     )
+    # Texts stay where they are as long as the places of their dropped lines can come to them.
+    gone = bounded(saved(gone, "gone"), "_gone", broadcast_bytes)
     split = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(gone, ROW, "left").withColumn("_lines", F.split(text, "\n"))
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(places, F.coalesce("_gone", F.array().cast("array<int>"))), lambda i: F.get("_lines", i))

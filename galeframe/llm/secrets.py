@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import ROW, documents, row_key, saved, text_of
+from galeframe.llm.common import ROW, bounded, documents, row_key, saved, text_of
 
 #: The patterns of the base kinds, with the group whose length counts and its least length.
 BASE = {
@@ -145,9 +145,19 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, classes: t
     return rows.select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", allowed: tuple[str, ...] = ALLOWED, classes: tuple = CLASSES) -> DataFrame:
-    """``docs`` with the union of all spans replaced in the text; rows without a span stay as they are."""
-    spans = spans_by_row(saved(pieces(docs), "pieces"), allowed, classes)
+def redact(
+    docs: DataFrame,
+    mask: str = "[SECRET]",
+    allowed: tuple[str, ...] = ALLOWED,
+    classes: tuple = CLASSES,
+    broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
+    """``docs`` with the union of all spans replaced in the text; rows without a span stay as they are.
+
+    Spans are broadcast to the texts up to ``broadcast_bytes``, counted before, and joined by a shuffle beyond.
+    """
+    spans = saved(spans_by_row(saved(pieces(docs), "pieces"), allowed, classes), "spans")
+    spans = bounded(spans, "spans", broadcast_bytes)
     step = lambda state, s: F.struct(
         F.greatest(state["at"], s["end"]).alias("at"),
         F.when(s["start"] < state["at"], state["out"])

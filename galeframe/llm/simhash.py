@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import ROW, documents, row_key, saved, text_of
+from galeframe.llm.common import ROW, bounded, documents, row_key, saved, text_of
 from galeframe.llm.components import components
 
 SEED = 42
@@ -127,13 +127,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, hot: int = 2
     return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest doc_id."""
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest doc_id.
+
+    Keys of the rows that stay are broadcast to the texts up to ``broadcast_bytes``, counted before, and joined by a
+    shuffle beyond. Only rows whose key is repeated are shuffled with their text, to leave one of each.
+    """
     found = near_duplicates(docs, words, bits)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)
     winners = found.groupBy("root").agg(F.min(rank).alias("best")).select(*(F.col(f"best.{k}") for k in ROW))
-    keyed = docs.withColumns(dict(zip(ROW, row_key(), strict=True)))
-    return keyed.join(winners, ROW, "left_semi").dropDuplicates(ROW).select(*docs.columns)
+    winners = bounded(saved(winners, "winners"), limit=broadcast_bytes)
+    repeated = found.groupBy(*ROW).agg(F.count("*").alias("n")).filter("n > 1").select(*ROW)
+    repeated = bounded(saved(repeated, "repeated"), limit=broadcast_bytes)
+    stays = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(winners, ROW, "left_semi")
+    single = stays.join(repeated, ROW, "left_anti")
+    return single.unionByName(stays.join(repeated, ROW, "left_semi").dropDuplicates(ROW)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_against_brute_force(spark, batches, fan):
     assert sorted(got, key=str) == brute(data, 40, 5)
 
 
+def test_places_that_are_too_many_to_broadcast(spark):
+    data = rows()
+    out = lines.drop_lines(spark.createDataFrame(data, SCHEMA), broadcast_bytes=0)
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.toLocalIterator()]
+    assert sorted(got, key=str) == brute(data, 40, 5)
+
+
 def test_empty_table(spark):
     assert lines.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -77,6 +77,7 @@ def test_redact_blots_out_the_union(spark):
     rows += [(4, "é password=abcdef, AKIA" + "A1B2" * 4, None, None), (4, "é password=abcdef, AKIA" + "A1B2" * 4, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     out = S.redact(df)
+    assert sorted(map(tuple, S.redact(df, broadcast_bytes=0).toLocalIterator()), key=str) == sorted(map(tuple, out.toLocalIterator()), key=str)
     assert out.columns == df.columns and out.schema["text"].dataType == df.schema["text"].dataType
     texts_ = sorted((r["doc_id"], r["text"] or "") for r in out.toLocalIterator())
     assert texts_ == [(1, "a [SECRET] b"), (2, ""), (3, "clean"), (4, "é [SECRET], [SECRET]"), (4, "é [SECRET], [SECRET]")]

@@ -112,6 +112,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert len({c for _, _, c in expected if c is not None and c >= 1000}) < 40  # the near copies do link
     kept = S.keep_one(df)
+    assert sorted(map(tuple, S.keep_one(df, broadcast_bytes=0).toLocalIterator()), key=str) == sorted(map(tuple, kept.toLocalIterator()), key=str)
     assert kept.columns == df.columns and kept.count() == len(set(roots))
     ids = {r["doc_id"] for r in kept.toLocalIterator()}
     assert ids == {c for _, _, c in expected}
