@@ -127,13 +127,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, hot: int = 2
     return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 3, bits: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest doc_id.
+def first_of_each(docs: DataFrame, found: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """One row of ``docs`` for each root in ``found`` (doc_id, row key, root): that of its smallest doc_id.
 
     Keys of the rows that stay are broadcast to the texts up to ``broadcast_bytes``, counted before, and joined by a
     shuffle beyond. Only rows whose key is repeated are shuffled with their text, to leave one of each.
     """
-    found = near_duplicates(docs, words, bits)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)
     winners = found.groupBy("root").agg(F.min(rank).alias("best")).select(*(F.col(f"best.{k}") for k in ROW))
     winners = bounded(saved(winners, "winners"), limit=broadcast_bytes)
@@ -144,6 +143,11 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 3, broadcast_bytes: in
     return single.unionByName(stays.join(repeated, ROW, "left_semi").dropDuplicates(ROW)).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, words: int = 3, bits: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest doc_id."""
+    return first_of_each(docs, near_duplicates(docs, words, bits), broadcast_bytes)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
