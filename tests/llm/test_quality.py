@@ -84,3 +84,13 @@ def test_false_rejections_stay_below_the_risk(spark):
     bad = out[out["quality"] == 0]
     assert 1 - good["kept"].mean() <= 0.05
     assert 1 - bad["kept"].mean() > 0.6
+
+
+def test_small_strata_reject_what_one_rule_separates(spark):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() + ("###" if i % 4 == 0 else "") for _ in range(30)), f"l{i % 3}") for i in range(0, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    out = Q.judge(docs, labels).toPandas()
+    assert (out["kept"] == (out["doc_id"] % 4 != 0)).all()
