@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from galeframe.llm import chat, exact, language, lines, packing, pieces, quality, secrets, simhash, substrings
+from galeframe.llm import chat, exact, language, lines, middle, negatives, packing, pieces, quality, secrets, simhash, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.query,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact.query,
     "op9_language_id": language.query,
     "op10_substring_dedup": substrings.query,
+    "op11_exact_top_k": topk.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_fill_in_middle": middle.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,6 +32,9 @@ SQL: dict[str, str] = {
     "op5_secret_scans": secrets.SQL,
     "op8_exact_dedup": exact.SQL,
     "op10_substring_dedup": substrings.SQL,
+    "op11_exact_top_k": topk.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_fill_in_middle": middle.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "labels"):
+    for table in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     df = QUERIES[name](spark, FOLDER)
     result = con.sql(SQL[name]).select(*[f'"{c}"' for c in df.columns])
@@ -21,4 +21,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_names_are_the_numbered_ones():
-    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
