@@ -31,7 +31,9 @@ from galeframe.llm.common import documents, parts
 
 BUCKETS = 1 << 14
 ORDERS = 3
-SLICE = 1 << 20
+#: Characters whose n-grams are hashed at a time.
+SLICE = 1 << 19
+BOUNDARY = "\n\n"
 UNKNOWN = "und"
 
 
@@ -46,24 +48,48 @@ def letters() -> np.ndarray:
     return out
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams that hold a letter, and for each the number of its text."""
-    codes = [np.frombuffer((t + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-    c = letters()[np.concatenate([np.zeros(2, np.uint32), *codes])]
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    filled = c > 0
-    found, owners = [], []
-    mixed = np.zeros(len(c) - 2, np.uint32)
-    any_letter = np.zeros(len(c) - 2, bool)
-    for order in range(ORDERS):  # n-grams that end at position 2, 3, ...
-        at = slice(2 - order, len(c) - order)
-        mixed = (mixed ^ c[at]) * np.uint32(0x9E3779B1) + np.uint32(order + 1)
-        any_letter = any_letter | filled[at]
-        keep = any_letter if order else filled[2:]
-        found.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(18))[keep])
-        owners.append(owner[keep])
-    return np.concatenate(found), np.concatenate(owners)
+def stretches(texts: list[str], most: int) -> Iterator[list[tuple[int, str]]]:
+    """(number of the text, stretch) of all texts, in lists of about ``most`` characters.
+
+    A stretch is up to ``most`` characters with the two before it; a text begins and ends with two word boundaries.
+    """
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        whole = text + BOUNDARY
+        for at in range(0, len(whole), most):
+            held.append((i, (whole[at - 2 : at] if at else BOUNDARY) + whole[at : at + most]))
+            size += len(held[-1][1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def ngrams(texts: list[str], most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams that hold a letter, and for each the number of its text, some text at a time.
+
+    A text of any length is cut, so that work arrays stay small: every n-gram is counted where it ends.
+    """
+    for held in stretches(texts, most):
+        codes = [np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32) for _, piece in held]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+        c = letters()[np.concatenate(codes)]
+        owner = np.repeat(np.fromiter((i for i, _ in held), np.int32, len(held)), lengths)[2:]
+        counted = np.ones(len(c), bool)
+        starts = np.cumsum(lengths) - lengths
+        counted[starts] = counted[starts + 1] = False  # these belong to the stretch before
+        counted, filled = counted[2:], c > 0
+        found, owners = [], []
+        mixed, any_letter = np.zeros(len(c) - 2, np.uint32), np.zeros(len(c) - 2, bool)
+        for order in range(ORDERS):  # n-grams that end at position 2, 3, ...
+            at = slice(2 - order, len(c) - order)
+            mixed = (mixed ^ c[at]) * np.uint32(0x9E3779B1) + np.uint32(order + 1)
+            any_letter = any_letter | filled[at]
+            keep = any_letter & counted
+            found.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(18))[keep])
+            owners.append(owner[keep])
+        yield np.concatenate(found), np.concatenate(owners)
 
 
 def count_ngrams(labelled: DataFrame) -> DataFrame:
@@ -74,10 +100,10 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for part in parts(batch, pc.binary_length(batch.column("text")), SLICE):
                 langs = np.asarray(part.column("lang").to_pylist(), object)
-                grams, owner = ngrams(part.column("text").to_pylist())
-                for lang in set(langs):
-                    own = grams[(langs == lang)[owner]]
-                    total[lang] = total.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
+                for grams, owner in ngrams(part.column("text").to_pylist()):
+                    for lang in set(langs[np.unique(owner)]):
+                        own = grams[(langs == lang)[owner]]
+                        total[lang] = total.get(lang, 0) + np.bincount(own, minlength=BUCKETS)
         for lang, n in total.items():
             at = np.flatnonzero(n)
             columns = [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())]
@@ -144,14 +170,16 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", enough: int
     """``df`` with lang_pred, score and ambiguous; only the text is looked at."""
 
     def found_in(texts: list[str]) -> pd.DataFrame:
-        grams, owner = ngrams(texts)
-        n = np.bincount(owner, minlength=len(texts))
+        bits = range(model.weights.shape[1]) if model is not None else range(0)
+        n, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(bits)))
+        for grams, owner in ngrams(texts):
+            n += np.bincount(owner, minlength=len(texts))
+            for b in bits:
+                sums[:, b] += np.bincount(owner, model.weights[:, b][grams], minlength=len(texts))
         out = {"lang_pred": np.full(len(texts), UNKNOWN, object), "score": np.zeros(len(texts)), "ambiguous": n >= 0}
         known = n > 0
         if model is not None and known.any():
-            bits = range(model.weights.shape[1])
-            sums = [np.bincount(owner, model.weights[:, b][grams], minlength=len(texts)) for b in bits]
-            mean = np.stack(sums, 1)[known] / n[known, None] if sums else np.zeros((known.sum(), 0))
+            mean = sums[known] / n[known, None]
             best, score, gap = model.decode(mean * np.minimum(n[known, None], enough) / ORDERS)
             out["lang_pred"][known] = np.asarray(model.languages, object)[best]
             out["score"][known], out["ambiguous"][known] = score, gap < clear

@@ -3,7 +3,7 @@ import pytest
 
 import corpus_pipeline as C
 from galeframe.llm import packing
-from tests.llm import test_lines, test_packing, test_secrets, test_simhash
+from tests.llm import test_lines, test_packing, test_secrets, test_similar
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -43,8 +43,7 @@ def test_line_stage(stages):
 
 def test_near_dedup_stage(stages):
     before, after = stages[0][2], stages[0][3]
-    expected, _ = test_simhash.brute([(r["doc_id"], r["text"]) for r in before])
-    kept = {c for _, _, c in expected}
+    kept, _ = test_similar.brute([(r["doc_id"], r["text"]) for r in before])
     assert after == [r for r in before if r["doc_id"] in kept] and len(after) < len(before)
 
 
