@@ -2,13 +2,14 @@
 
 Texts are reduced once to a thin table of digests. Pass one sets up to two bits per row in blocks of 32,768
 bits and keeps the bits that two or more rows have hit: counts are combined in each task before they are
-shuffled, so a third of all rows with one text is one row per task. Pass two tests every row against those
-bits. Rows with an unset bit have no equal and go straight to the result; only the others are shuffled, for
-the exact grouping by SHA-256.
+shuffled, so a third of all rows with one text is one row per task. What is shuffled here are pairs of numbers
+(block, bit) with a count, two for a row that is alone in its task; no text, digest or doc_id. Pass two tests every row
+against those bits. Rows with an unset bit have no equal and go straight to the result; only the others are
+shuffled with their digest, for the exact grouping by SHA-256.
 
-The filter has ``bits_per_row`` bits for each row. Up to ``broadcast_bytes`` it is broadcast, so that unique
-rows are never shuffled; beyond that the thin rows meet their block by a shuffle join instead. Either way a
-false positive costs a shuffled row and nothing else.
+The filter has ``bits_per_row`` bits for each row, at most twice that. Up to ``broadcast_bytes``, counted before, it is
+broadcast, so that unique rows' digests are never shuffled; beyond that the thin rows meet their block by a shuffle join
+instead. Either way a false positive costs a shuffled row and nothing else.
 
 Defined cases: a missing text is empty; a missing doc_id loses against any other and stays if it is alone;
 repeated rows of one doc_id count one by one in group_size and stay or go together; an empty table gives an
@@ -39,7 +40,7 @@ def with_bits(rows: DataFrame, blocks: int) -> DataFrame:
     """The block of each row and its two bits there, from different parts of the hash."""
     part = lambda shift: F.shiftrightunsigned("h", shift)
     return rows.withColumns(
-        {"block": part(0) % blocks, "bit1": part(33).bitwiseAND(BLOCK_BITS - 1), "bit2": part(48).bitwiseAND(BLOCK_BITS - 1)}
+        {"block": F.pmod("h", F.lit(blocks)), "bit1": part(33).bitwiseAND(BLOCK_BITS - 1), "bit2": part(48).bitwiseAND(BLOCK_BITS - 1)}
     )
 
 

@@ -51,7 +51,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.exact = tokenizers.Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pattern = public_tokenizers.PATTERN
@@ -60,7 +60,7 @@ class Encoder:
         self.general, self.simple = make(pattern), make(pattern.replace(r"\s+(?!\S)|", ""))
 
     def __call__(self, text: str) -> list[int]:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(a in text for a in self.added):
             return self.exact.encode(text, add_special_tokens=False).ids
         return (self.general if TWO_SPACES.search(text) else self.simple).encode_ordinary(text)
 

@@ -27,6 +27,8 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 WINDOW = 20
+#: Windows of a candidate that are looked at together.
+STRETCH = 10_000
 #: Runs of key characters that are long enough for a window.
 CANDIDATE = (rf"[A-Za-z0-9+/_-]{{{WINDOW},}}", 0, WINDOW)
 KINDS = (*BASE, "entropy")
@@ -97,10 +99,14 @@ def entropy_spans(candidates: DataFrame, allowed: tuple[str, ...] = ALLOWED, cla
     """(row key, start, end) of the candidates (row key, start, value) from their first to their last window above the threshold."""
     for pattern in allowed:
         candidates = candidates.filter(~F.col("value").rlike(pattern))
-    one = [*ROW, "start"]
+    one = [*ROW, "start", "first"]
+    # Windows that begin in one stretch of a candidate need its characters and those of one window more.
+    firsts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length("value") - WINDOW), F.lit(STRETCH))
     chars = (
         candidates.withColumn("bits", needed_bits("value", classes))
         .filter("bits IS NOT NULL")
+        .select(*ROW, "start", "bits", "value", F.explode(firsts).alias("first"))
+        .withColumn("value", F.substr("value", F.col("first") + 1, F.lit(STRETCH + WINDOW - 1)))
         .select(*one, "bits", F.posexplode(F.split("value", "")).alias("at", "char"))
         .filter("char <> ''")
     )
@@ -122,8 +128,8 @@ def entropy_spans(candidates: DataFrame, allowed: tuple[str, ...] = ALLOWED, cla
     return (
         changes.withColumn("entropy", entropy)
         .filter((F.col("at") >= WINDOW - 1) & (F.col("entropy") >= F.col("bits")))
-        .groupBy(*one)
-        .agg(F.min("at").alias("low"), F.max("at").alias("high"))
+        .groupBy(*ROW, "start")
+        .agg(F.min(F.col("first") + F.col("at")).alias("low"), F.max(F.col("first") + F.col("at")).alias("high"))
         .selectExpr(*ROW, f"start + low - {WINDOW - 1} AS start", "start + high + 1 AS end")
     )
 
@@ -137,6 +143,19 @@ def spans_by_row(cut: DataFrame, allowed: tuple[str, ...] = ALLOWED, classes: tu
     return base.unionByName(more).groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
+def gaps_by_row(spans: DataFrame) -> DataFrame:
+    """(row key, _from, _to): the stretches of a text between spans that don't overlap, one more than there are of those."""
+    rows = spans.select(*ROW, F.inline("spans")).select(*ROW, "start", "end")
+    in_order = Window.partitionBy(*ROW).orderBy("start", "end")
+    before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", (F.coalesce(before, F.lit(-1)) <= F.col("start")).cast("int"))
+    rows = rows.withColumn("island", F.sum("opens").over(in_order))
+    islands = rows.groupBy(*ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = islands.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    whole = F.lit(2**31 - 1)
+    return listed.select(*ROW, F.concat(F.array(F.lit(0)), "cut.end").alias("_from"), F.concat("cut.start", F.array(whole)).alias("_to"))
+
+
 def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, classes: tuple = CLASSES) -> DataFrame:
     """(doc_id, spans) of every row: structs (start, kind, end) in code points, kind an index of ``KINDS``."""
     cut = saved(pieces(docs), "pieces")
@@ -156,18 +175,13 @@ def redact(
 
     Spans are broadcast to the texts up to ``broadcast_bytes``, counted before, and joined by a shuffle beyond.
     """
-    spans = saved(spans_by_row(saved(pieces(docs), "pieces"), allowed, classes), "spans")
-    spans = bounded(spans, "spans", broadcast_bytes)
-    step = lambda state, s: F.struct(
-        F.greatest(state["at"], s["end"]).alias("at"),
-        F.when(s["start"] < state["at"], state["out"])
-        .otherwise(F.concat(state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.lit(mask)))
-        .alias("out"),
-    )
-    end = lambda state: F.concat(state["out"], F.substring("text", state["at"] + 1, F.char_length("text")))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(spans.withColumnRenamed("spans", "_spans"), ROW, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, end))
+    if reserved := {c.lower() for c in docs.columns} & {*ROW, "_from", "_to"}:
+        raise ValueError(f"reserved column names: {sorted(reserved)}")
+    gaps = saved(gaps_by_row(spans_by_row(saved(pieces(docs), "pieces"), allowed, classes)), "gaps")
+    gaps = bounded(gaps, "_from", broadcast_bytes)
+    joined = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(gaps, ROW, "left")
+    between = F.transform(F.arrays_zip("_from", "_to"), lambda g: F.substring("text", g["_from"] + 1, g["_to"] - g["_from"]))
+    text = F.when(F.col("_from").isNull(), F.col("text")).otherwise(F.array_join(between, mask))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

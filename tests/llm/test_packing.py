@@ -12,9 +12,7 @@ VOCABULARY = P.public_tokenizers.path("byte_bpe_50k.json")
 
 
 def library():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def best_fit_decreasing(sizes, length):
@@ -45,9 +43,11 @@ def test_encoder_gives_the_ids_of_the_library():
     draw = random.Random(8)
     parts = [" ", "  ", "the", "Wort", "é", "ß", "\n", "\t", "日本", "🙂", "'s", "12", "…", "\xa0", "\x85", "\x1c", "—", "x", "<|endoftext|>", "!?", "İ", "ſ", "Ω"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(3000)] + ["", " ", "a ", "a\n\nb", "y" * 50_000]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext"]
     t, encode = library(), P.encoder(VOCABULARY)
     for text in texts:
         assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
 
 
 @pytest.mark.parametrize(("n", "expected"), [(1, [(0, 1)]), (10, [(0, 10)]), (11, [(0, 1), (1, 10)]), (20, [(0, 10), (10, 10)]), (25, [(0, 5), (5, 10), (15, 10)])])

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from galeframe.llm import secrets as S
 
 SCHEMA = "doc_id long, text string, spans string, ra string"
@@ -84,6 +86,23 @@ def test_redact_blots_out_the_union(spark):
     assert S.redact(df.limit(0)).count() == 0 and S.find_secrets(df.limit(0)).count() == 0
 
 
+def test_long_texts_with_many_spans(spark):
+    draw = random.Random(4)
+    long = "".join(draw.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/") for _ in range(35_000))
+    many = "é password=abcdef0 and more, " * 3000
+    mixed = "x" * 12_000 + long[:300] + "x" * 12_000
+    rows = [(1, f"a {long} b", "s", None), (2, many, None, None), (3, f"a {mixed} b", None, None)]
+    out = {r["doc_id"]: r["text"] for r in S.redact(spark.createDataFrame(rows, SCHEMA)).toLocalIterator()}
+    assert out[1] == "a [SECRET] b" and out[2] == "é [SECRET] and more, " * 3000
+    start, end = entropy(f"a {mixed} b")[0][::2]
+    assert out[3] == f"a {mixed} b"[:start] + "[SECRET]" + f"a {mixed} b"[end:]
+
+
+def test_names_redact_needs_are_refused(spark):
+    with pytest.raises(ValueError, match="_from"):
+        S.redact(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, _FROM int"))
+
+
 def test_clean_prose_has_no_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = S.find_secrets(docs).join(docs, "doc_id").filter(~S.F.col("text").rlike("[0-9a-zA-Z]{20,}|(?i)token|key|secret|passw"))
