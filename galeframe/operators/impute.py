@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from galeframe.functions.physics import cyclical
 from galeframe.operators.ordering import day_chunk, fill, first_rows
 from galeframe.operators.reshape import resample_mean
 from galeframe.operators.scale import fit_scaler, inverse_transform, transform
 
-# Target number of float64 cells of one distance block inside a task (32 MB).
-CELLS = 4_000_000
+# Most entries of a block of rows (2 MB), fewest rows of one, and nearest rows looked at exactly at first.
+CELLS, LEAST, FIRST = 1 << 18, 64, 256
 
 
 def fill_from(df: DataFrame, source: DataFrame, on: Sequence[str], pairs: dict[str, str]) -> DataFrame:
@@ -57,92 +60,160 @@ def drop_sparse_times(df: DataFrame, col: str, share: float, ts: str = "timestam
 # -- nearest rows --------------------------------------------------------------
 
 
-def _nearest_donors(receivers: pd.DataFrame, donors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Up to k donors per gap within one pair of blocks: key, column, distance, donor, value."""
-    donors = donors.sort_values("key")
-    goal, have = _matrix(receivers["x"]), _matrix(donors["x"])
-    width = goal.shape[1]
-    rows = max(1, CELLS // max(1, have.size))
-    found = []
-    for start in range(0, len(goal), rows):
-        part = goal[start : start + rows]
-        gap = part[:, None, :] - have[None, :, :]
-        both = ~np.isnan(gap)
+class NearestRows:
+    """The k rows nearest to each row of a block, for each of its gaps; donors come block by block."""
+
+    def __init__(self, goal: np.ndarray, k: int) -> None:
+        self.goal, self.k = goal, k
+        self.gaps = [np.flatnonzero(row) for row in np.isnan(goal)]
+        shape = [(len(g), k) for g in self.gaps]
+        self.distance = [np.full(s, np.inf) for s in shape]
+        self.donor = [np.full(s, np.iinfo(np.int64).max) for s in shape]
+        self.value = [np.full(s, np.nan) for s in shape]
+
+    def squares(self, have: np.ndarray) -> np.ndarray:
+        """Mean squares over the coordinates that both rows have, up to rounding: products of centred values and masks."""
+        with np.errstate(invalid="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            centre = np.nan_to_num(np.nanmean(np.vstack([self.goal, have]), axis=0))
+        parts = []
+        for x in (self.goal, have):
+            known = ~np.isnan(x)
+            parts.append((np.where(known, x - centre, 0.0), known.astype(float)))
+        (a, m), (b, n) = parts
+        total = (a * a) @ n.T - 2 * a @ b.T + m @ (b * b).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            squared = np.where(both, gap, 0.0) ** 2
-            distance = np.round(np.sqrt(squared.sum(axis=2) * width / both.sum(axis=2)), 9)
-        distance = np.where(np.isnan(distance), np.inf, distance)
-        for c in np.flatnonzero(np.isnan(part).any(axis=0)):
-            want, give = np.flatnonzero(np.isnan(part[:, c])), np.flatnonzero(~np.isnan(have[:, c]))
-            near = distance[np.ix_(want, give)]
-            # stable: equal distances stay in the order of the donor keys
-            best = np.argsort(near, axis=1, kind="stable")[:, :k]
-            reach = np.take_along_axis(near, best, axis=1).ravel()
-            who, donor = np.repeat(want + start, best.shape[1]), give[best].ravel()
-            keep = np.isfinite(reach)
-            found.append(pd.DataFrame({
-                "key": receivers["key"].to_numpy()[who[keep]], "column": np.int32(c), "distance": reach[keep],
-                "donor": donors["key"].to_numpy()[donor[keep]], "value": have[donor[keep], c],
-            }))
-    return pd.concat(found) if found else pd.DataFrame(columns=["key", "column", "distance", "donor", "value"])
-
-
-def _matrix(arrays: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=float) for x in arrays])
+            return np.maximum(total, 0) * self.goal.shape[1] / (m @ n.T)
+
+    def meet(self, keys: np.ndarray, have: np.ndarray) -> None:
+        """Take the donors of a block into account; keys settle equal distances."""
+        near, known = self.squares(have), ~np.isnan(have)
+        slack = 1e-6 * (1 + np.nanmax(np.where(np.isfinite(near), near, 0.0), initial=0.0))
+        for i, gaps in enumerate(self.gaps):
+            if not len(gaps):
+                continue
+            worst = self.distance[i][:, -1].max()
+            able = np.flatnonzero(near[i] <= worst**2 + slack)  # no common coordinate is not a number
+            most = FIRST
+            while len(able):
+                part, limit = able, np.inf
+                if most < len(able):
+                    order = np.argpartition(near[i, able], most - 1)[:most]
+                    part, limit = able[order], np.sqrt(max(0.0, near[i, able[order]].max() - slack))
+                if self._take(i, gaps, part, keys, have, known, limit):
+                    break
+                most *= 4
+
+    def _take(self, i: int, gaps: np.ndarray, part: np.ndarray, keys: np.ndarray, have: np.ndarray, known: np.ndarray, limit: float) -> bool:
+        """Merge the best of the donors ``part``, unless one at or beyond ``limit`` could be among the best of all."""
+        away = self.goal[i] - have[part]
+        both = ~np.isnan(away)
+        distance = np.round(np.sqrt((np.where(both, away, 0.0) ** 2).sum(axis=1) * away.shape[1] / both.sum(axis=1)), 9)
+        order = np.lexsort((keys[part], distance))
+        part, distance = part[order], distance[order]
+        holds = known[part][:, gaps]
+        rank = np.cumsum(holds, axis=0, dtype=np.int32)
+        donors, columns = np.nonzero(holds & (rank <= self.k))
+        place = rank[donors, columns] - 1
+        shape = self.distance[i].shape
+        new = [np.full(shape, np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, np.nan)]
+        values = distance[donors], keys[part][donors], have[part[donors], gaps[columns]]
+        for table, v in zip(new, values, strict=True):
+            table[columns, place] = v
+        old = self.distance[i], self.donor[i], self.value[i]
+        if np.isfinite(old[0]).any():
+            new = [np.concatenate(pair, axis=1) for pair in zip(old, new, strict=True)]
+            for sort_by in (1, 0):  # by distance, then by donor
+                at = np.argsort(new[sort_by], axis=1, kind="stable")
+                new = [np.take_along_axis(x, at, axis=1) for x in new]
+            new = [x[:, : self.k] for x in new]
+        if np.isfinite(limit) and new[0][:, -1].max() >= limit:
+            return False
+        self.distance[i], self.donor[i], self.value[i] = new
+        return True
+
+    def means(self, i: int) -> np.ndarray:
+        """The mean of the donors' values for each gap of a row, not a number where there is no donor."""
+        found = np.isfinite(self.distance[i])
+        with np.errstate(invalid="ignore"):
+            return np.where(found, self.value[i], 0.0).sum(axis=1) / found.sum(axis=1)
+
+
+def _block(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and matrix of a list of (k, x)."""
+    values = items.field("x").flatten().to_numpy(zero_copy_only=False)
+    return items.field("k").to_numpy(), values.reshape(len(items), -1)
 
 
 def nearest_rows_mean(
-    df: DataFrame, by: Sequence[str], key: str, features: str, k: int, block: Column
+    df: DataFrame, by: Sequence[str], key: str, features: str, k: int, block_rows: int | None = None
 ) -> DataFrame:
-    """``by, key, column, value`` for every missing entry of the ``features`` arrays.
-
-    The value is the mean over the k rows nearest in the coordinates both rows have
-    (distances scaled up by the share of missing coordinates). Only rows with a gap look
-    for donors. Both sides are cut by ``block``; each pair of blocks is one task that
-    hands on at most k donors per gap, so nothing grows with the series. An entry no
-    row can donate to gets the column mean.
+    """``by, key, column, value`` for every missing entry of the ``features`` arrays (all of one size).
+
+    The value is the mean over the k rows nearest in the coordinates both rows have (distances scaled up by the
+    share of missing coordinates, equal ones in the order of the keys). Each series is dealt into blocks of about
+    ``block_rows`` rows by a hash of the key: by default 64 blocks over all series, of 64 rows at least and ``CELLS``
+    entries at most. A block of rows with gaps is one task, which meets the blocks of its series one after the other and
+    keeps k donors a gap, so nothing but the number of blocks grows with the series. An entry no row can donate
+    to gets the column mean. The key is a timestamp or a whole number and names a row of its series.
     """
-    rows = df.select(*by, F.col(key).alias("key"), F.col(features).alias("x"), block.alias("_block"))
-    holes = rows.filter(F.exists("x", lambda v: v.isNull()))
-    blocks = rows.select(*by, "_block").distinct()
-    hole_blocks = holes.select(*by, F.col("_block").alias("_mine")).distinct()
-    # every block of gaps meets every block of the same series
-    links = _pair_blocks(hole_blocks, blocks, by)
-    left = holes.withColumnRenamed("_block", "_mine").join(links, [*by, "_mine"])
-    right = rows.join(links, [*by, "_block"])
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys = ", ".join(f"{b} {kinds[b]}" for b in by) + (", " if by else "")
-    schema = f"{keys}key {kinds['key']}, column int, distance double, donor {kinds['key']}, value double"
-
-    def search(receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        if not len(receivers) or not len(donors):
-            return pd.DataFrame(columns=[*by, "key", "column", "distance", "donor", "value"])
-        found = _nearest_donors(receivers, donors, k)
-        return found.assign(**{b: receivers[b].iat[0] for b in by})[
-            [*by, "key", "column", "distance", "donor", "value"]
-        ]
-
-    group = [*by, "_mine", "_block"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, schema)
-    best = first_rows(found, [*by, "key", "column"], ["distance", "donor"], k)
-    means = best.groupBy(*by, "key", "column").agg(F.avg("value").alias("_near"))
-    entries = rows.select(*by, "key", F.posexplode("x").alias("column", "_v"))
+    kind = df.schema[key].dataType.simpleString()
+    number = F.unix_micros(key) if kind.startswith("timestamp") else F.col(key).cast("long")
+    rows = df.select(*by, number.alias("k"), F.col(features).cast("array<double>").alias("x"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.size("x")).alias("_width"))
+    if block_rows:
+        size = F.lit(block_rows)
+    else:
+        series = sizes.count() if by else 1
+        least, most = F.lit(LEAST if series == 1 else 16 * LEAST), F.greatest(F.lit(1), F.floor(CELLS / F.col("_width")))
+        size = F.least(most, F.greatest(least, F.ceil(F.col("_n") * max(1, series) / 64)))
+    sizes = sizes.select(*by, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
+    sized = rows.join(sizes, [*by]) if by else rows.withColumn("_blocks", sizes.scalar())
+    dealt = sized.withColumn("_block", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
+    blocks = dealt.groupBy(*by, "_blocks", "_block").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("_rows"))
+    open_rows = F.filter("_rows", lambda r: F.exists(r["x"], lambda v: v.isNull()))
+    goals = blocks.select(*by, F.col("_block").alias("_mine"), "_blocks", open_rows.alias("_open")).filter(F.size("_open") > 0)
+    meet = goals.select(*by, "_mine", "_open", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    meet = meet.join(blocks.drop("_blocks"), [*by, "_block"])
+    mine = [*by, "_mine"]
+    in_turn = meet.repartition(*mine).sortWithinPartitions(*mine, "_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, nearest = None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                here = tuple(batch.column(c)[i].as_py() for c in mine)
+                if here != name:
+                    if nearest is not None:
+                        yield found(name, keys, nearest)
+                    name = here
+                    keys, goal = _block(batch.column("_open")[i].values)
+                    nearest = NearestRows(goal, k)
+                nearest.meet(*_block(batch.column("_rows")[i].values))
+        if nearest is not None:
+            yield found(name, keys, nearest)
+
+    def found(name: tuple, keys: np.ndarray, nearest: NearestRows) -> pa.RecordBatch:
+        fixed = [pa.array([v] * len(keys), meet_types[c]) for c, v in zip(by, name, strict=False)]
+        columns = pa.array(nearest.gaps, pa.list_(pa.int32()))
+        values = pa.array([nearest.means(i) for i in range(len(keys))], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(keys), columns, values], names=[*by, "k", "columns", "values"])
+
+    meet_types = {c: to_arrow_type(df.schema[c].dataType) for c in by}
+    fields = [df.schema[c] for c in by]
+    schema = T.StructType([*fields, *T.StructType.fromDDL("k long, columns array<int>, values array<double>").fields])
+    filled = in_turn.mapInArrow(run, schema)
+    zipped = F.arrays_zip(F.col("columns").alias("column"), F.col("values").alias("value"))
+    gaps = filled.select(*by, "k", F.inline(zipped)).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    entries = rows.select(*by, F.posexplode("x").alias("column", "_v"))
     overall = entries.groupBy(*by, "column").agg(F.avg("_v").alias("_all"))
-    gaps = entries.filter("_v IS NULL").drop("_v")
-    out = gaps.join(means, [*by, "key", "column"], "left").join(overall, [*by, "column"], "left")
-    return out.select(*by, F.col("key").alias(key), "column", F.coalesce("_near", "_all").alias("value"))
-
-
-def _pair_blocks(holes: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by:
-        return holes.join(blocks, [*by])
-    listed = blocks.agg(F.collect_set("_block").alias("b")).scalar()
-    return holes.select("_mine", F.explode(listed).alias("_block"))
+    back = F.timestamp_micros("k") if kind.startswith("timestamp") else F.col("k")
+    out = gaps.join(overall, [*by, "column"], "left")
+    return out.select(*by, back.cast(kind).alias(key), "column", F.coalesce("value", "_all").alias("value"))
 
 
 def impute_rows(
-    df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], k: int = 5, block_unit: str = "month"
+    df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], k: int = 5, block_rows: int | None = None
 ) -> DataFrame:
     """Fill gaps of each series from its k most similar rows in value, hour and month.
 
@@ -153,7 +224,7 @@ def impute_rows(
     names = [*cols, *clock]
     stats = fit_scaler(rows, names, by)
     scaled = transform(rows, stats, names, by).withColumn("_x", F.array(*names))
-    values = nearest_rows_mean(scaled, by, ts, "_x", k, F.date_trunc(block_unit, ts))
+    values = nearest_rows_mean(scaled, by, ts, "_x", k, block_rows)
     wide = values.groupBy(*by, ts).agg(
         *[F.max(F.when(F.col("column") == i, F.col("value"))).alias(c) for i, c in enumerate(cols)]
     )
@@ -162,7 +233,7 @@ def impute_rows(
 
 
 def impute_matrix(
-    df: DataFrame, ts: str, col: str, k: int = 10, circular: bool = False, block_unit: str = "month"
+    df: DataFrame, ts: str, col: str, k: int = 10, circular: bool = False, block_rows: int | None = None
 ) -> DataFrame:
     """Fill a station matrix from the k times at which the stations looked most alike.
 
@@ -182,7 +253,7 @@ def impute_matrix(
     )
     rows = rows.withColumn("_all", F.sort_array(F.concat("_known", absent)))
     rows = rows.withColumn("_x", F.concat(*[F.col(f"_all.{n}") for n in parts])).drop("_known", "_all")
-    values = nearest_rows_mean(rows, [], ts, "_x", k, F.date_trunc(block_unit, ts))
+    values = nearest_rows_mean(rows, [], ts, "_x", k, block_rows)
     size = F.size("_ids")
     cells = rows.select(ts, "_ids", F.posexplode("_x").alias("column", "_v"))
     cells = cells.join(values, [ts, "column"], "left").select(

@@ -60,7 +60,7 @@ def i01(t):
     ts="timestamp",
 )
 def i02(t):
-    return I.impute_matrix(t.hourly, "timestamp", "temperature", 10, block_unit="week")
+    return I.impute_matrix(t.hourly, "timestamp", "temperature", 10)
 
 
 @query(
@@ -88,7 +88,7 @@ def i02_directions(t):
 
     hour = F.date_trunc("hour", "timestamp").alias("timestamp")
     rows = t.raw.groupBy("station_id", hour).agg(circular_mean("wind_direction").alias("wind_direction"))
-    return I.impute_matrix(rows, "timestamp", "wind_direction", 10, circular=True, block_unit="week")
+    return I.impute_matrix(rows, "timestamp", "wind_direction", 10, circular=True)
 
 
 MEAN_SQL = """SELECT "timestamp", avg(wind_speed) AS rk_pred FROM hourly GROUP BY ALL"""

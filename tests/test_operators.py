@@ -191,22 +191,50 @@ def brute_impute(x, keys, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000])
+@pytest.mark.parametrize("block", [1, 7, None])
 def test_nearest_rows_equal_brute_force(spark, block):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 5))
     x[rng.random(x.shape) < 0.25] = np.nan
     x[10] = np.nan
+    x[20:30] = x[19]  # equal distances
     rows = [("a", i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "g string, t bigint, x array<double>")
     want = brute_impute(x, np.arange(60), 4)
     for by in (["g"], []):
-        got = I.nearest_rows_mean(df, by, "t", "x", 4, F.floor(F.col("t") / block)).collect()
+        got = I.nearest_rows_mean(df, by, "t", "x", 4, block).collect()
         assert len(got) == np.isnan(x).sum()
         for r in got:
             assert r["value"] == pytest.approx(want[r["t"], r["column"]], abs=1e-9)
 
 
+def test_nearest_rows_of_few_candidates_at_a_time(monkeypatch):
+    """Whatever is looked at first, the result is that of all exact distances."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(200, 6)), 1) + 1e6
+    x[rng.random(x.shape) < 0.5] = np.nan
+    keys = rng.permutation(200)
+    order = np.argsort(keys)
+    want = brute_impute(x[order], keys[order], 3)[np.argsort(order)]
+    for first, blocks in ((1, 1), (3, 4), (256, 7)):
+        monkeypatch.setattr(I, "FIRST", first)
+        nearest = I.NearestRows(x, 3)
+        for at in np.array_split(np.arange(200), blocks):
+            nearest.meet(keys[at], x[at])
+        for i, gaps in enumerate(nearest.gaps):
+            found = np.isfinite(nearest.distance[i][:, 0])
+            np.testing.assert_allclose(nearest.means(i)[found], want[i, gaps][found], rtol=1e-12)
+
+
+def test_station_matrix_in_any_blocks(spark):
+    rows = [(f"{s:03d}", t, None if (s * 7 + i) % 5 == 0 else float(s + i % 24 + i % 7)) for i, t in enumerate(hours(300)) for s in range(4)]
+    df = spark.createDataFrame(rows, "station_id string, timestamp timestamp, v double")
+    ways = [sorted(map(tuple, I.impute_matrix(df, "timestamp", "v", 3, block_rows=n).collect())) for n in (40, 1000)]
+    assert len(ways[0]) == 1200 and all(v is not None for *_, v in ways[0])
+    assert [r[:2] for r in ways[0]] == [r[:2] for r in ways[1]]
+    np.testing.assert_allclose([r[2] for r in ways[0]], [r[2] for r in ways[1]], atol=1e-12)
+
+
 def test_complete_series_pass_unchanged(spark):
     df = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(hours(30))], "station_id string, timestamp timestamp, v double")
     out = I.impute_rows(df, ["station_id"], "timestamp", ["v"]).orderBy("timestamp").toPandas()
