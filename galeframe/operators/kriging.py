@@ -6,12 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galeframe.functions.geo import EARTH_RADIUS_KM, inverse_geodesic, utm
 from galeframe.operators.neighbours import k_nearest, within
 
+#: Stations of a tile, about.
+TILE = 64
+
 
 # -- models --------------------------------------------------------------------
 
@@ -57,36 +62,84 @@ def station_pairs(stations: DataFrame, max_km: float) -> DataFrame:
     return pairs.select(F.col("target_id").alias("i"), F.col("near_id").alias("j"), "distance")
 
 
-def day_arrays(series: DataFrame, value: str, time: str, by: Sequence[str], into: str) -> DataFrame:
-    """One row per (by, station, day): the sorted times with a value, and the values, as arrays."""
-    rows = series.filter(F.col(value).isNotNull()).withColumn("_day", F.date_trunc("day", time))
-    entry = F.struct(F.unix_micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"))
-    days = rows.groupBy(*by, "station_id", "_day").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    return days.select(*by, "_day", F.col("station_id").alias(into), F.col("_e.t").alias(f"_t{into}"), F.col("_e.v").alias(f"_v{into}"))
+def station_tiles(stations: DataFrame, km: float = 100.0, most: int = TILE) -> DataFrame:
+    """``station_id, tile``: stations of one cell of about ``km``, at most about ``most`` of them."""
+    cell = [F.floor(F.col(c) * 111.2 / km).alias(f"_{c}") for c in ("latitude", "longitude")]
+    rows = stations.select("station_id", *cell).distinct()
+    crowds = rows.groupBy("_latitude", "_longitude").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    part = F.pmod(F.xxhash64("station_id"), F.col("_parts"))
+    return rows.join(crowds, ["_latitude", "_longitude"]).select("station_id", F.xxhash64("_latitude", "_longitude", part).alias("tile"))
+
+
+def _pair_sums(one: pa.Array, other: pa.Array, same: bool) -> tuple[np.ndarray, ...]:
+    """(place in one, place in other, sum of squared differences, times both have) of the stations of two tiles.
+
+    Stations come with their (t, v); a mask product counts common times, and three products of masked, centred values
+    give the sums. Within one tile each pair is given once.
+    """
+    lists = [x.field("e") for x in (one, other)]
+    flat = [x.flatten() for x in lists]
+    times = [x.field("t").to_numpy() for x in flat]
+    values = [x.field("v").to_numpy(zero_copy_only=False) for x in flat]
+    slots = np.unique(np.concatenate(times))
+    centre = np.concatenate(values).mean()
+    filled, masks = [], []
+    for x, t, v in zip(lists, times, values, strict=True):
+        at = np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), np.searchsorted(slots, t)
+        table, mask = np.zeros((len(x), len(slots))), np.zeros((len(x), len(slots)))
+        table[at], mask[at] = v - centre, 1.0
+        filled.append(table)
+        masks.append(mask)
+    (a, b), (m, n) = filled, masks
+    total = (a * a) @ n.T - 2 * a @ b.T + m @ (b * b).T
+    count = m @ n.T
+    i, j = np.nonzero(np.triu(count, 1) if same else count)
+    return i, j, np.maximum(total[i, j], 0.0), count[i, j].astype(np.int64)
 
 
 def pair_semivariance(
-    series: DataFrame, pairs: DataFrame, value: str, time: str = "timestamp", by: Sequence[str] = ()
+    series: DataFrame, pairs: DataFrame, value: str, time: str = "timestamp", by: Sequence[str] = (),
+    stations: DataFrame | None = None, span: str = "month",
 ) -> DataFrame:
     """``0.5 * mean((z_i - z_j)^2)`` per pair over the times at which both have values.
 
-    Only the listed pairs meet, each through equality on station and day. A day of a pair is
-    one row with both days' values as arrays, so rows in a shuffle are pairs times days.
+    Stations are dealt into tiles (by place if ``stations`` has coordinates, else by hash). The values of a tile in
+    one ``span`` of time are one row, which meets each tile it has listed pairs with once; the sums of all pairs
+    of the two come from masked matrix products. So rows in a shuffle are tiles times spans times neighbouring tiles, and
+    a pair has one partial sum a span. A station has one value a time.
     """
-    left, right = (day_arrays(series, value, time, by, end) for end in ("i", "j"))
-    joined = left.join(pairs, "i").join(right, ["j", "_day", *by])
-    # days with equal times are zipped, others looked up by time
-    by_time = F.map_from_arrays("_tj", "_vj")
-    there = F.transform("_ti", lambda t: F.try_element_at(by_time, t))
-    gaps = F.zip_with("_vi", F.when(F.col("_ti") == F.col("_tj"), F.col("_vj")).otherwise(there), lambda a, b: a - b)
-    step = lambda s, g: F.struct(
-        (s["total"] + F.coalesce(g * g, F.lit(0.0))).alias("total"), (s["n"] + F.when(g.isNull(), 0).otherwise(1)).alias("n")
-    )
-    begin = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
-    sums = joined.select(*by, "i", "j", "distance", F.aggregate(gaps, begin, step).alias("_s"))
-    total, n = F.sum("_s.total"), F.sum("_s.n")
-    out = sums.groupBy(*by, "i", "j", "distance").agg(F.try_divide(0.5 * total, n).alias("semivariance"))
-    return out.filter(F.col("semivariance").isNotNull())
+    if stations is not None:
+        tiles = station_tiles(stations, most=TILE)
+    else:
+        ends = pairs.select(F.explode(F.array("i", "j")).alias("station_id")).distinct()
+        parts = ends.agg(F.ceil(F.count("*") / TILE)).scalar()
+        tiles = ends.select("station_id", F.pmod(F.xxhash64("station_id"), parts).alias("tile"))
+    rows = series.filter(F.col(value).isNotNull()).withColumn("_span", F.date_trunc(span, time))
+    entry = F.struct(F.unix_micros(F.col(time)).alias("t"), F.col(value).cast("double").alias("v"))
+    of_station = rows.groupBy(*by, "station_id", "_span").agg(F.collect_list(entry).alias("e")).join(tiles, "station_id")
+    blocks = of_station.groupBy(*by, "_span", "tile").agg(F.sort_array(F.collect_list(F.struct("station_id", "e"))).alias("_rows"))
+    tile_of = lambda end: tiles.select(F.col("station_id").alias(end), F.col("tile").alias(f"_{end}"))
+    meet = pairs.join(tile_of("i"), "i").join(tile_of("j"), "j").select(F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b")).distinct()
+    one = blocks.select(*by, "_span", F.col("tile").alias("_a"), F.col("_rows").alias("_one"))
+    other = blocks.select(*by, "_span", F.col("tile").alias("_b"), F.col("_rows").alias("_other"))
+    met = one.join(meet, "_a").join(other, [*by, "_span", "_b"]).select(*by, "_a", "_b", "_one", "_other")
+    fields = [met.schema[c] for c in by]
+    kind = series.schema["station_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                one, other = (batch.column(c)[r].values for c in ("_one", "_other"))
+                i, j, total, n = _pair_sums(one, other, batch.column("_a")[r].as_py() == batch.column("_b")[r].as_py())
+                fixed = [batch.column(c).take(pa.array(np.full(len(i), r))) for c in by]
+                ends = [x.field("station_id").take(pa.array(at)) for x, at in ((one, i), (other, j))]
+                yield pa.RecordBatch.from_arrays([*fixed, *ends, pa.array(total), pa.array(n)], names=[*by, "_p", "_q", "_total", "_n"])
+
+    schema = T.StructType([*fields, *T.StructType.fromDDL(f"_p {kind}, _q {kind}, _total double, _n long").fields])
+    sums = met.mapInArrow(run, schema).groupBy(*by, F.least("_p", "_q").alias("_p"), F.greatest("_p", "_q").alias("_q"))
+    sums = sums.agg((0.5 * F.sum("_total") / F.sum("_n")).alias("semivariance"))
+    listed = pairs.select("*", F.least("i", "j").alias("_p"), F.greatest("i", "j").alias("_q"))
+    return listed.join(sums, ["_p", "_q"]).select(*by, "i", "j", "distance", "semivariance")
 
 
 def bin_semivariance(
@@ -517,7 +570,7 @@ def interpolate_stations(
     else:
         placed, metric = stations, distance
         pairs = station_pairs(stations, max_km)
-    binned = bin_semivariance(pair_semivariance(z, pairs, value, by=by), max_km, n_lags, by)
+    binned = bin_semivariance(pair_semivariance(z, pairs, value, by=by, stations=stations), max_km, n_lags, by)
     params = fit_variograms(binned, model, by)
     near = k_nearest(stations, stations, k, candidate_key="station_id", metric=distance, exclude_self=True)
     cells = series.select(*by, F.col("station_id").alias("target_id")).distinct()

@@ -60,7 +60,7 @@ BIN_SQL = "CAST(least(greatest(ceil(distance / 50) - 1, 0), 9) AS INTEGER)"
 
 def pair_values(t, by=()):
     pairs = K.station_pairs(t.stations, MAX_KM)
-    return K.pair_semivariance(t.hourly, pairs, "wind_speed", by=by)
+    return K.pair_semivariance(t.hourly, pairs, "wind_speed", by=by, stations=t.stations)
 
 
 @query(
@@ -85,7 +85,7 @@ def k03(t):
 def k03_detrended(t):
     pairs = K.station_pairs(t.stations, MAX_KM)
     series = K.detrend(t.hourly, "wind_speed")
-    return K.bin_semivariance(K.pair_semivariance(series, pairs, "wind_speed"), MAX_KM, LAGS)
+    return K.bin_semivariance(K.pair_semivariance(series, pairs, "wind_speed", stations=t.stations), MAX_KM, LAGS)
 
 
 AZIMUTHS = [0, 45, 90, 135]
@@ -151,7 +151,7 @@ def segmented(t, n=3):
 def fitted(t):
     rows = segmented(t)
     pairs = K.station_pairs(t.stations, MAX_KM)
-    values = K.pair_semivariance(rows, pairs, "wind_speed", by=["segment"])
+    values = K.pair_semivariance(rows, pairs, "wind_speed", by=["segment"], stations=t.stations)
     return K.fit_variograms(K.bin_semivariance(values, MAX_KM, LAGS, ["segment"]), "exponential", ["segment"])
 
 

@@ -277,7 +277,7 @@ PAIR_SV_SQL = f"""WITH p AS (SELECT a.station_id AS i, b.station_id AS j, {HAVER
 )
 def c16(t):
     pairs = K.station_pairs(t.stations, 500.0)
-    return K.pair_semivariance(t.hourly, pairs, "wind_speed").select("i", "j", "distance", "semivariance")
+    return K.pair_semivariance(t.hourly, pairs, "wind_speed", stations=t.stations).select("i", "j", "distance", "semivariance")
 
 
 @query(

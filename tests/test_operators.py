@@ -241,6 +241,28 @@ def test_complete_series_pass_unchanged(spark):
     np.testing.assert_array_equal(out["v"], np.arange(30.0))
 
 
+@pytest.mark.parametrize("most", [2, 64])
+def test_pair_semivariance_equals_every_common_time(spark, monkeypatch, most):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(K, "TILE", most)
+    names = [f"{i:02d}" for i in range(9)]
+    places = spark.createDataFrame([(n, float(47 + i % 3 * 0.01), float(8 + i % 4)) for i, n in enumerate(names)], "station_id string, latitude double, longitude double")
+    times = hours(24 * 50)
+    values = {n: np.where(rng.random(len(times)) < 0.6, np.nan, rng.normal(1000, 3, len(times))) for n in names[:-1]}
+    rows = [(n, "ab"[i % 2], t, None if np.isnan(v) else float(v)) for n, own in values.items() for i, (t, v) in enumerate(zip(times, own, strict=True))]
+    series = spark.createDataFrame(rows, "station_id string, part string, timestamp timestamp, v double")
+    pairs = spark.createDataFrame([(a, b, 1.5) for a in names for b in names if a < b and b != "05"], "i string, j string, distance double")
+    for stations in (None, places):
+        got = {(r["part"], r["i"], r["j"]): r["semivariance"] for r in K.pair_semivariance(series, pairs, "v", by=["part"], stations=stations).collect()}
+        want = {}
+        for i, j in [(a, b) for a in names[:-1] for b in names[:-1] if a < b and b != "05"]:
+            for k, part in enumerate("ab"):
+                gap = (values[i] - values[j])[k::2]
+                want[part, i, j] = 0.5 * np.nanmean(gap**2)
+        assert got.keys() == want.keys()
+        assert all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want)
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 3))
