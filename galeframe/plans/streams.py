@@ -79,5 +79,5 @@ def l03(t):
     runs = run_stream(t).withColumn("timestamp", valid_time("starttime", "forecasttime"))
     latest = S.latest_forecasts(runs, ["grid_id"], "timestamp", ["forecasttime"], "60 days")
     store = folder(t, "newest")
-    S.run_to_end(latest, folder(t, "latest"), mode="update", sink=S.keep_batches(store))
+    S.run_to_end(latest, folder(t, "latest"), mode="update", sink=S.keep_newest(store, keys, "timestamp"))
     return S.read_latest(t.spark, store, keys)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
+
+from galeframe.streaming.store import DatedStore
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,53 +51,68 @@ def _first_delivered(batch: DataFrame, keys: Sequence[str], arrival: Sequence[st
     return batch.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*arrival)).alias("_v")).select(*keys, "_v.*")
 
 
+def _as_it_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def append_newer_runs(
     store_path: str, grid: Sequence[str], run: Sequence[str], row: Sequence[str], arrival: Sequence[str], run_time: str = "starttime"
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink that appends the runs that start after the newest stored one of their grid point."""
+    """``foreachBatch`` sink that appends the runs that start after the newest stored one of their grid point.
+
+    The newest start per grid point is a table of its own, replaced with each batch, so rows are never read again.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
+        store = DatedStore(batch.sparkSession, store_path)
+        if store.done(batch_id):
+            return
         unique = _first_delivered(batch, [*run, *row], arrival)
-        earlier = read_store(batch.sparkSession, store_path, unique.schema, before=batch_id)
-        newest = earlier.groupBy(*grid).agg(F.max(run_time).alias("_newest"))
+        latest = StructType([*(unique.schema[c] for c in grid), StructField("_newest", unique.schema[run_time].dataType)])
+        newest = store.read("newest", latest)
         fresh = unique.join(newest, [*grid], "left").filter(F.col("_newest").isNull() | (F.col(run_time) > F.col("_newest")))
-        fresh.drop("_newest").write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+        written = store.write(batch_id, "rows", fresh.drop("_newest"), F.col(run_time), [run_time])
+        starts = written.select(*grid, F.col(run_time).alias("_newest")).unionByName(newest)
+        store.write(batch_id, "newest", starts.groupBy(*grid).agg(F.max("_newest").alias("_newest")), replace=True)
+        store.commit(batch_id, {"rows": (_as_it_is, [run_time])})
 
     return sink
 
 
 def append_new_runs(
-    store_path: str, run: Sequence[str], row: Sequence[str], expected: int, arrival: Sequence[str], run_time: str = "starttime"
+    store_path: str, run: Sequence[str], row: Sequence[str], expected: int, arrival: Sequence[str], run_time: str = "starttime",
+    fan_in: int = 8,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that appends rows of runs that are new or not yet complete.
 
-    Of rows with one key, the first by ``arrival`` wins in a batch, and the stored one against
-    a batch. A run that already has ``expected`` rows is left alone. Each batch writes its own
-    sub-folder in overwrite mode, so a batch repeated after a failure replaces itself.
+    Of rows with one key, the first by ``arrival`` wins in a batch, and the stored one against a batch. A run
+    that already has ``expected`` rows is left alone. The store keeps rows by run day, merged from time to time, and an index of
+    the number of rows of each run; a batch reads both for its own days only, and rows only of runs not yet complete.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        unique = _first_delivered(batch, [*run, *row], arrival).persist()
-        # only the part of the store that overlaps the batch in time is read
-        low, high = unique.agg(F.min(run_time), F.max(run_time)).first()
-        earlier = read_store(spark, store_path, unique.schema, before=batch_id).filter(F.col(run_time).between(low, high))
-        whole = earlier.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= expected)
-        fresh = unique.join(whole, [*run], "left_anti").join(earlier.select(*run, *row), [*run, *row], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
-        unique.unpersist()
+        store = DatedStore(batch.sparkSession, store_path, fan_in)
+        if store.done(batch_id):
+            return
+        unique, days = store.stage(batch_id, _first_delivered(batch, [*run, *row], arrival), F.col(run_time))
+        index = StructType([*(unique.schema[c] for c in dict.fromkeys([*run, run_time])), StructField("n", LongType(), False)])
+        counted = store.read("runs", index, days).groupBy(*run).agg(F.sum("n").alias("n"))
+        whole, part = counted.filter(F.col("n") >= expected).select(*run), counted.filter(F.col("n") < expected).select(*run)
+        known = store.read("rows", unique.schema, days).select(*run, *row).join(part, [*run], "left_semi")
+        fresh = unique.join(whole, [*run], "left_anti").join(known, [*run, *row], "left_anti")
+        written = store.write(batch_id, "rows", fresh, F.col(run_time), [run_time])
+        store.write(batch_id, "runs", _run_sizes(written, index.names[:-1]), F.col(run_time), run)
+        summed = lambda rows: rows.groupBy(*index.names[:-1]).agg(F.sum("n").alias("n"))
+        store.commit(batch_id, {"rows": (_as_it_is, [run_time]), "runs": (summed, run)})
 
     return sink
 
 
-def read_store(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """All batches of a store (those before a batch); empty if nothing is there yet."""
-    full = StructType([*schema.fields, StructField("batch", IntegerType())])
-    try:
-        rows = spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+def _run_sizes(rows: DataFrame, run: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*run).agg(F.count("*").alias("n"))
+
+
+def read_store(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a store; none if nothing is there yet."""
+    return DatedStore(spark, path).read("rows", schema)
 
 
 def run_to_end(
@@ -117,17 +133,30 @@ def run_to_end(
     return f"{folder}/data"
 
 
-def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink for update mode: every batch is kept, ``read_latest`` picks the newest."""
+def _newest_version(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    def merge(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_version").alias("_v")).select(*keys, "_v.*")
+
+    return merge
+
+
+def keep_newest(path: str, keys: Sequence[str], ts: str, fan_in: int = 8) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for update mode: one row a key and batch, by the day of ``ts``, which is one of the keys.
+
+    Pieces of a day are merged from time to time, and only the newest version of a key outlives that, so the
+    store holds a bounded number of versions of each key.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        store = DatedStore(batch.sparkSession, path, fan_in)
+        if store.done(batch_id):
+            return
+        store.write(batch_id, "rows", batch.withColumn("_version", F.lit(batch_id).cast("long")), F.col(ts), keys)
+        store.commit(batch_id, {"rows": (_newest_version(keys), keys)})
 
     return sink
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest version of every key of an update-mode store."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return best.select(*keys, "_v.*")
+    return _newest_version(keys)(DatedStore(spark, path).read("rows")).drop("_version")

@@ -134,6 +134,58 @@ def test_only_newer_runs_of_a_grid_point_are_appended(spark, tmp_path):
     assert sorted(r["v"] for r in ST.read_store(spark, store, stream.schema).collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
 
 
+def test_batches_open_few_pieces_and_merges_lose_nothing(spark, tmp_path):
+    """Batches of two days each: what a batch opens and keeps stays bounded, rows are those of one batch."""
+    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
+    row = lambda b, lead, v: (b % 3, T0 + timedelta(hours=6 * b), float(lead), v, 0)
+    parts = [[row(b, 1, 1.0), row(b, 2, 2.0), row(max(0, b - 1), 2, 9.0), row(max(0, b - 1), 3, 3.0), row(b, 2, 2.5)] for b in range(24)]
+    parts = [[(*r[:4], i) for i, r in enumerate(p)] for p in parts]
+    path = str(tmp_path / "store")
+    sink = ST.append_new_runs(path, ["grid_id", "starttime"], ["forecasttime"], expected=3, arrival=["arrival"], fan_in=3)
+    opened = []
+    for b, part in enumerate(parts):
+        days = {r[1].strftime("%Y-%m-%d") for r in part}
+        opened.append(len(ST.DatedStore(spark, path).paths("rows", days)))
+        sink(spark.createDataFrame(part, schema), b)
+        sink(spark.createDataFrame([row(b, 7, -1.0)], schema), b)  # repeated after the manifest: nothing happens
+    assert max(opened[12:]) <= max(opened[:12]) <= 8
+    want = {}
+    for part in parts:
+        for g, start, lead, v, _ in part:
+            done = len([k for k in want if k[:2] == (g, start)]) >= 3
+            if not done or (g, start, lead) in want:
+                want.setdefault((g, start, lead), v)
+    got = ST.read_store(spark, path, None).collect()
+    assert {(r["grid_id"], r["starttime"].replace(tzinfo=T0.tzinfo), r["forecasttime"]): r["v"] for r in got} == want and len(got) == len(want)
+    assert len(list((tmp_path / "store" / "manifest").glob("*.json"))) == 2
+
+
+def test_a_batch_that_failed_before_its_manifest_is_repeated(spark, tmp_path, monkeypatch):
+    schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
+    path = str(tmp_path / "store")
+    sink = ST.append_new_runs(path, ["grid_id", "starttime"], ["forecasttime"], expected=9, arrival=["arrival"], fan_in=2)
+    rows = [[(1, T0, float(b), float(b), 0)] for b in range(5)]
+    for b, part in enumerate(rows):
+        with monkeypatch.context() as m:
+            m.setattr(ST.DatedStore, "_swap", lambda self, manifest: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError, match="lost"):
+                sink(spark.createDataFrame(part, schema), b)
+        assert ST.read_store(spark, path, spark.createDataFrame([], schema).schema).count() == b
+        sink(spark.createDataFrame(part, schema), b)
+        assert ST.read_store(spark, path, None).count() == b + 1
+
+
+def test_versions_of_a_key_are_bounded(spark, tmp_path):
+    path, keys = str(tmp_path / "newest"), ["grid_id", "timestamp"]
+    sink = ST.keep_newest(path, keys, "timestamp", fan_in=3)
+    for b in range(14):
+        rows = [(g, T0 + timedelta(hours=h), float(b)) for g in range(2) for h in (1, 2)]
+        sink(spark.createDataFrame(rows, "grid_id bigint, timestamp timestamp, v double"), b)
+        stored = ST.DatedStore(spark, path).read("rows").count()
+        assert stored <= 4 * 2 * 4  # keys, pieces of a level, levels
+    assert [r["v"] for r in ST.read_latest(spark, path, keys).collect()] == [13.0] * 4
+
+
 def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
     schema = "grid_id bigint, starttime timestamp, forecasttime double, v double, arrival bigint"
     seen = []
@@ -154,7 +206,7 @@ def test_shortest_lead_wins_over_batches(spark, tmp_path):
     stream = batches(spark, tmp_path, [[row(5, 1.0)], [row(2, 2.0)], [row(4, 3.0)]], schema)
     latest = ST.latest_forecasts(stream, ["grid_id"], "timestamp", ["forecasttime", "v"], "2 days")
     store = str(tmp_path / "latest")
-    ST.run_to_end(latest, str(tmp_path / "newest"), mode="update", sink=ST.keep_batches(store))
+    ST.run_to_end(latest, str(tmp_path / "newest"), mode="update", sink=ST.keep_newest(store, ["grid_id", "timestamp"], "timestamp"))
     assert [tuple(r)[2:] for r in ST.read_latest(spark, store, ["grid_id", "timestamp"]).collect()] == [(2.0, 2.0)]
 
 
