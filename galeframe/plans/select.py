@@ -14,8 +14,10 @@ from galeframe.operators.quality import check_layouts
 from galeframe.operators.reshape import pivot_mean
 from galeframe.plans.aggregates import RUN
 from galeframe.plans.registry import query
+from galeframe.plans.tables import station_name
 from galeframe.session import shared_dir
 from galeframe.sources import preprocess, readers, writers
+from galeframe.sources.run_files import read_run_files, write_run_files
 
 MAE_SQL = "SELECT station_id, avg(abs(pred - gt)) AS mae FROM predictions GROUP BY ALL"
 
@@ -41,6 +43,53 @@ def a01(t):
     return readers.read_stations(t.spark, path, schema).select("station_id", "timestamp", "wind_speed", "temperature")
 
 
+RUN_FILES_SQL = """SELECT n.starttime, n.forecasttime, {columns}, CAST(hour(n.starttime) AS INTEGER) AS run_hour,
+    lpad(CAST(grid_id AS VARCHAR), 5, '0') AS station_id, latitude, longitude FROM nwp n JOIN nodes USING (grid_id)"""
+
+
+def run_files(t, kind, columns, lon_first):
+    """The runs written as a tree, one file for each hour, station and point, and read back."""
+    path = folder(t, f"runs-{kind}")
+    rows = t.nwp.join(t.nodes, "grid_id").withColumn("station_id", station_name(F.col("grid_id")))
+    write_run_files(rows.select("starttime", "forecasttime", *columns, "station_id", "latitude", "longitude"), path, kind, lon_first)
+    schema = ", ".join(f"{c} {'timestamp' if c == 'starttime' else 'double'}" for c in ("starttime", "forecasttime", *columns))
+    return read_run_files(t.spark, path, schema, kind, lon_first)
+
+
+@query(
+    "a02_multilevel_run_files",
+    RUN_FILES_SQL.format(columns="toplevel, bottomlevel, u_wind, v_wind, n.qs"),
+    num="forecasttime toplevel bottomlevel u_wind v_wind qs latitude longitude",
+    ts="starttime",
+)
+def a02(t):
+    return run_files(t, "ML", ["toplevel", "bottomlevel", "u_wind", "v_wind", "qs"], lon_first=False)
+
+
+@query(
+    "a03_single_level_run_files",
+    RUN_FILES_SQL.format(columns="toplevel, temperature, pressure"),
+    num="forecasttime toplevel temperature pressure latitude longitude",
+    ts="starttime",
+)
+def a03(t):
+    return run_files(t, "SL", ["toplevel", "temperature", "pressure"], lon_first=True)
+
+
+@query(
+    "a10_summary_files",
+    f"""SELECT station_id, mae FROM ({MAE_SQL}) UNION ALL SELECT 'mean', avg(mae) FROM ({MAE_SQL})""",
+    num="mae",
+)
+def a10(t):
+    path = folder(t, "summary")
+    mae = t.predictions.groupBy("station_id").agg(F.avg(F.abs(F.col("pred") - F.col("gt"))).alias("mae"))
+    writers.write_csv(mae, f"{path}/per_station")
+    back = readers.read_table(t.spark, f"{path}/per_station", "station_id string, mae double")
+    writers.write_csv(back.agg(F.lit("mean").alias("station_id"), F.avg("mae").alias("mae")), f"{path}/summary")
+    return back.unionByName(readers.read_table(t.spark, f"{path}/summary", "station_id string, mae double"))
+
+
 @query(
     "a04_second_model",
     "SELECT starttime, forecasttime, u_wind AS u_wind_10m, v_wind AS v_wind_10m FROM ec",

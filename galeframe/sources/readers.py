@@ -98,6 +98,11 @@ def read_runs(
     return nan_to_null(utc(df)).filter(F.hour("starttime") == F.col("run_hour"))
 
 
+def read_table(spark: SparkSession, path: str, schema: str, sep: str = ";") -> DataFrame:
+    """A folder that ``write_csv`` wrote."""
+    return spark.read.schema(schema).csv(path, sep=sep, header=True)
+
+
 def read_second_model(spark: SparkSession, path: str, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Second model's runs with normalised column names, and the requested names it lacks.
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from galeframe.sources import preprocess, readers, writers
+from galeframe.sources import preprocess, readers, run_files, writers
 from galeframe.streaming import series as ST
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -43,6 +43,26 @@ def test_run_files(spark, tmp_path, kind, lon_first):
     assert readers.read_runs(spark, str(tmp_path), kind, [9], lon_first).count() == 1
 
 
+def test_run_tree_is_one_file_a_point_and_filters_choose_files(spark, tmp_path):
+    rows = [(T0 + timedelta(hours=h, days=d), float(lead), float("nan") if lead == 2 else float(h), f"{s:05d}", 47.5 + s / 100, 6.25 + s, "x")
+            for h in (6, 9, 12) for d in (0, 1) for lead in (1, 2, 3) for s in (1, 2, 40)]
+    df = spark.createDataFrame(rows, "starttime timestamp, forecasttime double, u double, station_id string, latitude double, longitude double, note string")
+    path, schema = str(tmp_path / "tree"), "starttime timestamp, forecasttime double, u double, note string"
+    for _ in range(2):  # a repeated write replaces its files
+        run_files.write_run_files(df, path, "SL", lon_first=True)
+    files = sorted(str(f.relative_to(path)) for f in (tmp_path / "tree").rglob("*") if f.is_file())
+    assert len(files) == 9 and files[0] == "SL/06/00001/7.25_47.51_SL.parquet"
+    (tmp_path / "tree/SL/06/00001/note.txt").write_text("x")
+    (tmp_path / "tree/SL/09/00001/7.25_47.51_SL.parquet").write_text("never opened")
+    tree = run_files.read_run_files(spark, path, schema, "SL", lon_first=True)
+    got = tree.filter((F.col("run_hour").isin(6, 12)) & (F.col("latitude") < 47.6)).collect()
+    assert sorted((r["starttime"].replace(tzinfo=timezone.utc), r["forecasttime"], r["u"], r["station_id"], r["latitude"], r["longitude"], r["note"]) for r in got if r["u"] is not None) == sorted(
+        r for r in rows if r[0].hour != 9 and r[4] < 47.6 and r[1] != 2.0)
+    assert len(got) == 24 and tree.filter((F.col("run_hour") == 9) & (F.col("station_id") == "00040")).count() == 6
+    assert tree.filter((F.col("run_hour") > 12) | F.col("run_hour").isNull()).filter("run_hour = 12").count() == 0
+    assert run_files.read_run_files(spark, str(tmp_path / "none"), schema).count() == 0
+
+
 def test_second_model_names(spark, tmp_path):
     pd.DataFrame({"starttime": [T0], "forecasttime": [1], "u_wind10m": [1.0], "v_wind_10m": [2.0]}).to_parquet(
         tmp_path / "a.parquet", coerce_timestamps="us", allow_truncated_timestamps=True
