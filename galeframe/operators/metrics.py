@@ -125,11 +125,12 @@ def model_deltas(left: DataFrame, right: DataFrame, key: str, value: str) -> Dat
     return both.unionByName(mean).unionByName(std)
 
 
-def signed_rank(df: DataFrame, delta: str, chunk: Column) -> DataFrame:
-    """Wilcoxon signed-rank statistic of paired deltas with the one-sided (greater) normal p-value.
+def signed_rank(df: DataFrame, delta: str, chunk: Column, exact_up_to: int = 50) -> DataFrame:
+    """Wilcoxon signed-rank statistic of paired deltas with the one-sided (greater) p-value.
 
-    Equal magnitudes share their mean rank. Ranks come from counts per magnitude, so
-    ``chunk`` (coarser than the magnitude, order-preserving) bounds what a task holds.
+    Equal magnitudes share their mean rank, missing deltas and zeros are left out. Ranks come from counts per magnitude, so
+    ``chunk`` (coarser than the magnitude, order-preserving) bounds what a task holds. The p-value is that of the exact
+    distribution for up to ``exact_up_to`` deltas without ties or zeros (``exact`` says so), else of the normal one.
     """
     magnitudes = df.filter(F.col(delta) != 0).select(F.abs(delta).alias("_m"), (F.col(delta) > 0).alias("_up"))
     tied = group_ranks(magnitudes, [], "_m", chunk(F.col("_m")), "_first").groupBy("_m", "_first").agg(
@@ -144,7 +145,24 @@ def signed_rank(df: DataFrame, delta: str, chunk: Column) -> DataFrame:
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
     z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4.0, spread)
-    return total.select("n", "w_plus", z.alias("z"), upper_tail(z).alias("p_value"))
+    zeros = df.agg(F.count_if(F.col(delta) == 0)).scalar()
+    exact = F.coalesce((F.col("n") <= exact_up_to) & (F.col("_ties") == 0) & (zeros == 0), F.lit(False))
+    p_value = F.when(exact, signed_rank_tail(F.col("n"), F.col("w_plus"))).otherwise(upper_tail(z))
+    return total.select("n", "w_plus", z.alias("z"), p_value.alias("p_value"), exact.alias("exact"))
+
+
+def signed_rank_tail(n: Column, w_plus: Column) -> Column:
+    """P(W >= w_plus) of the sum of the ranks 1 to n that get a positive sign, each with probability one half.
+
+    Each rank in turn adds the number of ways to reach a sum without it, so the table of ways has n (n + 1) / 2 + 1 entries.
+    """
+    size = (n * (n + 1) / 2 + 1).cast("int")
+    none = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - 1))
+    moved = lambda ways, r: F.concat(F.array_repeat(F.lit(0.0), r), F.slice(ways, F.lit(1), size - r))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, lambda w, r: F.zip_with(w, moved(w, r), lambda a, b: a + b))
+    first = w_plus.cast("int") + 1
+    tail = F.aggregate(F.slice(ways, first, F.greatest(size - first + 1, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n > 0, tail / F.pow(F.lit(2.0), n)).otherwise(F.lit(1.0))
 
 
 def upper_tail(z: Column) -> Column:

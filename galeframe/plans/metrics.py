@@ -313,7 +313,29 @@ def m18(t):
     delta = t.predictions.groupBy("station_id", "horizon").agg(
         F.round(M.mae("gt", "pred") - M.mae("gt", "nwp_ref"), 6).alias("d")
     )
-    return M.signed_rank(delta, "d", lambda m: F.floor(m * 1000))
+    return M.signed_rank(delta, "d", lambda m: F.floor(m * 1000)).drop("exact")
+
+
+LEAD_SQL = """SELECT horizon, avg(abs(pred - gt)) AS y, avg(abs(nwp_ref - gt)) AS x FROM predictions GROUP BY ALL"""
+
+
+@query(
+    "m18_signed_rank_exact",
+    f"""WITH l AS ({LEAD_SQL}), d AS (SELECT 'absolute' AS kind, round(y - x, 6) AS d FROM l UNION ALL SELECT 'relative', round(y / x - 1, 6) FROM l),
+    r AS (SELECT kind, d, CAST(rank() OVER (PARTITION BY kind ORDER BY abs(d)) AS INTEGER) AS k FROM d),
+    s AS (SELECT kind, count(*) AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w FROM r GROUP BY kind),
+    m AS (SELECT unnest(generate_series(0, 127)) AS m),
+    e AS (SELECT m, list_sum(list_transform(generate_series(0, 6), lambda i: CASE WHEN (m >> i) % 2 = 1 THEN i + 1 ELSE 0 END)) AS w FROM m)
+    SELECT kind, n, CAST(s.w AS DOUBLE) AS w_plus, (SELECT avg(CASE WHEN e.w >= s.w THEN 1e0 ELSE 0e0 END) FROM e) AS p_value, true AS exact FROM s""",
+    num="w_plus p_value",
+)
+def m18_exact(t):
+    leads = t.predictions.groupBy("horizon").agg(M.mae("gt", "pred").alias("y"), M.mae("gt", "nwp_ref").alias("x"))
+    out = []
+    for kind, delta in (("absolute", F.col("y") - F.col("x")), ("relative", F.col("y") / F.col("x") - 1)):
+        tested = M.signed_rank(leads.select(F.round(delta, 6).alias("d")), "d", lambda m: F.floor(m * 1000))
+        out.append(tested.select(F.lit(kind).alias("kind"), "n", "w_plus", "p_value", "exact"))
+    return out[0].unionByName(out[1])
 
 
 @query(

@@ -263,6 +263,27 @@ def test_pair_semivariance_equals_every_common_time(spark, monkeypatch, most):
         assert all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want)
 
 
+def test_exact_signed_rank_equals_enumeration(spark):
+    from itertools import product
+
+    from galeframe.operators import metrics as M
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 8, 12):
+        d = rng.normal(0.3, 1, n).round(9)
+        ranks = np.abs(d).argsort().argsort() + 1
+        w = ranks[d > 0].sum()
+        signs = np.array(list(product([0, 1], repeat=n)))
+        want = (signs @ np.arange(1, n + 1) >= w).mean()
+        got = M.signed_rank(spark.createDataFrame([(float(x),) for x in d], "d double"), "d", F.floor).first()
+        assert got["n"] == n and got["w_plus"] == w and got["exact"] and got["p_value"] == pytest.approx(want, abs=1e-12)
+    fifty = spark.range(1, 51).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id")).cast("double").alias("d"))
+    got = M.signed_rank(fifty, "d", F.floor).first()
+    assert got["exact"] and got["p_value"] == pytest.approx(M.signed_rank(fifty, "d", F.floor, 0).first()["p_value"], rel=0.02)
+    for more in ([1.0, 1.0, 2.0], [0.0, 1.0, 2.0]):  # ties, a zero
+        assert not M.signed_rank(spark.createDataFrame([(x,) for x in more], "d double"), "d", F.floor).first()["exact"]
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 3))
