@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.operators.ordering import first_rows
+from galeframe.operators.ordering import day_chunk, first_rows, interpolate_linear, positions
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -87,3 +87,18 @@ def forecast_at_stations(
     gap = F.abs(F.col("height") - target_height)
     best = first_rows(rows, ["station_id", "timestamp"], [gap, "height", "forecasttime"])
     return best.select("station_id", "timestamp", "starttime", F.col(value).alias("nwp_ref"))
+
+
+def filled_latest_forecast(
+    runs: DataFrame, by: Sequence[str], cols: Sequence[str], valid: str = "timestamp", start: str = "starttime",
+    lead: str = "forecasttime", chunk: Column | None = None,
+) -> DataFrame:
+    """Shortest-lead row per key and valid time, after gaps of ``cols`` are filled along all runs of a key.
+
+    The rows of a key stand in the order of valid time, lead and start. A gap is interpolated by row position between the
+    values around it, whichever run they are from, and the ends repeat the nearest value; then the shortest lead wins (of
+    equal ones the newest run). A key may be of any size: positions and neighbours are carried from chunk to chunk.
+    """
+    placed = positions(runs, by, [valid, lead, start], day_chunk(valid) if chunk is None else chunk, "_pos")
+    filled = interpolate_linear(placed, by, "_pos", cols).drop("_pos")
+    return first_rows(filled, [*by, valid], [lead, F.desc(start)])

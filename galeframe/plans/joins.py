@@ -142,6 +142,23 @@ def c07(t):
     return O.fill(joined, key, ["timestamp"], ["forecast"], O.day_chunk("timestamp"))
 
 
+@query(
+    "c07_latest_of_interpolated_runs",
+    """WITH o AS (SELECT grid_id, toplevel, "timestamp", forecasttime, starttime, qs,
+            row_number() OVER (PARTITION BY grid_id, toplevel ORDER BY "timestamp", forecasttime, starttime) AS p FROM nwp),
+    k AS (SELECT *, CASE WHEN qs IS NOT NULL THEN {'p': p, 'v': qs} END AS k FROM o),
+    n AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY grid_id, toplevel ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+        first_value(k IGNORE NULLS) OVER (PARTITION BY grid_id, toplevel ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM k)
+    SELECT grid_id, toplevel, "timestamp", forecasttime, coalesce(qs, a.v + (b.v - a.v) * (p - a.p) / (b.p - a.p), a.v, b.v) AS qs FROM n
+    QUALIFY row_number() OVER (PARTITION BY grid_id, toplevel, "timestamp" ORDER BY forecasttime, starttime DESC) = 1""",
+    num="toplevel forecasttime qs",
+    ts="timestamp",
+)
+def c07_interpolated(t):
+    out = FC.filled_latest_forecast(t.nwp, ["grid_id", "toplevel"], ["qs"])
+    return out.select("grid_id", "toplevel", "timestamp", "forecasttime", "qs")
+
+
 @query(
     "c08_nearest_grid_points",
     f"SELECT station_id, grid_id, CAST(rank AS INTEGER) AS rank, distance FROM ({nearest_sql(5, nodes='grid')})",
