@@ -19,6 +19,8 @@ from galeframe.operators.scale import fit_scaler, inverse_transform, transform
 
 # Most entries of a block of rows (2 MB), fewest rows of one, and nearest rows looked at exactly at first.
 CELLS, LEAST, FIRST = 1 << 18, 64, 256
+#: Columns of a row up to which distances of all pairs are taken at once.
+NARROW = 16
 
 
 def fill_from(df: DataFrame, source: DataFrame, on: Sequence[str], pairs: dict[str, str]) -> DataFrame:
@@ -60,6 +62,52 @@ def drop_sparse_times(df: DataFrame, col: str, share: float, ts: str = "timestam
 # -- nearest rows --------------------------------------------------------------
 
 
+def _best(tables: Sequence[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k smallest along the last axis of (distance, donor, value), by distance and then donor."""
+    for by in (1, 0):
+        at = np.argsort(tables[by], axis=-1, kind="stable")
+        tables = [np.take_along_axis(x, at, axis=-1) for x in tables]
+    return [x[..., :k] for x in tables]
+
+
+class NearestOfNarrowRows:
+    """``NearestRows`` for few columns: all exact distances of two blocks, then one sort a column."""
+
+    def __init__(self, goal: np.ndarray, k: int) -> None:
+        self.goal, self.k = goal, k
+        self.open = np.isnan(goal)
+        self.gaps = [np.flatnonzero(row) for row in self.open]
+        shape = (*goal.shape, k)
+        self.tables = [np.full(shape, np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, np.nan)]
+
+    def meet(self, keys: np.ndarray, have: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        keys, have = keys[order], have[order]
+        known = ~np.isnan(have)
+        rows = max(1, 4 * CELLS // max(1, have.size))
+        for start in range(0, len(self.goal), rows):
+            part = slice(start, start + rows)
+            away = self.goal[part, None, :] - have[None, :, :]
+            both = ~np.isnan(away)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = np.round(np.sqrt((np.where(both, away, 0.0) ** 2).sum(axis=2) * away.shape[2] / both.sum(axis=2)), 9)
+            distance[np.isnan(distance)] = np.inf
+            for c in np.flatnonzero(self.open[part].any(axis=0)):
+                want, give = np.flatnonzero(self.open[part, c]), np.flatnonzero(known[:, c])
+                near = distance[np.ix_(want, give)]
+                best = np.argsort(near, axis=1, kind="stable")[:, : self.k]  # donors are in the order of their keys
+                new = [np.take_along_axis(near, best, axis=1), keys[give][best], have[give, c][best]]
+                at = want + start, c
+                for table, x in zip(self.tables, _best([np.concatenate([t[at], n], axis=1) for t, n in zip(self.tables, new, strict=True)], self.k), strict=True):
+                    table[at] = x
+
+    def means(self, i: int) -> np.ndarray:
+        distance, _, value = (table[i, self.gaps[i]] for table in self.tables)
+        found = np.isfinite(distance)
+        with np.errstate(invalid="ignore"):
+            return np.where(found, value, 0.0).sum(axis=1) / found.sum(axis=1)
+
+
 class NearestRows:
     """The k rows nearest to each row of a block, for each of its gaps; donors come block by block."""
 
@@ -122,11 +170,7 @@ class NearestRows:
             table[columns, place] = v
         old = self.distance[i], self.donor[i], self.value[i]
         if np.isfinite(old[0]).any():
-            new = [np.concatenate(pair, axis=1) for pair in zip(old, new, strict=True)]
-            for sort_by in (1, 0):  # by distance, then by donor
-                at = np.argsort(new[sort_by], axis=1, kind="stable")
-                new = [np.take_along_axis(x, at, axis=1) for x in new]
-            new = [x[:, : self.k] for x in new]
+            new = _best([np.concatenate(pair, axis=1) for pair in zip(old, new, strict=True)], self.k)
         if np.isfinite(limit) and new[0][:, -1].max() >= limit:
             return False
         self.distance[i], self.donor[i], self.value[i] = new
@@ -188,7 +232,7 @@ def nearest_rows_mean(
                         yield found(name, keys, nearest)
                     name = here
                     keys, goal = _block(batch.column("_open")[i].values)
-                    nearest = NearestRows(goal, k)
+                    nearest = (NearestOfNarrowRows if goal.shape[1] <= NARROW else NearestRows)(goal, k)
                 nearest.meet(*_block(batch.column("_rows")[i].values))
         if nearest is not None:
             yield found(name, keys, nearest)

@@ -191,8 +191,9 @@ def brute_impute(x, keys, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 7, None])
-def test_nearest_rows_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "narrow"), [(1, 16), (7, 0), (None, 16)])
+def test_nearest_rows_equal_brute_force(spark, monkeypatch, block, narrow):
+    monkeypatch.setattr(I, "NARROW", narrow)  # the closure of the task takes it along
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 5))
     x[rng.random(x.shape) < 0.25] = np.nan
@@ -216,14 +217,14 @@ def test_nearest_rows_of_few_candidates_at_a_time(monkeypatch):
     keys = rng.permutation(200)
     order = np.argsort(keys)
     want = brute_impute(x[order], keys[order], 3)[np.argsort(order)]
-    for first, blocks in ((1, 1), (3, 4), (256, 7)):
+    for first, blocks, kind in ((1, 1, I.NearestRows), (3, 4, I.NearestRows), (256, 7, I.NearestRows), (1, 1, I.NearestOfNarrowRows), (1, 5, I.NearestOfNarrowRows)):
         monkeypatch.setattr(I, "FIRST", first)
-        nearest = I.NearestRows(x, 3)
+        nearest = kind(x, 3)
         for at in np.array_split(np.arange(200), blocks):
             nearest.meet(keys[at], x[at])
         for i, gaps in enumerate(nearest.gaps):
-            found = np.isfinite(nearest.distance[i][:, 0])
-            np.testing.assert_allclose(nearest.means(i)[found], want[i, gaps][found], rtol=1e-12)
+            mean = nearest.means(i)
+            np.testing.assert_allclose(np.where(np.isnan(mean), want[i, gaps], mean), want[i, gaps], rtol=1e-12)
 
 
 def test_station_matrix_in_any_blocks(spark):
