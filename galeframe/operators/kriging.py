@@ -162,13 +162,18 @@ def in_direction(bearing: Column, azimuth: Column, tolerance: float) -> Column:
 # -- fit -----------------------------------------------------------------------
 
 
+# Fixed values of the fit: share of the first semivariance taken as nugget at the start, share of the sill at which
+# the range starts, least partial sill and range, most sill and range in multiples of the largest values.
+NUGGET_START, SILL_START, LEAST_FIT, MOST_SILL, MOST_RANGE = 0.5, 0.8, 1e-6, 3, 2
+
+
 def _fit(lags: np.ndarray, gamma: np.ndarray, model: str, rounds: int = 200) -> tuple[float, float, float]:
     """Damped least squares inside the bounds, started at 80 % of the sill."""
     sill = float(gamma.max())
-    at80 = min(int(np.searchsorted(gamma, 0.8 * sill)), len(lags) - 1)
-    start = np.array([gamma[0] * 0.5, sill - gamma[0] * 0.5, lags[at80]])
-    low = np.array([0.0, 1e-6, 1e-6])
-    high = np.array([3 * sill, 3 * sill, 2 * lags[-1]])
+    reached = min(int(np.searchsorted(gamma, SILL_START * sill)), len(lags) - 1)
+    start = np.array([gamma[0] * NUGGET_START, sill - gamma[0] * NUGGET_START, lags[reached]])
+    low = np.array([0.0, LEAST_FIT, LEAST_FIT])
+    high = np.array([MOST_SILL * sill, MOST_SILL * sill, MOST_RANGE * lags[-1]])
     if not np.all(low < high):
         return tuple(start)
 

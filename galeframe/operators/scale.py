@@ -103,8 +103,8 @@ def principal_components(
                 matrix = np.zeros((size, size))
                 for (i, j), v in zip(index, np.asarray(values, dtype=float)):
                     matrix[i, j] = matrix[j, i] = v
-                order = np.argsort(np.linalg.eigvalsh(matrix))[::-1][:n]
-                vectors = np.linalg.eigh(matrix)[1][:, order].T
+                sizes, vectors = np.linalg.eigh(matrix)
+                vectors = vectors[:, np.argsort(sizes)[::-1][:n]].T
                 # of equally large loadings, the first column's
                 peak = vectors[np.arange(n), np.round(np.abs(vectors), 9).argmax(axis=1)]
                 loadings.append((vectors * np.sign(peak)[:, None]).tolist())
