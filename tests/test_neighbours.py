@@ -137,3 +137,28 @@ def test_k_nearest_on_the_ellipsoid(spark, kind):
         order = np.argsort(km)[:6]
         assert rows["near_id"].tolist() == candidates["id"].to_numpy()[order].tolist()
         np.testing.assert_allclose(rows["distance"], km[order], rtol=1e-9)
+
+
+def test_ring_is_bounded_where_points_are_dense(spark):
+    n = 4000
+    lat, lon = RNG.uniform(50, 50.4, n), RNG.uniform(8, 8.6, n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "latitude": lat, "longitude": lon}))
+    pairs = N._ring_pairs(df, df, 3, "id", "id", "haversine", True)
+    assert pairs.count() < 120 * n  # over 1000 a point with the cells of level 0 alone
+
+
+def test_neighbours_of_repeated_ids(spark):
+    spots = [("a", 50.0, 8.0)] * 5 + [("b", 50.3, 8.0), ("c", 50.6, 8.0), ("d", 49.0, 8.0)]
+    df = spark.createDataFrame(spots, "station_id string, latitude double, longitude double")
+    got = N.k_nearest(df, df, 2, candidate_key="station_id", exclude_self=True).filter("target_id = 'b'").collect()
+    assert [r["near_id"] for r in got] == ["a", "a"]
+    got = N.k_nearest(df.distinct(), df, 1, candidate_key="station_id", exclude_self=True).filter("target_id = 'a'").collect()
+    assert [r["near_id"] for r in got] == ["b"]
+
+
+def test_radius_join_is_spread_over_tasks(spark):
+    df = spark.createDataFrame(points("even", 300)).coalesce(1)
+    pairs = N.within(df, df, 400.0, "id", "id")
+    assert pairs.rdd.getNumPartitions() >= N.spread(pairs)
+    cells = N._blocks(spark.createDataFrame(points("piled", 3000)), "id", "near", "haversine", F.lit(400.0))
+    assert cells.agg(F.max(F.size("_near"))).first()[0] < 2 * N.BLOCK
