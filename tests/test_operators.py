@@ -545,3 +545,23 @@ def test_interpolation_on_the_ellipsoid(spark, stations):
     assert len(sphere) == len(ellipsoid) == 96
     gap = (sphere["idw_pred"] - ellipsoid["idw_pred"]).abs()
     assert 0 < gap.max() < 0.05
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_unlisted_pairs_equal_listed_ones(spark, monkeypatch, turned):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(K, "WIDE_TILE", 3)
+    names = [f"{i:02d}" for i in range(14)]
+    spots = [(n, float(47 + rng.uniform(0, 3)), float(8 + rng.uniform(0, 3))) for n in names] + [("13", 48.0, 9.0), ("14", None, 8.0)]
+    places = spark.createDataFrame(spots, "station_id string, latitude double, longitude double")
+    rows = [(n, "ab"[h % 2], t, None if rng.random() < 0.5 else float(rng.normal(9, 3))) for n in names[:-2] for h, t in enumerate(hours(24 * 40))]
+    rows += [("13", "a", t, 1.0) for t in hours(30)]
+    series = spark.createDataFrame(rows, "station_id string, part string, timestamp timestamp, v double")
+    pairs = K.station_pairs(places, 200.0, K.anisotropic_axes(places.dropDuplicates(["station_id"]), 135.0, 0.6), 202.0) if turned else K.station_pairs(places, 200.0)
+    got, want = (
+        sorted((r["part"], r["i"], r["j"], round(r["distance"], 6), round(r["semivariance"], 9)) for r in K.pair_semivariance(series, p, "v", by=["part"], stations=places).collect())
+        for p in (pairs, pairs.rows())
+    )
+    assert got == want and len(got) > 60
+    plan = K.pair_semivariance(series, pairs, "v", stations=places)._jdf.queryExecution().optimizedPlan().toString()
+    assert "target_id" not in plan  # no table of pairs, which a shuffle would carry
