@@ -32,15 +32,19 @@ def fill_from(df: DataFrame, source: DataFrame, on: Sequence[str], pairs: dict[s
 
 
 def fill_from_wide(
-    df: DataFrame, wide: DataFrame, ts: str, columns: dict[str, str], column: str, step_seconds: int
+    df: DataFrame, wide: DataFrame, ts: str, columns: dict[str, str] | str, column: str, step_seconds: int
 ) -> DataFrame:
     """Fill from a table with one column per station, brought to the target frequency first.
 
-    ``columns`` maps the wide table's column names to station ids.
+    ``columns`` maps the wide table's column names to station ids, or names a column that holds a map from station ids to
+    values: a plan has room for some hundred columns, a row for any number of stations.
     """
-    long = wide.unpivot([ts], [*columns], "_name", "_value")
-    names = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv])
-    long = long.select(names[F.col("_name")].alias("station_id"), ts, "_value")
+    if isinstance(columns, str):
+        long = wide.select(ts, F.explode(columns).alias("station_id", "_value"))
+    else:
+        long = wide.unpivot([ts], [*columns], "_name", "_value")
+        names = F.create_map(*[F.lit(x) for kv in columns.items() for x in kv])
+        long = long.select(names[F.col("_name")].alias("station_id"), ts, "_value")
     regular = resample_mean(long, ["station_id"], ts, step_seconds, ["_value"])
     return fill_from(df, regular, ["station_id", ts], {column: "_value"})
 
@@ -298,12 +302,13 @@ def impute_matrix(
     rows = rows.withColumn("_all", F.sort_array(F.concat("_known", absent)))
     rows = rows.withColumn("_x", F.concat(*[F.col(f"_all.{n}") for n in parts])).drop("_known", "_all")
     values = nearest_rows_mean(rows, [], ts, "_x", k, block_rows)
-    size = F.size("_ids")
-    cells = rows.select(ts, "_ids", F.posexplode("_x").alias("column", "_v"))
-    cells = cells.join(values, [ts, "column"], "left").select(
-        ts, F.get("_ids", F.col("column") % size).alias("station_id"),
-        F.floor(F.col("column") / size).alias("_part"), F.coalesce("_v", "value").alias("_v"),
-    )
+    # names come by number from a thin table: an entry that carried the whole list of them would be as long as its row
+    names = stations.select(F.posexplode("s").alias("_at", "station_id"))
+    size = stations.select(F.size("s")).scalar()
+    cells = rows.select(ts, F.posexplode("_x").alias("column", "_v")).join(values, [ts, "column"], "left")
+    cells = cells.select(
+        ts, (F.col("column") % size).alias("_at"), F.floor(F.col("column") / size).alias("_part"), F.coalesce("_v", "value").alias("_v")
+    ).join(names, "_at")
     if not circular:
         return cells.select("station_id", ts, F.col("_v").alias(col))
     pick = [F.max(F.when(F.col("_part") == i, F.col("_v"))) for i in (0, 1)]

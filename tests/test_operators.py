@@ -565,3 +565,20 @@ def test_unlisted_pairs_equal_listed_ones(spark, monkeypatch, turned):
     assert got == want and len(got) > 60
     plan = K.pair_semivariance(series, pairs, "v", stations=places)._jdf.queryExecution().optimizedPlan().toString()
     assert "target_id" not in plan  # no table of pairs, which a shuffle would carry
+
+
+def test_wide_table_as_a_map(spark):
+    from galeframe.operators.reshape import pivot_mean, pivot_mean_map
+
+    df = spark.createDataFrame([(s, t, None if i % 2 else 1.0) for s in "abc" for i, t in enumerate(hours(6))], "station_id string, timestamp timestamp, v double")
+    seen = spark.createDataFrame([(s, t, float(i)) for s in ("a", "b", None) for i, t in enumerate(hours(5))], "station_id string, timestamp timestamp, x double")
+    wide, of_map = pivot_mean(seen, ["timestamp"], "station_id", ["a", "b"], {"x": "x_{}"}), pivot_mean_map(seen, ["timestamp"], "station_id", "x", "m")
+    ways = [sorted(map(tuple, I.fill_from_wide(df, w, "timestamp", c, "v", 3600).collect()), key=str) for w, c in ((wide, {"x_a": "a", "x_b": "b"}), (of_map, "m"))]
+    assert ways[0] == ways[1] and of_map.columns == ["timestamp", "m"]
+
+
+def test_entries_of_a_station_matrix_do_not_carry_its_names(spark):
+    df = spark.createDataFrame([(f"{s}", t, float(s)) for s in range(3) for t in hours(5)], "station_id string, timestamp timestamp, v double")
+    plan = I.impute_matrix(df, "timestamp", "v", 2)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "posexplode(_x" in x]
+    assert lines and not any("_ids" in x for x in lines)
