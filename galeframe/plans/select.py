@@ -139,7 +139,8 @@ def a07(t):
 )
 def a09(t):
     path = folder(t, "csv")
-    writers.write_csv(t.raw.select("event_id", "station_id", "reading"), f"{path}/in")
+    # a station in one file of the tree is one folder of the target, not one for each file
+    writers.write_csv(t.raw.select("event_id", "station_id", "reading").repartition("station_id"), f"{path}/in")
     writers.csv_to_parquet(
         t.spark, f"{path}/in", f"{path}/out", "event_id bigint, station_id string, reading double", ["station_id"]
     )
