@@ -212,10 +212,11 @@ def repeated_spans(docs: DataFrame, words: int = 50, broadcast_bytes: int = 64 <
     return saved(found.groupBy(*KEY).agg(most, F.max("longest").alias("longest")), "spans")
 
 
-def remove_repeats(docs: DataFrame, words: int = 50, broadcast_bytes: int = 64 << 20, extend: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: int = 50, broadcast_bytes: int = 64 << 20, extend: bool = True) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, the words that stay joined by single spaces.
 
-    With ``extend`` also ``longest``, the length of the last level in which the document has a repeated window, 0 if none.
+    With ``extend`` levels go on until none is left; also ``longest``, the length of the last level in which the document has
+    a repeated window, 0 if none.
     """
     if reserved := {c.lower() for c in docs.columns} & {*KEY, "_text", "_spans"}:
         raise ValueError(f"reserved column names: {sorted(reserved)}")

@@ -108,3 +108,13 @@ def test_query_against_brute_force(spark):
     got = [tuple(r) for r in S.query(spark, folder).toLocalIterator()]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert sorted(got) == sorted((d, n, k, sha(t)) for d, n, k, t, _ in brute(rows, 50))
+
+
+def test_query_goes_on_to_an_empty_level(spark, monkeypatch):
+    lengths, doubled = [], S.doubled
+    monkeypatch.setattr(S, "doubled", lambda survivors, length: lengths.append(length) or doubled(survivors, length))
+    own = " ".join(f"w{i}" for i in range(230))
+    df = spark.createDataFrame([(1, own), (2, "x " + own)], "doc_id long, text string")
+    monkeypatch.setattr(S, "documents", lambda spark, folder: df)
+    assert [r["n_removed"] for r in sorted(S.query(spark, "").collect())] == [0, 230]
+    assert lengths == [50, 100, 200]
