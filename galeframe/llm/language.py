@@ -32,7 +32,7 @@ from galeframe.llm.common import documents, parts
 BUCKETS = 1 << 14
 ORDERS = 3
 #: Characters whose n-grams are hashed at a time.
-SLICE = 1 << 19
+SLICE = 1 << 17
 BOUNDARY = "\n\n"
 UNKNOWN = "und"
 
