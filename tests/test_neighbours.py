@@ -162,3 +162,15 @@ def test_radius_join_is_spread_over_tasks(spark):
     assert pairs.rdd.getNumPartitions() >= N.spread(pairs)
     cells = N._blocks(spark.createDataFrame(points("piled", 3000)), "id", "near", "haversine", F.lit(400.0))
     assert cells.agg(F.max(F.size("_near"))).first()[0] < 2 * N.BLOCK
+
+
+def test_pairs_are_bounded_where_candidates_gather_far_from_targets(spark):
+    lat = np.add.outer(50 + 0.2 * np.arange(4), np.linspace(0, 0.02, 160)).ravel()
+    candidates = pd.DataFrame({"id": np.arange(640), "latitude": lat, "longitude": 8.0})
+    targets = pd.DataFrame({"id": np.arange(6), "latitude": 50.09 + 0.2 * (np.arange(6) % 3), "longitude": 8.01 + 0.001 * np.arange(6)})
+    sides = spark.createDataFrame(targets), spark.createDataFrame(candidates)
+    pairs = N._ring_pairs(*sides, 3, "id", "id", "haversine", False)
+    assert pairs.count() < 150 * 6  # each of the clumps has 160 points
+    got = N.k_nearest(*sides, 3, "id", "id").toPandas().sort_values(["target_id", "rank"])
+    for key, want in brute(targets, candidates, 3, "haversine", False).items():
+        np.testing.assert_allclose(got.loc[got["target_id"] == key, "distance"], want, rtol=1e-9)

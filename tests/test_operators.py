@@ -1,5 +1,6 @@
 """Operators without SQL, and invariants, on small fixtures."""
 
+import re
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -582,3 +583,12 @@ def test_entries_of_a_station_matrix_do_not_carry_its_names(spark):
     plan = I.impute_matrix(df, "timestamp", "v", 2)._jdf.queryExecution().optimizedPlan().toString()
     lines = [x for x in plan.splitlines() if "posexplode(_x" in x]
     assert lines and not any("_ids" in x for x in lines)
+
+
+def test_leave_one_out_sends_rows_not_partial_sums(spark):
+    series = spark.createDataFrame([("a", T0, 1.0, 2.0)], "station_id string, timestamp timestamp, z double, x double")
+    weights = spark.createDataFrame([("b", "a", 1, 3.0, 1.0)], "target_id string, near_id string, rank int, distance double, weight double")
+    plan = K.leave_one_out(series, weights, "z", 1, covariate="x")._jdf.queryExecution().executedPlan().toString()
+    steps = re.findall("HashAggregate|Exchange", plan)
+    at = steps.index("HashAggregate")
+    assert steps[at : at + 3] == ["HashAggregate", "HashAggregate", "Exchange"]
