@@ -174,3 +174,16 @@ def test_pairs_are_bounded_where_candidates_gather_far_from_targets(spark):
     got = N.k_nearest(*sides, 3, "id", "id").toPandas().sort_values(["target_id", "rank"])
     for key, want in brute(targets, candidates, 3, "haversine", False).items():
         np.testing.assert_allclose(got.loc[got["target_id"] == key, "distance"], want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("cells", [N.CELLS, 0])
+def test_targets_stay_in_their_tasks_while_cells_are_opened(spark, monkeypatch, capsys, cells):
+    monkeypatch.setattr(N, "CELLS", cells)
+    candidates, targets = points("clustered", 900), points("clustered", 60)
+    sides = spark.createDataFrame(targets), spark.createDataFrame(candidates)
+    N._ring_pairs(*sides, 3, "id", "id", "haversine", False).explain()
+    dealt = capsys.readouterr().out.count("Exchange hashpartitioning(target_id")
+    assert not cells or dealt <= 2  # the distinct targets and their tasks, no more for a level
+    got = N.k_nearest(*sides, 3, "id", "id").toPandas().sort_values(["target_id", "rank"])
+    for key, want in brute(targets, candidates, 3, "haversine", False).items():
+        np.testing.assert_allclose(got.loc[got["target_id"] == key, "distance"], want, rtol=1e-9, atol=1e-6)
