@@ -41,8 +41,12 @@ def fingerprint(text: str, words: int = 3) -> int:
     n = max(1, len(parts) - words + 1)
     h = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter((h(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 18):  # bounded work space for very long texts
         part = hashes[at : at + (1 << 18)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
