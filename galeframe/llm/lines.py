@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm.common import ROW, SPACES, bounded, documents, hash128, lower_ascii, new_path, row_key, saved, text_of
+from galeframe.llm.common import ROW, SPACES, bounded, documents, hash128, lower_ascii, new_path, row_key, saved, scratch, text_of, written
 
 KEY = ["ka", "kb"]
 
@@ -38,9 +38,9 @@ class Runs:
 
     def _store(self, run: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
-        layout = run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", new_path(self.spark, "run"))
-        layout.saveAsTable(name)
-        return self.spark.table(name)
+        path = new_path(self.spark, "run")
+        run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        return written(self.spark.table(name), path, name)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -117,23 +117,25 @@ def drop_lines(
 ) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped; a frequent line stays only in the largest doc_id that holds it."""
     text = text_of("text")
-    lines = saved(
-        docs.select("doc_id", *row_key(), line_keys(text, min_chars).alias("_found"))
-        .select("doc_id", *ROW, F.inline(with_first("_found")))
-        .withColumn("batch", F.pmod(ROW[0], F.lit(batches)).cast("int")),
-        "lines",
-        by=("batch",),
-    )
-    frequent = saved(frequent_lines(lines, batches, min_docs, fan), "frequent")
-    # A set, because repeated rows share their key and their lines.
-    gone = (
-        lines.join(frequent, KEY)
-        .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-        .groupBy(*ROW)
-        .agg(F.collect_set("at").alias("_gone"))
-    )
+    with scratch() as keep:
+        lines = saved(
+            docs.select("doc_id", *row_key(), line_keys(text, min_chars).alias("_found"))
+            .select("doc_id", *ROW, F.inline(with_first("_found")))
+            .withColumn("batch", F.pmod(ROW[0], F.lit(batches)).cast("int")),
+            "lines",
+            by=("batch",),
+        )
+        frequent = saved(frequent_lines(lines, batches, min_docs, fan), "frequent")
+        # A set, because repeated rows share their key and their lines.
+        gone = (
+            lines.join(frequent, KEY)
+            .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+            .groupBy(*ROW)
+            .agg(F.collect_set("at").alias("_gone"))
+        )
+        gone = keep(saved(gone, "gone"))
     # Texts stay where they are as long as the places of their dropped lines can come to them.
-    gone = bounded(saved(gone, "gone"), "_gone", broadcast_bytes)
+    gone = bounded(gone, "_gone", broadcast_bytes)
     split = docs.withColumns(dict(zip(ROW, row_key(), strict=True))).join(gone, ROW, "left").withColumn("_lines", F.split(text, "\n"))
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(places, F.coalesce("_gone", F.array().cast("array<int>"))), lambda i: F.get("_lines", i))
