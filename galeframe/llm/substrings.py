@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeframe.llm.common import bounded, documents, parts, saved, text_of
+from galeframe.llm.common import bounded, documents, parts, saved, scratch, text_of
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KEY = ["_order", "_text_hash"]
@@ -142,6 +142,13 @@ def shared(rows: DataFrame, keys: list[str], name: str = "shared") -> DataFrame:
     return saved(ends.filter("low < high").select(*keys, "low"), name)
 
 
+def surviving(windows: DataFrame) -> DataFrame:
+    """The windows (key, ha, hb, s) that documents of different order hold, with the smallest of them (low); their table is gone after."""
+    with scratch() as keep:
+        windows = saved(windows, "windows")
+        return keep(saved(windows.join(shared(windows, ["ha", "hb"]), ["ha", "hb"]), "survivors"))
+
+
 def full_windows(found: DataFrame, words: int) -> DataFrame:
     """(key, ha, hb, s) of the full windows around the places of a table (key, text, places)."""
 
@@ -165,16 +172,17 @@ def full_windows(found: DataFrame, words: int) -> DataFrame:
 
 def doubled(survivors: DataFrame, length: int) -> DataFrame:
     """(key, ha, hb, s) of the windows of twice the length whose halves both survive."""
-    second = survivors.select(*KEY, (F.col("s") - length).alias("s"), F.col("ha").alias("ha2"), F.col("hb").alias("hb2"))
-    both = survivors.distinct().join(second.distinct(), [*KEY, "s"])
+    ahead = Window.partitionBy(*KEY).orderBy("s").rangeBetween(length, length)  # a document at a time, of which a task holds the text too
+    both = survivors.select(*KEY, "ha", "hb", "s").withColumns({"ha2": F.max("ha").over(ahead), "hb2": F.max("hb").over(ahead)})
+    both = both.filter(F.col("ha2").isNotNull())
     return both.select(*KEY, F.xxhash64("ha", "ha2").alias("ha"), F.xxhash64(F.lit(1), "hb", "hb2").alias("hb"), "s")
 
 
 def spans_of(windows: DataFrame, words: int) -> DataFrame:
-    """(key, spans) of windows (key, s): spans that don't touch, from one pass over the sorted starts."""
+    """(key, spans) of windows (key, s), repeats included: spans that don't touch, from one pass over the sorted starts."""
     in_order = Window.partitionBy(*KEY).orderBy("s")
     opens = F.coalesce(F.col("s") - F.lag("s").over(in_order) > words, F.lit(True)).cast("int")
-    rows = windows.distinct().withColumn("opens", opens)
+    rows = windows.withColumn("opens", opens)
     rows = rows.withColumn("island", F.sum("opens").over(in_order))
     spans = rows.groupBy(*KEY, "island").agg(F.min("s").alias("start"), (F.max("s") + words).cast("int").alias("end"))
     return spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -185,31 +193,34 @@ def repeated_spans(docs: DataFrame, words: int = 50, broadcast_bytes: int = 64 <
 
     With ``extend`` levels go on beyond ``words`` until no candidate survives, else ``longest`` is of no use.
     """
-    table = saved(survey(docs, words), "survey")
-    sets = table.groupBy("wa", "wb").agg(F.min(KEY[0]).alias("first"), F.max(KEY[0]).alias("last")).filter("first < last")
-    marked = table.join(saved(sets.drop("last"), "copies"), ["wa", "wb"], "left")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     nothing = F.array().cast(SPANS)
     levels = F.floor(F.log2(F.col("n_words") / words))
-    copies = marked.filter(F.col("first").isNotNull() & (F.col("n_words") >= words)).select(
-        *KEY, F.when(F.col(KEY[0]) > F.col("first"), whole).otherwise(nothing).alias("spans"), (F.lit(words) * F.pow(F.lit(2.0), levels)).cast("long").alias("longest")
-    )
-    halves = saved(marked.filter(F.col("first").isNull() | (F.col(KEY[0]) == F.col("first"))).select(*KEY, F.inline("anchors")), "halves")
-    places = halves.join(shared(halves, ["h"]).select("h"), "h").groupBy(*KEY).agg(F.collect_set("p").alias("places"))
-    places = saved(places, "places")
-    texts = keyed(docs).select(*KEY, text_of("text").alias("text"))
-    windows = saved(full_windows(texts.join(bounded(places, "places", broadcast_bytes), KEY), words), "windows")
-    survivors = saved(windows.join(shared(windows, ["ha", "hb"]), ["ha", "hb"]), "survivors")
-    spans = spans_of(survivors.filter(F.col(KEY[0]) > F.col("low")).select(*KEY, "s"), words)
-    longest, length = survivors.select(*KEY, F.lit(words).cast("long").alias("longest")).distinct(), words
-    while extend and not survivors.isEmpty():
-        windows = saved(doubled(survivors, length), "windows")
-        survivors, length = saved(windows.join(shared(windows, ["ha", "hb"]), ["ha", "hb"]), "survivors"), 2 * length
-        longest = longest.unionByName(survivors.select(*KEY, F.lit(length).cast("long").alias("longest")).distinct())
-    found = longest.join(spans, KEY, "left").select(*KEY, F.coalesce("spans", nothing).alias("spans"), "longest").unionByName(copies)
-    # The first of equal documents is found by either way; what it loses is empty in one of them.
-    most = F.max_by("spans", F.size("spans")).alias("spans")
-    return saved(found.groupBy(*KEY).agg(most, F.max("longest").alias("longest")), "spans")
+    with scratch() as keep:
+        with scratch() as found:
+            with scratch() as still:
+                table = saved(survey(docs, words), "survey")
+                sets = table.groupBy("wa", "wb").agg(F.min(KEY[0]).alias("first"), F.max(KEY[0]).alias("last")).filter("first < last")
+                marked = table.join(saved(sets.drop("last"), "copies"), ["wa", "wb"], "left")
+                copies = marked.filter(F.col("first").isNotNull() & (F.col("n_words") >= words)).select(
+                    *KEY, F.when(F.col(KEY[0]) > F.col("first"), whole).otherwise(nothing).alias("spans"), (F.lit(words) * F.pow(F.lit(2.0), levels)).cast("long").alias("longest")
+                )
+                copies = found(still(saved(copies, "whole")))
+                single = marked.filter(F.col("first").isNull() | (F.col(KEY[0]) == F.col("first")))
+                halves = still(saved(single.select(*KEY, F.inline("anchors")), "halves"))
+            places = halves.join(shared(halves, ["h"]).select("h"), "h").groupBy(*KEY).agg(F.collect_set("p").alias("places"))
+            places = found(saved(places, "places"))
+        texts = keyed(docs).select(*KEY, text_of("text").alias("text"))
+        survivors = surviving(full_windows(texts.join(bounded(places, "places", broadcast_bytes), KEY), words))
+        spans = spans_of(survivors.filter(F.col(KEY[0]) > F.col("low")).select(*KEY, "s"), words)
+        longest, length = survivors.select(*KEY, F.lit(words).cast("long").alias("longest")).distinct(), words
+        while extend and not survivors.isEmpty():
+            survivors, length = surviving(doubled(survivors, length)), 2 * length
+            longest = longest.unionByName(survivors.select(*KEY, F.lit(length).cast("long").alias("longest")).distinct())
+        ends = longest.join(spans, KEY, "left").select(*KEY, F.coalesce("spans", nothing).alias("spans"), "longest").unionByName(copies)
+        # The first of equal documents is found by either way; what it loses is empty in one of them.
+        most = F.max_by("spans", F.size("spans")).alias("spans")
+        return keep(saved(ends.groupBy(*KEY).agg(most, F.max("longest").alias("longest")), "spans"))
 
 
 def remove_repeats(docs: DataFrame, words: int = 50, broadcast_bytes: int = 64 << 20, extend: bool = True) -> DataFrame:
