@@ -592,3 +592,38 @@ def test_leave_one_out_sends_rows_not_partial_sums(spark):
     steps = re.findall("HashAggregate|Exchange", plan)
     at = steps.index("HashAggregate")
     assert steps[at : at + 3] == ["HashAggregate", "HashAggregate", "Exchange"]
+
+
+def test_groups_of_tiles_meet_once_and_travel_little(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    for name, n in {"WIDE_TILE": 2, "GROUP": 3, "MOST_GROUP": 3, "SLOTS": 50, "DENSE_BYTES": 4000}.items():
+        monkeypatch.setattr(K, name, n)
+    names = [f"{i:03d}" for i in range(40)]
+    spots = [(n, float(47 + rng.uniform(0, 3)), float(8 + rng.uniform(0, 3))) for n in names]
+    places = spark.createDataFrame(spots, "station_id string, latitude double, longitude double")
+    times = hours(24 * 40)
+    values = {n: np.where(rng.random(len(times)) < 0.6, np.nan, rng.normal(9, 3, len(times))) for n in names}
+    values["007"][:] = np.nan
+    values["008"][24:] = np.nan
+    late = T0 + timedelta(minutes=7)  # a time that only some have
+    rows = [(n, t, None if np.isnan(v) else float(v)) for n, own in values.items() for t, v in zip(times, own, strict=True)]
+    rows += [(n, late, float(k)) for k, n in enumerate(names[:5])]
+    series = spark.createDataFrame(rows, "station_id string, timestamp timestamp, v double")
+    pairs = K.station_pairs(places, 250.0)
+    got = {(r["i"], r["j"]): (r["distance"], r["semivariance"]) for r in K.pair_semivariance(series, pairs, "v").collect()}
+    apart = {(r["i"], r["j"]): r["distance"] for r in pairs.rows().collect()}
+    want = {}
+    for (a, b), distance in apart.items():
+        gaps = values[a] - values[b]
+        gaps = np.append(gaps[~np.isnan(gaps)], [names.index(a) - names.index(b)] if b < "005" else [])
+        if len(gaps):
+            want[a, b] = distance, 0.5 * np.mean(gaps**2)
+    assert got.keys() == want.keys() and len(got) > 500
+    for pair, found in got.items():
+        assert found == pytest.approx(want[pair], rel=1e-9)
+
+    # 20 tiles in 7 groups, two spans: half of the groups and the tasks of a group, not all tiles within reach
+    met = K._brought_together(series, pairs, "v", "timestamp", [], "month")
+    sides = {r["_side"]: r["n"] for r in met.groupBy("_side").agg(F.count("*").alias("n")).collect()}
+    shares = met.agg(F.count_distinct("_part")).first()[0]
+    assert sides[0] <= 2 * 20 * shares and sides[1] <= 2 * 20 * 4.5
