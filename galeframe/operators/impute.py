@@ -7,13 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from galeframe.functions.physics import cyclical
-from galeframe.operators.ordering import day_chunk, fill, first_rows
+from galeframe.operators.ordering import day_chunk, fill, first_rows, spread
 from galeframe.operators.reshape import resample_mean
 from galeframe.operators.scale import fit_scaler, inverse_transform, transform
 
@@ -21,6 +21,8 @@ from galeframe.operators.scale import fit_scaler, inverse_transform, transform
 CELLS, LEAST, FIRST = 1 << 18, 64, 256
 #: Columns of a row up to which distances of all pairs are taken at once.
 NARROW = 16
+#: Most times of a station matrix whose table of distances fits a task.
+TIMES = 2048
 
 
 def fill_from(df: DataFrame, source: DataFrame, on: Sequence[str], pairs: dict[str, str]) -> DataFrame:
@@ -280,18 +282,174 @@ def impute_rows(
     return fill_from(df, back, [*by, ts], {c: c for c in cols})
 
 
+class _Tile:
+    """Values of some stations at all times, by station and part, with a mask of what is there and of what is a number."""
+
+    def __init__(self, stations: pa.Array, times: pa.Array, parts: int) -> None:
+        self.n, self.names = len(stations), stations.field("station_id")
+        order = times.field("t")
+        first = order.null_count  # a missing time comes first
+        known = order.slice(first).to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = stations.field("e")
+        flat, at = entries.flatten(), np.repeat(np.arange(self.n), entries.value_lengths().to_numpy())
+        slot = np.searchsorted(known, flat.field("t").to_numpy()) + first
+        self.values = np.zeros((parts, self.n, len(order)))
+        self.there = np.zeros((self.n, len(order)), bool)
+        self.there[at, slot] = True
+        for p in range(parts):
+            self.values[p, at, slot] = flat.field(f"v{p}").to_numpy(zero_copy_only=False)
+        self.known = np.broadcast_to(self.there, self.values.shape) & ~np.isnan(self.values)
+
+    def add_squares(self, total: np.ndarray, common: np.ndarray) -> None:
+        """Add squared differences of each time to each later one, and how many entries both have."""
+        for values, known in zip(self.values, self.known, strict=True):
+            filled, mask = np.where(known, values, 0.0), known.astype(np.float32)
+            common += (mask.T @ mask).astype(np.int64)
+            for i in range(len(total) - 1):
+                own = np.flatnonzero(known[:, i])
+                away = (filled[own, i + 1 :] - filled[own, i, None]) * mask[own, i + 1 :]
+                total[i, i + 1 :] += np.einsum("sj,sj->j", away, away)
+
+    def fill(self, rank: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(values, mask) with each missing entry as the mean of its k donors, else that of its row of the tile.
+
+        ``rank[a, b]`` is the place of time b among those nearest to a, the number of times where they have nothing in common.
+        """
+        filled, there = self.values.copy(), np.broadcast_to(self.there, self.values.shape).copy()
+        for s in range(self.n):
+            gaps = np.flatnonzero(~self.there[s])
+            for p in range(len(self.values)):
+                row, donors = self.values[p, s], np.flatnonzero(self.known[p, s])
+                if not len(gaps) or not self.there[s].any():
+                    continue
+                best = rank[np.ix_(gaps, donors)]
+                if k < len(donors):
+                    best = np.partition(best, k - 1, axis=1)[:, :k]
+                best.sort(axis=1)
+                found = best < len(order)
+                n = found.sum(axis=1)
+                values = np.where(found, row[order[gaps[:, None], np.where(found, best, 0)]], 0.0).sum(axis=1)
+                filled[p, s, gaps] = np.where(n > 0, values / np.maximum(n, 1), row[self.there[s]].mean())
+                there[p, s, gaps] = True
+        return filled, there
+
+
+def _impute_wide(df: DataFrame, ts: str, parts: Sequence[Column], k: int, n_tiles: int) -> DataFrame:
+    """``station_id, ts, v0`` (and ``v1``) of a matrix with few times and any number of stations, gaps filled.
+
+    Stations are dealt into tiles by a hash. Squared differences of two times add up over the stations, so each task sums
+    them over its tiles, a table of all pairs of times; the tables are added, and the places of all times among those nearest
+    to each go to every task, which then fills its tiles on its own. So a shuffle carries each value twice, whatever the
+    number of stations.
+    """
+    kind = df.schema[ts].dataType.simpleString()
+    names = [f"v{i}" for i in range(len(parts))]
+    number = F.unix_micros(ts) if kind.startswith("timestamp") else F.col(ts).cast("long")
+    rows = df.select("station_id", number.alias("t"), *[v.cast("double").alias(n) for n, v in zip(names, parts, strict=True)])
+    # what has no name or no time is nobody's value, and is in the result
+    here = F.col("station_id").isNotNull() & F.col("t").isNotNull() & F.col("v0").isNotNull()
+    times = rows.agg(F.sort_array(F.collect_set(F.struct("t"))).alias("times")).scalar()
+    of_station = rows.groupBy("station_id").agg(F.collect_list(F.when(here, F.struct("t", *names))).alias("e"))
+    tasks = min(n_tiles, spread(df))
+    tile = F.pmod(F.xxhash64("station_id"), F.lit(n_tiles)).cast("int")
+    tiles = of_station.groupBy(tile.alias("tile")).agg(F.sort_array(F.collect_list(F.struct("station_id", "e"))).alias("stations"))
+    tiles = tiles.withColumn("part", F.col("tile") % tasks)
+    dealt = tiles.repartitionById(tasks, F.col("part")).sortWithinPartitions("tile").withColumn("times", times)
+    width = len(parts)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, columns, part = None, 0, 0
+        for batch in batches:
+            for r in range(len(batch)):
+                tile = _Tile(batch.column("stations")[r].values, batch.column("times")[r].values, width)
+                if total is None:
+                    n = tile.there.shape[1]
+                    total, common = np.zeros((n, n)), np.zeros((n, n), np.int64)
+                tile.add_squares(total, common)
+                columns, part = columns + tile.n * width, batch.column("part")[r].as_py()
+        if total is None:
+            return
+        total += total.T
+        for i in range(n):
+            numbers = [pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([columns], pa.int64())]
+            lists = [pa.array([total[i]], pa.list_(pa.float64())), pa.array([common[i]], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*numbers, *lists], names=["a", "part", "columns", "total", "common"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            total, common, columns = sums
+            with np.errstate(divide="ignore", invalid="ignore"):
+                distance = np.round(np.sqrt(total * columns / common), 9)
+            distance[common == 0] = np.inf
+            place = np.empty(len(total), np.int32)
+            place[np.argsort(distance, kind="stable")] = np.arange(len(total))
+            place[common == 0] = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([place], pa.list_(pa.int32()))], names=["a", "place"])
+
+        for batch in batches:
+            for r in range(len(batch)):
+                total, common = (batch.column(c)[r].values.to_numpy() for c in ("total", "common"))
+                if batch.column("a")[r].as_py() != at:
+                    if at is not None:
+                        yield from closed()
+                    at, sums = batch.column("a")[r].as_py(), [0.0, 0, 0]
+                sums = [sums[0] + total, sums[1] + common, sums[2] + batch.column("columns")[r].as_py()]
+        if at is not None:
+            yield from closed()
+
+    tables = dealt.mapInArrow(squares, "a int, part int, columns long, total array<double>, common array<long>")
+    near = tables.repartition(spread(df), "a").sortWithinPartitions("a", "part").mapInArrow(places, "a int, place array<int>")
+    copies = near.select("a", "place", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
+    copies = copies.select("part", F.lit(-1).alias("tile"), "a", "place", F.lit(None).cast(tiles.schema["stations"].dataType).alias("stations"))
+    whole = copies.unionByName(tiles.select("part", "tile", F.lit(None).cast("int").alias("a"), F.lit(None).cast("array<int>").alias("place"), "stations"))
+    whole = whole.repartitionById(tasks, F.col("part")).sortWithinPartitions("tile", "a").withColumn("times", times)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, order = [], None
+        for batch in batches:
+            for r in range(len(batch)):
+                if batch.column("tile")[r].as_py() < 0:
+                    near.append(batch.column("place")[r].values.to_numpy())
+                    continue
+                if order is None:
+                    near = np.stack(near)
+                    order = np.argsort(near, axis=1, kind="stable").astype(np.int32)
+                times = batch.column("times")[r].values
+                tile = _Tile(batch.column("stations")[r].values, times, width)
+                values, there = tile.fill(near, order, k)
+                ids = tile.names.take(pa.array(np.repeat(np.arange(tile.n), len(order))))
+                when = times.field("t").take(pa.array(np.tile(np.arange(len(order)), tile.n)))
+                columns = [pa.array(v.ravel(), pa.float64(), mask=~m.ravel()) for v, m in zip(values, there, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, when, *columns], names=["station_id", "t", *names])
+
+    types = ", ".join(f"{n} double" for n in names)
+    out = whole.mapInArrow(filled, f"station_id {df.schema['station_id'].dataType.simpleString()}, t long, {types}")
+    back = F.timestamp_micros("t") if kind.startswith("timestamp") else F.col("t")
+    return out.select("station_id", back.cast(kind).alias(ts), *names)
+
+
 def impute_matrix(
     df: DataFrame, ts: str, col: str, k: int = 10, circular: bool = False, block_rows: int | None = None
 ) -> DataFrame:
     """Fill a station matrix from the k times at which the stations looked most alike.
 
-    A row is one time with one entry per station (two, sine and cosine, for a
-    direction); stations are the bounded dimension. Returns ``station_id, ts, col``.
+    A row is one time with one entry per station (two, sine and cosine, for a direction). Returns ``station_id, ts, col``.
+    Many stations at up to ``TIMES`` times are dealt into tiles; with few of them, or in ``block_rows``, times are.
     """
-    stations = df.agg(F.sort_array(F.collect_set("station_id")).alias("s"))
     parts = {col: F.col(col)} if not circular else {
         "_s": F.sin(F.radians(col)), "_c": F.cos(F.radians(col))
     }
+    if not block_rows:
+        n_times, n_stations = df.agg(F.approx_count_distinct(ts), F.approx_count_distinct("station_id")).first()
+        if n_times <= TIMES and n_stations > NARROW:
+            n_tiles = max(1, n_times * n_stations * len(parts) // CELLS, min(spread(df), n_stations // LEAST))
+            wide = _impute_wide(df, ts, [*parts.values()], k, n_tiles)
+            if not circular:
+                return wide.withColumnRenamed("v0", col)
+            return wide.select("station_id", ts, F.pmod(F.degrees(F.atan2("v0", "v1")), F.lit(360.0)).alias(col))
+    stations = df.agg(F.sort_array(F.collect_set("station_id")).alias("s"))
     known = F.collect_list(F.struct("station_id", *[v.cast("double").alias(n) for n, v in parts.items()]))
     rows = df.groupBy(ts).agg(known.alias("_known")).withColumn("_ids", stations.scalar())
     # Stations without a row are appended without values; sorted, all entries stand in station order.

@@ -627,3 +627,25 @@ def test_groups_of_tiles_meet_once_and_travel_little(spark, monkeypatch):
     sides = {r["_side"]: r["n"] for r in met.groupBy("_side").agg(F.count("*").alias("n")).collect()}
     shares = met.agg(F.count_distinct("_part")).first()[0]
     assert sides[0] <= 2 * 20 * shares and sides[1] <= 2 * 20 * 4.5
+
+
+@pytest.mark.parametrize("circular", [False, True])
+def test_wide_station_matrix_in_tiles_equals_rows_in_blocks(spark, monkeypatch, circular):
+    monkeypatch.setattr(I, "CELLS", 300)  # a few stations a tile
+    rng = np.random.default_rng(21)
+    rows = [(f"{s:03d}", t, None if rng.random() < 0.7 else float(rng.integers(0, 9) * 40)) for s in range(40) for i, t in enumerate(hours(50)) if (s + i) % 11]
+    rows += [(s, t, v) for s, t, v in rows[:49] if v is not None and s == "000" for s in ("900",)]  # a copy: equal distances
+    rows += [("901", hours(50)[3], None)]  # nothing at all
+    df = spark.createDataFrame(rows, "station_id string, timestamp timestamp, v double")
+    assert "posexplode(_x" not in I.impute_matrix(df, "timestamp", "v", 3, circular)._jdf.queryExecution().optimizedPlan().toString()
+    ways = [{(r[0], r[1]): r[2] for r in I.impute_matrix(df, "timestamp", "v", 3, circular, n).collect()} for n in (None, 20)]
+    assert ways[0].keys() == ways[1].keys() and len(ways[0]) == 42 * 50
+    for name, v in ways[1].items():
+        assert (ways[0][name] is None) == (v is None)
+        if v is not None:
+            assert ways[0][name] == pytest.approx(v, abs=1e-9) or circular and abs(abs(ways[0][name] - v) - 360) < 1e-9
+    # rows without a name or a time are nobody's values
+    odd = df.unionByName(spark.createDataFrame([(None, hours(50)[0], 1e6), ("000", None, 1e6)], df.schema))
+    seen = {(r[0], r[1]): r[2] for r in I.impute_matrix(odd, "timestamp", "v", 3, circular).collect()}
+    assert len(seen) == 43 * 51
+    assert all(seen[name] == (v if v is None else pytest.approx(v, abs=1e-9)) for name, v in ways[0].items())
