@@ -649,3 +649,70 @@ def test_wide_station_matrix_in_tiles_equals_rows_in_blocks(spark, monkeypatch,
     seen = {(r[0], r[1]): r[2] for r in I.impute_matrix(odd, "timestamp", "v", 3, circular).collect()}
     assert len(seen) == 43 * 51
     assert all(seen[name] == (v if v is None else pytest.approx(v, abs=1e-9)) for name, v in ways[0].items())
+
+
+def test_kriging_over_tiles_equals_rows(spark, monkeypatch):
+    """Odd rows: repeated weights and rows, gaps, stations without weights or place, two tiles and parts of a tile."""
+    monkeypatch.setattr(K, "WIDE_TILE", 4)
+    monkeypatch.setattr(K, "MOST_EDGES", 100)
+    rng = np.random.default_rng(31)
+    ids = [f"{i:02d}" for i in range(12)]
+    places = spark.createDataFrame([(n, float(47 + rng.uniform(0, 2)), float(8 + rng.uniform(0, 2))) for n in ids] + [("12", None, 8.0)], "station_id string, latitude double, longitude double")
+    near = [(p, a, b, r, float(rng.uniform(1, 50)), float(rng.uniform(0, 1))) for p in "ab" for a in ids[:9] for r, b in enumerate(rng.choice([x for x in ids if x != a], 3, False).tolist(), 1)]
+    near[1] = near[1][:4] + (0.0, 0.3)
+    near.append(near[5])  # one more neighbour than k
+    weights = spark.createDataFrame(near, "part string, target_id string, near_id string, rank int, distance double, weight double")
+    value = lambda: None if rng.random() < 0.15 else float(rng.normal(9, 3))
+    rows = [("ab"[h % 2], n, t, value(), value(), value()) for n in [*ids, "12", "13"] for h, t in enumerate(hours(24 * 33)[::12])]
+    rows += [r for r in rows[:40] if r[3] is not None] + [("a", None, T0, 1.0, 1.0, 1.0), ("a", "03", None, 1.0, 1.0, 1.0)]
+    series = spark.createDataFrame(rows, "part string, station_id string, timestamp timestamp, z double, x double, y double")
+    once = series.dropDuplicates(["part", "station_id", "timestamp"])
+    frame = once.toPandas().dropna(subset=["timestamp"])
+
+    def expected(kind, frame):
+        own = {(r.part, r.station_id, r.timestamp): r for r in frame.itertuples()}
+        edges = {}
+        for p, a, b, r, d, w in near:
+            edges.setdefault((p, a), []).append((r, b, d, w))
+        out = {}
+        for (p, s, t), r in own.items():
+            known = [(own[p, b, t], d, w) for _, b, d, w in sorted(edges.get((p, s), [])) if (p, b, t) in own]
+            if kind == "trend":
+                others = [o for o in own.values() if (o.part, o.timestamp) == (p, t) and o.station_id != s and not np.isnan(o.z + o.x)]
+                b, a = np.polyfit([o.x for o in others], [o.z for o in others], 1)
+                there = [(w, o.z - a - b * o.x) for o, _, w in known if not np.isnan(o.z + o.x)]
+                out[p, s, t] = a + b * r.x + (sum(w * e for w, e in there) / sum(w for w, _ in there) if there else 0.0)
+                continue
+            covered = kind == "many" or sum(not np.isnan(o.x) for o, *_ in known) == 3
+            known = [n for n in known if not np.isnan(n[0].z)]
+            if len(known) != 3 or np.isnan(r.z):
+                continue
+            z, x, d, w = (np.array(v) for v in zip(*[(o.z, o.x, d, w) for o, d, w in known]))
+            ordinary = (w * z).sum()
+            idw = z[d == 0].mean() if (d == 0).any() else (z / d**2).sum() / (1 / d**2).sum()
+            rk = ordinary
+            if covered and not np.isnan(x.sum() + r.x):
+                b, a = np.polyfit(x, z, 1)
+                rk = a + b * r.x + (w * (z - a - b * x)).sum()
+            out[p, s, t] = (idw, ordinary, rk)
+        return out
+
+    for where in (places, None):
+        found = K.leave_one_out(once, weights, "z", 3, "x", by=["part"], places=where).toPandas()
+        want = expected("one", frame)
+        got = {(r.part, r.station_id, r.timestamp): (r.idw_pred, r.ok_pred, r.rk_pred) for r in found.itertuples()}
+        assert got.keys() == want.keys() and len(got) == len(found) > 200
+        assert [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], rel=1e-7, abs=1e-6)] == []
+        found = K.global_trend_kriging(once, weights, "z", "x", by=["part"], places=where).toPandas()
+        want = expected("trend", frame)
+        got = {(r.part, r.station_id, r.timestamp): r.rk_pred for r in found.itertuples()}
+        assert got.keys() == want.keys() and {"12", "13", "10"} < {k[1] for k in got}
+        assert [(k, got[k], want[k]) for k in want if got[k] != pytest.approx(want[k], rel=1e-7, abs=1e-6, nan_ok=True)] == []
+        many = K.regression_kriging(once, weights, "z", ["x"], 3, by=["part"], places=where).toPandas()
+        assert {(r.part, r.station_id, r.timestamp): r.rk_pred for r in many.itertuples()} == pytest.approx({k: v[2] for k, v in expected("many", frame).items()}, rel=1e-7, abs=1e-6)
+    # a row of the series that comes twice is two neighbours, and is itself answered twice
+    twice = K.leave_one_out(series.filter("part = 'b'"), weights.filter("part = 'b'"), "z", 3, "x", places=places)
+    assert twice.count() > 0 and twice.groupBy("station_id", "timestamp").count().filter("count > 2").count() == 0
+    # a station's month goes once to a tile, not once to each target that looks at it
+    plan = K.leave_one_out(once, weights, "z", 3, "x", by=["part"], places=places)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_values" in plan and "regr_slope" not in plan
