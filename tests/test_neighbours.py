@@ -187,3 +187,17 @@ def test_targets_stay_in_their_tasks_while_cells_are_opened(spark, monkeypatch,
     got = N.k_nearest(*sides, 3, "id", "id").toPandas().sort_values(["target_id", "rank"])
     for key, want in brute(targets, candidates, 3, "haversine", False).items():
         np.testing.assert_allclose(got.loc[got["target_id"] == key, "distance"], want, rtol=1e-9, atol=1e-6)
+
+
+def test_blocks_grow_with_the_points(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 10)
+    rng = np.random.default_rng(5)
+    spots = [(f"{i:03d}", float(47 + rng.uniform(0, 0.5)), float(8 + rng.uniform(0, 0.5))) for i in range(2600)]
+    few, many = (spark.createDataFrame(spots[:n], "station_id string, latitude double, longitude double") for n in (60, 2600))
+    edge = F.lit(1e5)  # one cell
+    sizes = [[len(r[0]) for r in N._blocks(df, "station_id", "near", "haversine", edge).select("_near").collect()] for df in (few, many)]
+    assert [sum(s) for s in sizes] == [60, 2600]
+    assert len(sizes[0]) <= 6 and len(sizes[1]) <= N.BLOCKS + 2  # 260 blocks of ten points before
+    near = N.within(many, few, 5.0).collect()
+    lat, lon = np.array([s[1:] for s in spots]).T
+    assert len(near) == (_haversine(lat[:, None], lon[:, None], lat[:60], lon[:60]) <= 5.0).sum() > 1000
